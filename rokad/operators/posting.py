@@ -1,6 +1,9 @@
 """Turning documents into balanced ledger legs. Amounts are signed paise; positive is a debit."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,9 +11,6 @@ from .. import masters as m
 from ..functions import dates
 from ..functions.money import rupees
 
-# amounts inside legs are whole paise, so building and summing them stays on longs
-LEG = ("struct<account_code:int,amount:bigint,party_type:string,party_id:string,"
-       "settles_voucher_id:string>")
 LEDGER = [
     "firm_id", "client_id", "voucher_id", "voucher_type", "posting_date", "fy", "doc_key",
     "account_code", "debit", "credit", "signed_paise", "party_type", "party_id", "settles_voucher_id",
@@ -18,97 +18,128 @@ LEDGER = [
 ]
 
 
-def leg(account: int | Column, amount: Column, party_type: str | None = None,
-        party: Column | None = None, settles: Column | None = None) -> Column:
-    code = F.lit(account) if isinstance(account, int) else account
-    null = F.lit(None).cast("string")
-    return F.struct(
-        code.cast("int").alias("account_code"),
-        F.coalesce(amount, F.lit(0)).cast("long").alias("amount"),
-        F.lit(party_type).cast("string").alias("party_type"),
-        (null if party is None else party).alias("party_id"),
-        (null if settles is None else settles).alias("settles_voucher_id"),
-    ).cast(LEG)
+@dataclass
+class Leg:
+    account: int | Column
+    amount: Column
+    party_type: str | None = None
+    party: Column | None = None
+    settles: Column | None = None
 
 
-def voucher(voucher_id: Column, kind: Column, firm: Column, client: Column, date: Column,
-            legs: Column) -> Column:
-    return F.struct(
-        voucher_id.alias("voucher_id"), kind.alias("voucher_type"), firm.cast("int").alias("firm_id"),
-        client.cast("int").alias("client_id"), date.cast("date").alias("posting_date"), legs.alias("legs"))
+@dataclass
+class Voucher:
+    id: Column
+    kind: Column
+    firm: Column
+    client: Column
+    date: Column
+    legs: list[Leg]
+    when: Column | None = None
 
 
-def swapped(legs: Column) -> Column:
+def swapped(legs: list[Leg]) -> list[Leg]:
     """Mirror legs for a reversal: sides swapped, no settlement link."""
-    return F.transform(legs, lambda g: F.struct(
-        g["account_code"].alias("account_code"), (-g["amount"]).alias("amount"),
-        g["party_type"].alias("party_type"), g["party_id"].alias("party_id"),
-        F.lit(None).cast("string").alias("settles_voucher_id")).cast(LEG))
-
-
-def explode_vouchers(docs: DataFrame, vouchers: list[Column], doc_key: str) -> DataFrame:
-    """One pass over the documents: every non-null voucher becomes its non-zero legs."""
-    v = docs.select(doc_key, F.explode(F.array_compact(F.array(*vouchers))).alias("v"))
-    g = v.select(doc_key, "v.*").select("*", F.explode("legs").alias("g")).filter("g.amount <> 0")
-    return g.select(
-        "firm_id", "client_id", "voucher_id", "voucher_type", "posting_date",
-        dates.fy_start(F.col("posting_date")).alias("fy"), F.col(doc_key).cast("long").alias("doc_key"),
-        "g.account_code", rupees(F.greatest(F.col("g.amount"), F.lit(0))).alias("debit"),
-        rupees(F.greatest(-F.col("g.amount"), F.lit(0))).alias("credit"), F.col("g.amount").alias("signed_paise"),
-        "g.party_type", "g.party_id",
-        "g.settles_voucher_id", F.lit(False).alias("is_opening"),
-        F.lit(None).cast("string").alias("finance_book_id"))
-
-
-def sales_legs(d: dict[str, Column], party: Column, sign: Column) -> Column:
+    return [replace(g, amount=-g.amount, settles=None) for g in legs]
+
+
+def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str) -> DataFrame:
+    """One pass over the documents: all vouchers of a row become their non-zero legs.
+
+    Only a primitive array of amounts is built per document; every other leg attribute is looked up
+    from the leg position after zero legs are dropped, and is pruned when a report does not need it.
+    """
+    null = F.lit(None).cast("string")
+    amounts, owner, legs = [], [], []
+    for v_no, v in enumerate(vouchers):
+        for g in v.legs:
+            amount = F.coalesce(g.amount, F.lit(0)).cast("long")
+            amounts.append(amount if v.when is None else F.when(v.when, amount).otherwise(F.lit(0).cast("long")))
+            owner.append(v_no)
+            legs.append(g)
+    df = docs.select("*", F.posexplode(F.array(*amounts)).alias("_pos", "_amount")).filter("_amount <> 0")
+    pos, amount = F.col("_pos"), F.col("_amount")
+    number = F.get(F.array(*[F.lit(n) for n in owner]), pos)
+
+    def of_voucher(get: Callable[[Voucher], Column]) -> Column:
+        out = get(vouchers[-1])
+        for n, v in reversed(list(enumerate(vouchers[:-1]))):
+            out = F.when(number == n, get(v)).otherwise(out)
+        return out
+
+    def of_leg(get: Callable[[Leg], Column | None]) -> Column:
+        out = null
+        for n, g in enumerate(legs):
+            value = get(g)
+            if value is not None:
+                out = F.when(pos == n, value).otherwise(out)
+        return out
+
+    code = F.get(F.array(*[F.lit(g.account if isinstance(g.account, int) else None).cast("int") for g in legs]), pos)
+    for n, g in enumerate(legs):
+        if not isinstance(g.account, int):
+            code = F.when(pos == n, g.account.cast("int")).otherwise(code)
+    date = of_voucher(lambda v: v.date.cast("date"))
+    return df.select(
+        of_voucher(lambda v: v.firm.cast("int")).alias("firm_id"),
+        of_voucher(lambda v: v.client.cast("int")).alias("client_id"),
+        of_voucher(lambda v: v.id).alias("voucher_id"), of_voucher(lambda v: v.kind).alias("voucher_type"),
+        date.alias("posting_date"), dates.fy_start(date).alias("fy"), F.col(doc_key).cast("long").alias("doc_key"),
+        code.alias("account_code"), rupees(F.greatest(amount, F.lit(0))).alias("debit"),
+        rupees(F.greatest(-amount, F.lit(0))).alias("credit"), amount.alias("signed_paise"),
+        of_leg(lambda g: F.lit(g.party_type) if g.party_type else None).alias("party_type"),
+        of_leg(lambda g: g.party).alias("party_id"), of_leg(lambda g: g.settles).alias("settles_voucher_id"),
+        F.lit(False).alias("is_opening"), null.alias("finance_book_id"))
+
+
+def sales_legs(d: dict[str, Column], party: Column, sign: Column) -> list[Leg]:
     """Debtor against revenue per account, output tax and round-off; nothing is lost when cess is due.
 
     `sign` is 1 for an invoice and -1 for a credit note.
     """
-    return F.array(
-        leg(m.DEBTORS, sign * d["grand_total"], "customer", party),
-        leg(m.SALES, -sign * d["rev_goods"]),
-        leg(m.SERVICE, -sign * d["rev_service"]),
-        leg(m.OUT_CGST, -sign * d["cgst"]),
-        leg(m.OUT_SGST, -sign * d["sgst"]),
-        leg(m.OUT_IGST, -sign * d["igst"]),
-        leg(m.OUT_CESS, -sign * d["cess"]),
-        leg(m.ROUND_OFF, -sign * d["round_off"]),
-    )
-
-
-def receipt_legs(money_account: Column, cash: Column, tds: Column, party: Column, settles: Column) -> Column:
-    return F.array(
-        leg(money_account, cash),
-        leg(m.TDS_RECEIVABLE, tds),
-        leg(m.DEBTORS, -(cash + tds), "customer", party, settles),
-    )
-
-
-def payment_legs(money_account: Column, gross: Column, tds: Column, party: Column, settles: Column) -> Column:
-    return F.array(
-        leg(m.CREDITORS, gross, "supplier", party, settles),
-        leg(m.TDS_PAYABLE, -tds),
-        leg(money_account, -(gross - tds)),
-    )
-
-
-def charge_legs(bank: Column, total: Column, gst: Column, intra: Column) -> Column:
+    return [
+        Leg(m.DEBTORS, sign * d["grand_total"], "customer", party),
+        Leg(m.SALES, -sign * d["rev_goods"]),
+        Leg(m.SERVICE, -sign * d["rev_service"]),
+        Leg(m.OUT_CGST, -sign * d["cgst"]),
+        Leg(m.OUT_SGST, -sign * d["sgst"]),
+        Leg(m.OUT_IGST, -sign * d["igst"]),
+        Leg(m.OUT_CESS, -sign * d["cess"]),
+        Leg(m.ROUND_OFF, -sign * d["round_off"]),
+    ]
+
+
+def receipt_legs(money_account: Column | int, cash: Column, tds: Column, party: Column, settles: Column) -> list[Leg]:
+    return [
+        Leg(money_account, cash),
+        Leg(m.TDS_RECEIVABLE, tds),
+        Leg(m.DEBTORS, -(cash + tds), "customer", party, settles),
+    ]
+
+
+def payment_legs(money_account: Column | int, gross: Column, tds: Column, party: Column, settles: Column) -> list[Leg]:
+    return [
+        Leg(m.CREDITORS, gross, "supplier", party, settles),
+        Leg(m.TDS_PAYABLE, -tds),
+        Leg(money_account, -(gross - tds)),
+    ]
+
+
+def charge_legs(bank: Column | int, total: Column, gst: Column, intra: Column) -> list[Leg]:
     """A bank charge with its tax claimed: half to one head and the remainder to the other."""
     half = F.shiftright(gst, 1)
-    return F.array(
-        leg(m.BANK_CHARGES, total - gst),
-        leg(m.IN_CGST, F.when(intra, half)),
-        leg(m.IN_SGST, F.when(intra, gst - half)),
-        leg(m.IN_IGST, F.when(~intra, gst)),
-        leg(bank, -total),
-    )
+    return [
+        Leg(m.BANK_CHARGES, total - gst),
+        Leg(m.IN_CGST, F.when(intra, half)),
+        Leg(m.IN_SGST, F.when(intra, gst - half)),
+        Leg(m.IN_IGST, F.when(~intra, gst)),
+        Leg(bank, -total),
+    ]
 
 
-def interest_legs(bank: Column, credited: Column, gross: Column) -> Column:
+def interest_legs(bank: Column | int, credited: Column, gross: Column) -> list[Leg]:
     """Interest recorded gross, the withheld part as a receivable."""
-    return F.array(
-        leg(bank, credited), leg(m.TDS_RECEIVABLE, gross - credited), leg(m.INTEREST, -gross))
+    return [Leg(bank, credited), Leg(m.TDS_RECEIVABLE, gross - credited), Leg(m.INTEREST, -gross)]
 
 
 def reverse(ledger: DataFrame, reversals: DataFrame) -> DataFrame:

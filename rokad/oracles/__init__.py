@@ -1,0 +1,9 @@
+"""Check SQL for the registered jobs."""
+
+
+def all_sql() -> dict[str, str]:
+    from . import reports
+    out: dict[str, str] = {}
+    for module in (reports,):
+        out.update(module.SQL)
+    return out

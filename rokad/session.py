@@ -13,6 +13,7 @@ CONF = {
     # split a hot join key even when an aggregate on the same key follows
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -15,6 +15,7 @@ from .. import masters as m
 from ..functions import dates, gstin
 from ..functions.money import MONEY, credit_of, debit_of, pct, rupees, to_paise, zero
 from ..operators import itc, posting, tds
+from ..operators.staging import stage
 
 DATE_SHIFT = 9862
 OPENING_DATE = "2021-12-31"
@@ -324,7 +325,7 @@ class Books:
         short = (F.col("status") == "F") & (F.col("ok") % 7 == 0)
         tds_amt = F.when(short, pct(F.col("taxable"), F.lit(10))).otherwise(zero())
         gross = F.when(F.col("status") == "F", F.col("grand_total")).otherwise(
-            F.col("grand_total") * F.lit("0.50").cast("decimal(3,2)")).cast(MONEY)
+            F.floor(F.col("grand_total") * F.lit("0.50").cast("decimal(3,2)"), 2)).cast(MONEY)
         return s.select(
             "firm_id", "client_id", key_text("RC-", F.col("ok"), "-", F.col("sk")).alias("voucher_id"), "ok", "sk",
             "party_id", "party_name", F.col("voucher_id").alias("settles_voucher_id"),
@@ -337,7 +338,7 @@ class Books:
         """Supplier payments before withholding: one per settled bill, half when part-paid."""
         b = self.bills.filter(~F.col("is_return") & F.col("status").isin("F", "P"))
         gross = F.when(F.col("status") == "F", F.col("grand_total")).otherwise(
-            F.col("grand_total") * F.lit("0.50").cast("decimal(3,2)")).cast(MONEY)
+            F.floor(F.col("grand_total") * F.lit("0.50").cast("decimal(3,2)"), 2)).cast(MONEY)
         late = F.when(F.col("ok") % 11 == 0, 200).otherwise(45)
         pay_date = F.date_add(F.col("bill_date"), late)
         return b.select(
@@ -350,7 +351,8 @@ class Books:
 
     @cached_property
     def tds(self) -> DataFrame:
-        return tds.compute(self.payments, m.tds_sections(self.spark))
+        # the threshold steps read the payments several times, so they are staged once
+        return tds.compute(stage(self.payments), m.tds_sections(self.spark))
 
     # ---- ledger -----------------------------------------------------------------------------------
     @cached_property
@@ -386,26 +388,26 @@ class Books:
         gross = F.when(c("status") == "F", c("grand_p")).otherwise(F.expr("grand_p div 2"))
         r_legs = posting.receipt_legs(
             F.when(c("ok") % 10 == 3, m.CASH).otherwise(m.BANK), gross - tds_amt, tds_amt, cust, c("invoice_id"))
-        kinds = [
-            posting.voucher(c("invoice_id"), F.when(c("is_return"), "credit_note").otherwise("sales"),
-                            c("seller_firm"), c("seller"), c("doc_date"), s_legs),
-            F.when(reversed_, posting.voucher(
-                F.concat(F.lit("RV-"), c("invoice_id")), F.lit("sales"), c("seller_firm"), c("seller"),
-                F.date_add("doc_date", 10), posting.swapped(s_legs))),
-            posting.voucher(c("bill_id"), F.when(c("is_return"), "debit_note").otherwise("purchase"),
-                            c("buyer_firm"), c("buyer"), c("doc_date"), b_legs),
-            F.when(~c("is_return") & ~reversed_ & c("status").isin("F", "P"), posting.voucher(
-                key_text("RC-", c("ok"), "-", c("sk")), F.lit("receipt"), c("seller_firm"), c("seller"),
-                F.date_add("doc_date", 30), r_legs)),
-        ]
-        return posting.explode_vouchers(d, kinds, "ok")
+        V = posting.Voucher
+        return posting.explode_vouchers(d, [
+            V(c("invoice_id"), F.when(c("is_return"), "credit_note").otherwise("sales"),
+              c("seller_firm"), c("seller"), c("doc_date"), s_legs),
+            V(F.concat(F.lit("RV-"), c("invoice_id")), F.lit("sales"), c("seller_firm"), c("seller"),
+              F.date_add("doc_date", 10), posting.swapped(s_legs), reversed_),
+            V(c("bill_id"), F.when(c("is_return"), "debit_note").otherwise("purchase"),
+              c("buyer_firm"), c("buyer"), c("doc_date"), b_legs),
+            V(key_text("RC-", c("ok"), "-", c("sk")), F.lit("receipt"), c("seller_firm"), c("seller"),
+              F.date_add("doc_date", 30), r_legs,
+              ~c("is_return") & ~reversed_ & c("status").isin("F", "P")),
+        ], "ok")
 
     @cached_property
     def payment_legs(self) -> DataFrame:
         c = F.col
-        v = posting.voucher(
+        v = posting.Voucher(
             c("voucher_id"), F.lit("payment"), c("firm_id"), c("client_id"), c("payment_date"),
-            posting.payment_legs(c("money_account"), to_paise(c("amount")), to_paise(c("tds")), c("party_id"), c("settles_voucher_id")))
+            posting.payment_legs(c("money_account"), to_paise(c("amount")), to_paise(c("tds")), c("party_id"),
+                                 c("settles_voucher_id")))
         return posting.explode_vouchers(self.tds, [v], "ok")
 
     @cached_property
@@ -438,25 +440,25 @@ class Books:
             (ok % 16 == 4).alias("ai_edited"))
 
 
-def bill_legs(supplier: Column, sign: Column) -> Column:
+def bill_legs(supplier: Column, sign: Column) -> list[posting.Leg]:
     """Expense per account (with unclaimable tax), input credit, creditor; both sides under reverse charge."""
     c = F.col
     rcm = c("is_rcm")
     expense = [
-        posting.leg(a, sign * (c(f"taxable_{a}") + F.when(c(f"itc_{a}") == "eligible", 0).otherwise(
+        posting.Leg(a, sign * (c(f"taxable_{a}") + F.when(c(f"itc_{a}") == "eligible", 0).otherwise(
             c(f"bh_{a}") * 2 + c(f"bi_{a}"))))
         for a in EXPENSE_ACCOUNTS]
-    return F.array(
+    return [
         *expense,
-        posting.leg(m.IN_CGST, sign * c("claim_cgst_p")),
-        posting.leg(m.IN_SGST, sign * c("claim_cgst_p")),
-        posting.leg(m.IN_IGST, sign * c("claim_igst_p")),
-        posting.leg(m.OUT_CGST, F.when(rcm, -sign * c("b_cgst_p"))),
-        posting.leg(m.OUT_SGST, F.when(rcm, -sign * c("b_cgst_p"))),
-        posting.leg(m.OUT_IGST, F.when(rcm, -sign * c("b_igst_p"))),
-        posting.leg(m.CREDITORS, -sign * c("b_grand_p"), "supplier", supplier),
-        posting.leg(m.ROUND_OFF, sign * c("b_round_off_p")),
-    )
+        posting.Leg(m.IN_CGST, sign * c("claim_cgst_p")),
+        posting.Leg(m.IN_SGST, sign * c("claim_cgst_p")),
+        posting.Leg(m.IN_IGST, sign * c("claim_igst_p")),
+        posting.Leg(m.OUT_CGST, F.when(rcm, -sign * c("b_cgst_p"))),
+        posting.Leg(m.OUT_SGST, F.when(rcm, -sign * c("b_cgst_p"))),
+        posting.Leg(m.OUT_IGST, F.when(rcm, -sign * c("b_igst_p"))),
+        posting.Leg(m.CREDITORS, -sign * c("b_grand_p"), "supplier", supplier),
+        posting.Leg(m.ROUND_OFF, sign * c("b_round_off_p")),
+    ]
 
 
 def posting_opening(balances: DataFrame, clients: DataFrame) -> DataFrame:
