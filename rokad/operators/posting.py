@@ -29,6 +29,7 @@ class Leg:
 
 @dataclass
 class Voucher:
+    """One voucher of a document row. Amounts are multiplied by `sign` after the explode."""
     id: Column
     kind: Column
     firm: Column
@@ -36,34 +37,52 @@ class Voucher:
     date: Column
     legs: list[Leg]
     when: Column | None = None
+    sign: Column | None = None
 
 
-def swapped(legs: list[Leg]) -> list[Leg]:
-    """Mirror legs for a reversal: sides swapped, no settlement link."""
-    return [replace(g, amount=-g.amount, settles=None) for g in legs]
+@dataclass
+class Mirror:
+    """A reversal of an earlier voucher of the same row: its legs with sides swapped, unsettled."""
+    of: int
+    id: Column
+    date: Column
+    when: Column
 
 
-def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str) -> DataFrame:
+def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str,
+                     mirrors: list[Mirror] | None = None) -> DataFrame:
     """One pass over the documents: all vouchers of a row become their non-zero legs.
 
     Only a primitive array of amounts is built per document; every other leg attribute is looked up
     from the leg position after zero legs are dropped, and is pruned when a report does not need it.
     """
     null = F.lit(None).cast("string")
-    amounts, owner, legs = [], [], []
+    amounts, owner, legs, start = [], [], [], {}
     for v_no, v in enumerate(vouchers):
+        start[v_no] = len(legs)
         for g in v.legs:
-            amount = F.coalesce(g.amount, F.lit(0)).cast("long")
-            amounts.append(amount if v.when is None else F.when(v.when, amount).otherwise(F.lit(0).cast("long")))
+            amounts.append(F.coalesce(g.amount if v.when is None else F.when(v.when, g.amount), F.lit(0)).cast("long"))
             owner.append(v_no)
             legs.append(g)
-    df = docs.select("*", F.posexplode(F.array(*amounts)).alias("_pos", "_amount")).filter("_amount <> 0")
-    pos, amount = F.col("_pos"), F.col("_amount")
+    every = list(vouchers)
+    df = docs.withColumn("_amounts", F.array(*amounts))
+    array = F.col("_amounts")
+    for mirror in mirrors or []:
+        v = vouchers[mirror.of]
+        part = F.slice("_amounts", start[mirror.of] + 1, len(v.legs))
+        array = F.concat(array, F.when(mirror.when, part).otherwise(
+            F.array(*[F.lit(0).cast("long")] * len(v.legs))))
+        owner += [len(every)] * len(v.legs)
+        legs += [replace(g, settles=None) for g in v.legs]
+        sign = F.lit(-1) if v.sign is None else -v.sign
+        every.append(replace(v, id=mirror.id, date=mirror.date, sign=sign))
+    df = df.select("*", F.posexplode(array).alias("_pos", "_amount")).filter("_amount <> 0")
+    pos = F.col("_pos")
     number = F.get(F.array(*[F.lit(n) for n in owner]), pos)
 
     def of_voucher(get: Callable[[Voucher], Column]) -> Column:
-        out = get(vouchers[-1])
-        for n, v in reversed(list(enumerate(vouchers[:-1]))):
+        out = get(every[-1])
+        for n, v in reversed(list(enumerate(every[:-1]))):
             out = F.when(number == n, get(v)).otherwise(out)
         return out
 
@@ -80,6 +99,9 @@ def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str) ->
         if not isinstance(g.account, int):
             code = F.when(pos == n, g.account.cast("int")).otherwise(code)
     date = of_voucher(lambda v: v.date.cast("date"))
+    signs = of_voucher(lambda v: (F.lit(1) if v.sign is None else v.sign).cast("long"))
+    df = df.withColumn("_signed", F.col("_amount") * signs)
+    amount = F.col("_signed")
     return df.select(
         of_voucher(lambda v: v.firm.cast("int")).alias("firm_id"),
         of_voucher(lambda v: v.client.cast("int")).alias("client_id"),
@@ -92,20 +114,17 @@ def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str) ->
         F.lit(False).alias("is_opening"), null.alias("finance_book_id"))
 
 
-def sales_legs(d: dict[str, Column], party: Column, sign: Column) -> list[Leg]:
-    """Debtor against revenue per account, output tax and round-off; nothing is lost when cess is due.
-
-    `sign` is 1 for an invoice and -1 for a credit note.
-    """
+def sales_legs(d: dict[str, Column], party: Column) -> list[Leg]:
+    """Debtor against revenue per account, output tax and round-off; nothing is lost when cess is due."""
     return [
-        Leg(m.DEBTORS, sign * d["grand_total"], "customer", party),
-        Leg(m.SALES, -sign * d["rev_goods"]),
-        Leg(m.SERVICE, -sign * d["rev_service"]),
-        Leg(m.OUT_CGST, -sign * d["cgst"]),
-        Leg(m.OUT_SGST, -sign * d["sgst"]),
-        Leg(m.OUT_IGST, -sign * d["igst"]),
-        Leg(m.OUT_CESS, -sign * d["cess"]),
-        Leg(m.ROUND_OFF, -sign * d["round_off"]),
+        Leg(m.DEBTORS, d["grand_total"], "customer", party),
+        Leg(m.SALES, -d["rev_goods"]),
+        Leg(m.SERVICE, -d["rev_service"]),
+        Leg(m.OUT_CGST, -d["cgst"]),
+        Leg(m.OUT_SGST, -d["sgst"]),
+        Leg(m.OUT_IGST, -d["igst"]),
+        Leg(m.OUT_CESS, -d["cess"]),
+        Leg(m.ROUND_OFF, -d["round_off"]),
     ]
 
 

@@ -25,6 +25,13 @@ SLABS = [0, 5, 5, 12, 12, 18, 18, 28, 28]
 HSN_CODES = ["998313", "731815", "350691", "481910", "100630", "300490", "040120", "240220"]
 UOMS = ["OTH", "KGS", "KGS", "NOS", "KGS", "NOS", "LTR", "NOS"]
 EXPENSE_ACCOUNTS = [5010, 5020, 5160, 5170, 5140, 5191, 5192, 5193]
+# accounts whose input credit is decided together: always open, or by the buyer's trade
+_CATEGORY = {account: category for account, _, category in m.ITC_RULES}
+ITC_GROUPS = {"open": [a for a in EXPENSE_ACCOUNTS if a not in _CATEGORY]} | {
+    _CATEGORY[a]: [a] for a in EXPENSE_ACCOUNTS if a in _CATEGORY}
+UNBLOCKED = {
+    category: m.BLOCKED_CATEGORIES[category][1] for account, rule, category in m.ITC_RULES
+    if rule == "conditional" and account in EXPENSE_ACCOUNTS}
 TDS_CATEGORIES = ["Contractor Payments", "Professional Fees", "Commission or Brokerage", "Purchase of Goods", None]
 ENTITIES = ["individual", "company", "no_pan"]
 
@@ -173,41 +180,53 @@ class Books:
         reduced map-side and never meets another table at line grain.
         """
         acc = F.col("expense_account")
-        per_account = [
-            F.sum(F.when(acc == a, F.col(f"{v}_p"))).alias(f"{v}_{a}")
-            for a in EXPENSE_ACCOUNTS for v in ("taxable", "half", "full")]
+        goods = [F.sum(F.when(acc == a, F.col("taxable_p"))).alias(f"taxable_{a}") for a in EXPENSE_ACCOUNTS]
+        tax = [
+            F.sum(F.when(acc.isin(members), F.col(f"{v}_p")).otherwise(0)).alias(f"{v}_{name}")
+            for name, members in ITC_GROUPS.items() for v in ("half", "full")]
         service = F.col("income_account") == m.SERVICE
         totals = self.lines.groupBy("ok", "sk", "is_return").agg(
             *[F.sum(f"{v}_p").alias(f"{v}_p") for v in ("taxable", "half", "full", "cess")],
             F.sum(F.when(service, F.col("taxable_p")).otherwise(0)).alias("rev_service_p"),
-            F.count(F.lit(1)).alias("n_lines"), *per_account)
+            F.count(F.lit(1)).alias("n_lines"), *goods, *tax)
         return totals.join(self.orders, "ok").join(self.sellers, "sk")
 
     # ---- sales ----------------------------------------------------------------------------------
     @cached_property
     def _sales_wide(self) -> DataFrame:
-        d = self.docs
-        export = F.col("gst_category") == "overseas"
-        free = export & (F.col("ck") % 40 != 9)
-        df = d.select(
-            "*", export.alias("is_export"),
-            F.when(export, F.when(free, "without_payment").otherwise("with_payment")).alias("export_type"),
-            (~export & (F.col("seller_state") == F.col("pos"))).alias("intra"),
-            (F.col("sk") % 50 == 7).alias("is_rcm"), free.alias("_free"),
-            F.when(F.col("is_return"), F.date_add("order_date", 30)).otherwise(F.col("order_date")).alias("doc_date"),
-            key_text(F.when(F.col("is_return"), "CN-").otherwise("SI-"), F.col("ok"), "-", F.col("sk")).alias("invoice_id"),
-            key_text(F.when(F.col("is_return"), "DN-").otherwise("PB-"), F.col("ok"), "-", F.col("sk")).alias("bill_id"))
-        inside, none = F.col("intra"), F.lit(0).cast("long")
-        taxed = ~F.col("_free")
-        df = df.select(
-            "*", F.when(taxed & inside, F.col("half_p")).otherwise(none).alias("cgst_p"),
-            F.when(taxed & ~inside, F.col("full_p")).otherwise(none).alias("igst_p"),
-            F.when(taxed, F.col("cess_p")).otherwise(none).alias("cess_due_p"))
-        before = F.col("taxable_p") + F.when(F.col("is_rcm"), none).otherwise(
-            F.col("cgst_p") * 2 + F.col("igst_p") + F.col("cess_due_p"))
-        df = df.withColumn("_before", before)
-        return df.withColumn("grand_p", F.expr("((_before + 50) div 100) * 100")).withColumn(
-            "round_off_p", F.col("grand_p") - F.col("_before"))
+        """Seller's and buyer's figures of each document; two projections, all on longs."""
+        e = F.expr
+        facts = self.docs.select(
+            "*", e("gst_category = 'overseas'").alias("is_export"),
+            e("gst_category = 'overseas' AND ck % 40 <> 9").alias("free"),
+            e("gst_category <> 'overseas' AND seller_state = pos").alias("intra"),
+            e("supplier_gstin IS NULL OR substr(supplier_gstin, 1, 2) = buyer_state").alias("bill_intra"),
+            e("sk % 50 = 7").alias("is_rcm"),
+            *[F.coalesce(F.col("buyer_trade").isin(trades), F.lit(False)).alias(f"open_{name}")
+              for name, trades in UNBLOCKED.items()],
+            e("CASE WHEN is_return THEN date_add(order_date, 30) ELSE order_date END").alias("doc_date"))
+        facts = facts.select(
+            "*", e("""taxable_p + CASE WHEN is_rcm OR free THEN 0L
+                      WHEN intra THEN 2 * half_p + cess_p ELSE full_p + cess_p END""").alias("sale_p"),
+            e("taxable_p + CASE WHEN is_rcm THEN 0L WHEN bill_intra THEN 2 * half_p ELSE full_p END").alias("bill_p"))
+        # amounts are never negative, so adding half a rupee before div rounds half up
+        claim = " + ".join([
+            "{v}_open", *[f"CASE WHEN open_{n} THEN {{v}}_{n} ELSE 0L END" for n in UNBLOCKED]])
+        return facts.select(
+            "*",
+            e("CASE WHEN NOT free AND intra THEN half_p ELSE 0L END").alias("cgst_p"),
+            e("CASE WHEN NOT free AND NOT intra THEN full_p ELSE 0L END").alias("igst_p"),
+            e("CASE WHEN free THEN 0L ELSE cess_p END").alias("cess_due_p"),
+            e("(sale_p + 50) div 100 * 100").alias("grand_p"),
+            e("(sale_p + 50) div 100 * 100 - sale_p").alias("round_off_p"),
+            e("CASE WHEN bill_intra THEN half_p ELSE 0L END").alias("b_cgst_p"),
+            e("CASE WHEN bill_intra THEN 0L ELSE full_p END").alias("b_igst_p"),
+            e(f"CASE WHEN bill_intra THEN {claim.format(v='half')} ELSE 0L END").alias("claim_cgst_p"),
+            e(f"CASE WHEN bill_intra THEN 0L ELSE {claim.format(v='full')} END").alias("claim_igst_p"),
+            e("CASE WHEN is_rcm THEN bill_p ELSE (bill_p + 50) div 100 * 100 END").alias("b_grand_p"),
+            e("CASE WHEN is_rcm THEN 0L ELSE (bill_p + 50) div 100 * 100 - bill_p END").alias("b_round_off_p"),
+            e("concat(CASE WHEN is_return THEN 'CN-' ELSE 'SI-' END, ok, '-', sk)").alias("invoice_id"),
+            e("concat(CASE WHEN is_return THEN 'DN-' ELSE 'PB-' END, ok, '-', sk)").alias("bill_id"))
 
     @cached_property
     def sales(self) -> DataFrame:
@@ -253,51 +272,22 @@ class Books:
             rupees(F.when(~free, F.col("cess_p")).otherwise(0)).alias("cess"))
 
     # ---- bills ----------------------------------------------------------------------------------
-    @cached_property
-    def _bills_wide(self) -> DataFrame:
-        df = self._sales_wide.withColumn(
-            "bill_intra", F.col("supplier_gstin").isNull() | (gstin.state_of(F.col("supplier_gstin")) == F.col("buyer_state")))
-        intra, none = F.col("bill_intra"), F.lit(0).cast("long")
+    def itc_eligibility(self) -> Column:
+        """One verdict when all expense accounts of the bill agree, else mixed."""
+        trade = F.col("buyer_trade")
+        seen = {v: F.lit(False) for v in ("eligible", "blocked", "conditional")}
         for a in EXPENSE_ACCOUNTS:
-            df = df.withColumn(f"itc_{a}", F.when(
-                F.col(f"taxable_{a}").isNotNull(), itc.decide_for_account(a, F.col("buyer_trade"))))
-            df = df.withColumn(f"bh_{a}", F.when(intra, F.coalesce(F.col(f"half_{a}"), none)).otherwise(none))
-            df = df.withColumn(f"bi_{a}", F.when(intra, none).otherwise(F.coalesce(F.col(f"full_{a}"), none)))
-        accounts = EXPENSE_ACCOUNTS
-
-        def total(col: str, only: bool | None = None) -> Column:
-            out = none
-            for a in accounts:
-                value = F.col(f"{col}_{a}")
-                if only is not None:
-                    ok = F.col(f"itc_{a}") == "eligible"
-                    value = F.when(ok if only else ~ok, value).otherwise(none)
-                out = out + value
-            return out
-
-        def any_of(verdict: str) -> Column:
-            out = F.lit(False)
-            for a in accounts:
-                out = out | F.coalesce(F.col(f"itc_{a}") == verdict, F.lit(False))
-            return out
-
-        e, b, q = any_of("eligible"), any_of("blocked"), any_of("conditional")
-        df = df.select(
-            "*", total("bh").alias("b_cgst_p"), total("bi").alias("b_igst_p"),
-            total("bh", True).alias("claim_cgst_p"), total("bi", True).alias("claim_igst_p"),
-            F.when(e & ~b & ~q, "eligible").when(b & ~e & ~q, "blocked").when(q & ~e & ~b, "conditional").otherwise(
-                "mixed").alias("itc_eligibility"))
-        df = df.withColumn("b_tax_p", F.col("b_cgst_p") * 2 + F.col("b_igst_p")).withColumn(
-            "claim_p", F.col("claim_cgst_p") * 2 + F.col("claim_igst_p"))
-        df = df.withColumn("_b", F.col("taxable_p") + F.when(F.col("is_rcm"), none).otherwise(F.col("b_tax_p")))
-        return df.withColumn("b_grand_p", F.when(F.col("is_rcm"), F.col("_b")).otherwise(
-            F.expr("((_b + 50) div 100) * 100"))).withColumn("b_round_off_p", F.col("b_grand_p") - F.col("_b"))
+            verdict, present = itc.decide_for_account(a, trade), F.col(f"taxable_{a}").isNotNull()
+            seen = {v: cond | (present & (verdict == v)) for v, cond in seen.items()}
+        e, b, q = seen["eligible"], seen["blocked"], seen["conditional"]
+        return (F.when(e & ~b & ~q, "eligible").when(b & ~e & ~q, "blocked").when(q & ~e & ~b, "conditional")
+                .otherwise("mixed"))
 
     @cached_property
     def bills(self) -> DataFrame:
         """Purchase bills and debit notes, seen from the buyer."""
         off = F.when(F.col("ok") % 23 == 0, 1000).otherwise(0)
-        return self._bills_wide.select(
+        return self._sales_wide.select(
             F.col("buyer_firm").alias("firm_id"), F.col("buyer").alias("client_id"),
             F.col("bill_id").alias("voucher_id"), "ok", "sk", "is_return",
             F.concat(F.lit("S"), F.col("sk").cast("string")).alias("party_id"),
@@ -307,9 +297,10 @@ class Books:
             F.col("doc_date").alias("bill_date"), "status", "is_rcm", F.col("bill_intra").alias("intra"),
             *[rupees(F.col(f"{p}_p")).alias(n) for p, n in (
                 ("taxable", "taxable"), ("b_cgst", "cgst"), ("b_cgst", "sgst"), ("b_igst", "igst"),
-                ("b_round_off", "round_off"), ("b_grand", "grand_total"), ("claim", "itc_claimable"),
-                ("claim_cgst", "claim_cgst"), ("claim_igst", "claim_igst"))],
-            rupees(F.col("b_tax_p") - F.col("claim_p")).alias("itc_blocked"), "itc_eligibility", "n_lines",
+                ("b_round_off", "round_off"), ("b_grand", "grand_total"), ("claim_cgst", "claim_cgst"), ("claim_igst", "claim_igst"))],
+            rupees(F.expr("2 * claim_cgst_p + claim_igst_p")).alias("itc_claimable"),
+            rupees(F.expr("2 * (b_cgst_p - claim_cgst_p) + b_igst_p - claim_igst_p")).alias("itc_blocked"),
+            self.itc_eligibility().alias("itc_eligibility"), "n_lines",
             rupees(F.when(F.col("bill_intra"), F.col("b_cgst_p") + off).otherwise(F.col("b_cgst_p"))).alias("stated_cgst"),
             rupees(F.when(F.col("bill_intra"), F.col("b_igst_p")).otherwise(F.col("b_igst_p") + off)).alias("stated_igst"),
             F.when(F.col("ok") % 19 == 0, "pending_review").otherwise("approved").alias("approval_status"),
@@ -369,7 +360,7 @@ class Books:
     @cached_property
     def document_legs(self) -> DataFrame:
         """Invoices, their reversals, bills and receipts from one pass over the documents."""
-        d = self._bills_wide
+        d = self._sales_wide
         c = F.col
         sign = F.when(c("is_return"), -1).otherwise(1).cast("long")
         rcm = c("is_rcm")
@@ -380,8 +371,8 @@ class Books:
                {"cgst": "cgst_p", "sgst": "cgst_p", "igst": "igst_p", "cess": "cess_due_p"}.items()}
         s_legs = posting.sales_legs(
             {**tax, "grand_total": c("grand_p"), "rev_goods": c("taxable_p") - c("rev_service_p"),
-             "rev_service": c("rev_service_p"), "round_off": c("round_off_p")}, cust, sign)
-        b_legs = bill_legs(supp, sign)
+             "rev_service": c("rev_service_p"), "round_off": c("round_off_p")}, cust)
+        b_legs = bill_legs(supp)
         reversed_ = ~c("is_return") & (c("ok") % 37 == 0)
         short = (c("status") == "F") & (c("ok") % 7 == 0)
         tds_amt = F.when(short, F.expr("(taxable_p * 1000 + 5000) div 10000")).otherwise(none)
@@ -391,15 +382,13 @@ class Books:
         V = posting.Voucher
         return posting.explode_vouchers(d, [
             V(c("invoice_id"), F.when(c("is_return"), "credit_note").otherwise("sales"),
-              c("seller_firm"), c("seller"), c("doc_date"), s_legs),
-            V(F.concat(F.lit("RV-"), c("invoice_id")), F.lit("sales"), c("seller_firm"), c("seller"),
-              F.date_add("doc_date", 10), posting.swapped(s_legs), reversed_),
+              c("seller_firm"), c("seller"), c("doc_date"), s_legs, sign=sign),
             V(c("bill_id"), F.when(c("is_return"), "debit_note").otherwise("purchase"),
-              c("buyer_firm"), c("buyer"), c("doc_date"), b_legs),
+              c("buyer_firm"), c("buyer"), c("doc_date"), b_legs, sign=sign),
             V(key_text("RC-", c("ok"), "-", c("sk")), F.lit("receipt"), c("seller_firm"), c("seller"),
               F.date_add("doc_date", 30), r_legs,
-              ~c("is_return") & ~reversed_ & c("status").isin("F", "P")),
-        ], "ok")
+              when=~c("is_return") & ~reversed_ & c("status").isin("F", "P")),
+        ], "ok", [posting.Mirror(0, F.concat(F.lit("RV-"), c("invoice_id")), F.date_add("doc_date", 10), reversed_)])
 
     @cached_property
     def payment_legs(self) -> DataFrame:
@@ -440,24 +429,30 @@ class Books:
             (ok % 16 == 4).alias("ai_edited"))
 
 
-def bill_legs(supplier: Column, sign: Column) -> list[posting.Leg]:
+def bill_legs(supplier: Column) -> list[posting.Leg]:
     """Expense per account (with unclaimable tax), input credit, creditor; both sides under reverse charge."""
     c = F.col
     rcm = c("is_rcm")
-    expense = [
-        posting.Leg(a, sign * (c(f"taxable_{a}") + F.when(c(f"itc_{a}") == "eligible", 0).otherwise(
-            c(f"bh_{a}") * 2 + c(f"bi_{a}"))))
-        for a in EXPENSE_ACCOUNTS]
+    expense = []
+    for a in EXPENSE_ACCOUNTS:
+        amount = f"taxable_{a}"
+        group = next(n for n, members in ITC_GROUPS.items() if a in members)
+        if group != "open":
+            tax = f"CASE WHEN bill_intra THEN 2 * half_{group} ELSE full_{group} END"
+            if group in UNBLOCKED:
+                tax = f"CASE WHEN open_{group} THEN 0L ELSE {tax} END"
+            amount = f"{amount} + {tax}"
+        expense.append(posting.Leg(a, F.expr(amount)))
     return [
         *expense,
-        posting.Leg(m.IN_CGST, sign * c("claim_cgst_p")),
-        posting.Leg(m.IN_SGST, sign * c("claim_cgst_p")),
-        posting.Leg(m.IN_IGST, sign * c("claim_igst_p")),
-        posting.Leg(m.OUT_CGST, F.when(rcm, -sign * c("b_cgst_p"))),
-        posting.Leg(m.OUT_SGST, F.when(rcm, -sign * c("b_cgst_p"))),
-        posting.Leg(m.OUT_IGST, F.when(rcm, -sign * c("b_igst_p"))),
-        posting.Leg(m.CREDITORS, -sign * c("b_grand_p"), "supplier", supplier),
-        posting.Leg(m.ROUND_OFF, sign * c("b_round_off_p")),
+        posting.Leg(m.IN_CGST, c("claim_cgst_p")),
+        posting.Leg(m.IN_SGST, c("claim_cgst_p")),
+        posting.Leg(m.IN_IGST, c("claim_igst_p")),
+        posting.Leg(m.OUT_CGST, F.when(rcm, -c("b_cgst_p"))),
+        posting.Leg(m.OUT_SGST, F.when(rcm, -c("b_cgst_p"))),
+        posting.Leg(m.OUT_IGST, F.when(rcm, -c("b_igst_p"))),
+        posting.Leg(m.CREDITORS, -c("b_grand_p"), "supplier", supplier),
+        posting.Leg(m.ROUND_OFF, c("b_round_off_p")),
     ]
 
 
