@@ -2,8 +2,8 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import reports
+    from . import bank, reports
     out: dict[str, str] = {}
-    for module in (reports,):
+    for module in (reports, bank):
         out.update(module.SQL)
     return out

@@ -1 +1,252 @@
-"""Registered jobs."""
+"""Bank jobs."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import masters as m
+from ..functions import text
+from ..functions.money import to_paise
+from ..operators import matching as mt
+from ..operators import posting
+from ..operators.staging import stage
+from . import bank as k
+from .registry import job
+
+AS_OF, FROM, TO = "2027-03-31", "2024-01-01", "2026-03-31"
+
+
+@job("parse_narration")
+def parse_narration(b):
+    return b.parsed(b.bank_lines).select("line_id", "rule", "payment_mode", "reference", "counterparty")
+
+
+@job("narration_residue")
+def narration_residue(b):
+    return b.parsed(b.bank_lines).filter("rule IS NULL").select("line_id", "narration", "reference")
+
+
+@job("line_hint")
+def line_hint(b):
+    p = b.parsed(b.event_lines)
+    return p.select("line_id", text.line_hint(F.col("payment_mode"), F.col("credit") > 0).alias("hint")).filter(
+        "hint IS NOT NULL")
+
+
+@job("line_hash")
+def line_hash(b):
+    c = F.col
+    return b.stated_lines.select("line_id", text.line_hash(
+        c("account_id"), c("txn_date"), c("debit"), c("credit"), c("narration"), c("running_balance")).alias("content_hash"))
+
+
+@job("account_hash")
+def account_hash(b):
+    n = F.concat(F.lit("ac "), F.lpad(F.col("account_id").cast("string"), 12, "0"))
+    return b.bank_lines.select("account_id").distinct().select(
+        "account_id", text.account_hash(n).alias("account_hash"), F.substring(n, -4, 4).alias("last4"))
+
+
+@job("append_new_lines")
+def append_new_lines(b):
+    """A second upload overlapping the first: lines up to the tenth day are already known."""
+    c = F.col
+    lines = b.event_lines.withColumn("content_hash", text.line_hash(
+        c("account_id"), c("txn_date"), c("debit"), c("credit"), c("narration"), F.lit(None)))
+    known = lines.filter(c("txn_date") <= F.lit("2024-01-10").cast("date"))
+    return k.new_lines(lines, known)
+
+
+@job("bank_line_status")
+def bank_line_status(b):
+    return k.line_status(b.event_lines, b.matches).select(
+        "line_id", "amount", "matched_amount", "unmatched_amount", "status")
+
+
+@job("match_summary")
+def match_summary(b):
+    s = F.col("status")
+    return k.line_status(b.event_lines, b.matches).groupBy("account_id").agg(
+        F.count_if(s == "unmatched").alias("unmatched"), F.count_if(s == "matched").alias("matched"),
+        F.count_if(s == "partially_matched").alias("partially_matched"), F.count_if(s == "ignored").alias("ignored"))
+
+
+@job("statement_arithmetic")
+def statement_arithmetic(b):
+    return k.statement_arithmetic(k.statement_rows(b.stated_lines, b.statements), b.statements)
+
+
+@job("statement_bad_rows")
+def statement_bad_rows(b):
+    return k.statement_bad_rows(k.statement_rows(b.stated_lines, b.statements)).drop("line_key")
+
+
+@job("statement_gaps")
+def statement_gaps(b):
+    return k.statement_gaps(b.statements)
+
+
+@job("bank_reconciliation")
+def bank_reconciliation(b):
+    return k.bank_reconciliation(b.ledger, b.bank_lines, b.matches, b.cheques, b.statements, b.stated_lines, m.BANK,
+                                 "2025-03-31")
+
+
+@job("unpresented_cheques")
+def unpresented_cheques(b):
+    return k.unpresented_numbers(b.cheques, "2025-03-31")
+
+
+@job("cash_register")
+def cash_register(b):
+    return k.cash_register(b.ledger, [m.CASH], FROM, TO)
+
+
+@job("stale_cheques")
+def stale_cheques(b):
+    return k.stale_cheques(b.cheques, AS_OF)
+
+
+@job("cheque_events")
+def cheque_events(b):
+    return k.cheque_events(b.cheques)
+
+
+@job("post_bounces")
+def post_bounces(b):
+    """Reversal legs of the payments and receipts whose cheques bounced."""
+    r = b.cheques.filter("status = 'bounced'").select(
+        "voucher_id", F.concat(F.lit("RV-"), "voucher_id").alias("reversal_id"), F.col("bounced_date").alias("reversal_date"))
+    legs = b.document_legs.filter("voucher_type = 'receipt'").unionByName(b.payment_legs)
+    return posting.reverse(legs, r).select(
+        "client_id", "voucher_id", "posting_date", "account_code", "debit", "credit", "party_id")
+
+
+def _lines_voucher(b, lines, legs, prefix, kind):
+    c = F.col
+    v = posting.Voucher(F.concat(F.lit(prefix), c("line_id")), F.lit(kind), c("client_id") % 5, c("client_id"),
+                        c("txn_date"), legs)
+    return posting.explode_vouchers(lines, [v], "line_key").select(
+        "client_id", "voucher_id", "posting_date", "account_code", "debit", "credit")
+
+
+@job("post_bank_charges")
+def post_bank_charges(b):
+    """Charges found on statements, tax at 18 % contained in the debit."""
+    lines = b.parsed(b.event_lines).filter("payment_mode = 'charge' AND debit > 0").withColumn(
+        "total_p", to_paise(F.col("debit"))).withColumn("gst_p", F.expr("(total_p * 18 + 59) div 118"))
+    return _lines_voucher(b, lines, posting.charge_legs(m.BANK, F.col("total_p"), F.col("gst_p"), F.col("client_id") % 2 == 0),
+                          "CH-", "payment")
+
+
+@job("post_interest")
+def post_interest(b):
+    """Interest credits grossed up for the tenth the bank withheld."""
+    lines = b.parsed(b.event_lines).filter("payment_mode = 'interest' AND credit > 0").withColumn(
+        "net_p", to_paise(F.col("credit"))).withColumn("gross_p", F.expr("(net_p * 10 + 4) div 9"))
+    return _lines_voucher(b, lines, posting.interest_legs(m.BANK, F.col("net_p"), F.col("gross_p")), "IN-", "receipt")
+
+
+def bank_rules(b):
+    """Rules people confirmed, per client."""
+    rows = [
+        (10, "SMS CHARGES", None, "charge", "debit", None, None, "classify_as", 5180),
+        (20, None, "INT.PD", "interest", "credit", None, None, "classify_as", 4110),
+        (30, "ATM", None, None, None, None, "200", "classify_as", 1010),
+        (40, None, "EXAMPLE COMPANY", None, None, "50", None, "match_party", None),
+    ]
+    t = m.literal_table(b.spark, rows, "priority int, starts_with string, contains string, payment_mode string, "
+                        "direction string, amount_min decimal(18,2), amount_max decimal(18,2), action string, target_account int")
+    return b.clients.filter("client_id % 3 <> 2").select("client_id", F.explode(F.array(*[F.lit(p) for p in (10, 20, 30, 40)])
+                                                         ).alias("priority")).join(F.broadcast(t), "priority").withColumn(
+        "rule_id", F.col("client_id") * 100 + F.col("priority"))
+
+
+@job("apply_bank_rules")
+def apply_bank_rules(b):
+    return k.apply_rules(b.parsed(b.event_lines), bank_rules(b))
+
+
+@job("rule_confirmations")
+def rule_confirmations(b):
+    """Rules that fired often enough to be applied without asking."""
+    return k.apply_rules(b.parsed(b.event_lines), bank_rules(b)).groupBy("client_id", "rule_id").agg(
+        F.count(F.lit(1)).alias("confirmed_count")).filter("confirmed_count >= 3")
+
+
+@job("open_invoices")
+def open_invoices(b):
+    return mt.open_invoices(b.sales, b.receipts).select(
+        "client_id", "voucher_id", "party_id", "document_date", "taxable", "grand_total", "outstanding", "reference")
+
+
+@job("open_bills")
+def open_bills(b):
+    return mt.open_bills(b.bills, b.payments).select(
+        "client_id", "voucher_id", "document_number", "party_id", "document_date", "grand_total", "outstanding")
+
+
+@job("tds_shortfall")
+def tds_shortfall(b):
+    from ..functions.tax import withheld_rate
+    j = b.receipts.withColumn("w", withheld_rate(F.col("grand_total"), F.col("taxable"), F.col("cash"))).filter(
+        "w.shortfall > 0")
+    return j.select("voucher_id", "w.shortfall", F.col("w.rate").alias("implied_rate"), F.col("w.section").alias("section"))
+
+
+@job("resolve_party")
+def resolve_party(b):
+    return mt.resolve_party(b.parsed(b.document_bank_lines), mt.client_parties(b.sales, b.bills))
+
+
+@job("match_known_link")
+def match_known_link(b):
+    return mt.known_link(b.parsed(b.collection_lines).filter("source = 'collection'"), mt.open_invoices(b.sales, b.receipts))
+
+
+def _matched(b):
+    """Ranked pairs with the staged lines and open invoices they came from."""
+    raw = stage(b.parsed(b.document_bank_lines))
+    invoices = stage(mt.open_invoices(b.sales, b.receipts))
+    docs = stage(mt.to_docs(invoices, mt.open_bills(b.bills, b.payments)))
+    party = mt.resolve_party(raw, stage(mt.client_parties(b.sales, b.bills)))
+    lines = stage(mt.to_lines(raw, party))
+    return mt.rank(mt.candidates(lines, docs)), raw, invoices
+
+
+@job("match_candidates")
+def match_candidates(b):
+    return _matched(b)[0].select("line_id", "rank", "voucher_id", "score", "signals")
+
+
+@job("match_proposals")
+def match_proposals(b):
+    return mt.propose(_matched(b)[0])
+
+
+@job("match_queue")
+def match_queue(b):
+    """Newest 500 open lines per account with their best score."""
+    ranked, lines, _ = _matched(b)
+    return mt.queue(lines, mt.propose(ranked), 500)
+
+
+@job("post_receipts")
+def post_receipts(b):
+    """Receipts of automatically matched credits: allocation never above what is outstanding."""
+    ranked, lines, invoices = _matched(b)
+    return mt.settle(stage(mt.propose(ranked)), lines, invoices)
+
+
+@job("allocate_receipts")
+def allocate_receipts(b):
+    c = F.col
+    money_in = b.receipts.select("client_id", "party_id", c("voucher_id").alias("receipt_id"),
+                                 c("receipt_date").alias("receipt_date"), c("cash").alias("amount"), "ok", "sk")
+    due = b.sales.filter("NOT is_return AND NOT is_reversed").select(
+        "client_id", "party_id", "voucher_id", c("posting_date").alias("document_date"), c("grand_total").alias("due"), "ok", "sk")
+    return mt.allocate(money_in, due)
+
+
+@job("settlement_batches")
+def settlement_batches(b):
+    return mt.settlement_batches(b.collection_lines)

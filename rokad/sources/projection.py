@@ -238,7 +238,9 @@ class Books:
             F.col("customer_name").alias("party_name"), F.col("customer_gstin").alias("party_gstin"),
             "gst_category", F.col("seller_gstin").alias("supplier_gstin"),
             F.col("seller_state").alias("supplier_state"), F.col("pos").alias("place_of_supply"),
-            F.col("doc_date").alias("posting_date"), "status", "is_export", "export_type", "intra", "is_rcm",
+            F.col("doc_date").alias("posting_date"), "status", "is_export",
+            F.expr("CASE WHEN is_export THEN CASE WHEN free THEN 'without_payment' ELSE 'with_payment' END END").alias(
+                "export_type"), "intra", "is_rcm",
             *[rupees(F.col(f"{p}_p")).alias(n) for p, n in (
                 ("taxable", "taxable"), ("cgst", "cgst"), ("cgst", "sgst"), ("igst", "igst"),
                 ("cess_due", "cess"), ("rev_service", "rev_service"), ("round_off", "round_off"),
