@@ -2,8 +2,8 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import bank, reports
+    from . import bank, books, reports, tax
     out: dict[str, str] = {}
-    for module in (reports, bank):
+    for module in (reports, bank, tax, books):
         out.update(module.SQL)
     return out

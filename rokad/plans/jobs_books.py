@@ -3,6 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import masters as m
+from ..functions.money import MONEY, rupees
+from ..operators import matching as mt
+from . import books as k
 from . import reports as r
 from .registry import job
 
@@ -32,3 +36,191 @@ def balance_sheet(b):
 @job("account_ledger")
 def account_ledger(b):
     return r.account_ledger(b.ledger, FROM, TO, accounts=[1010, 1020])
+
+
+@job("scope")
+def scope(b):
+    return k.scope(b.sales, 2).select("firm_id", "client_id", "voucher_id", "grand_total")
+
+
+@job("voucher_status")
+def voucher_status(b):
+    return k.voucher_status(b.vouchers)
+
+
+@job("period_rollup")
+def period_rollup(b):
+    return k.period_rollup(b.document_legs)
+
+
+@job("flux")
+def flux(b):
+    return k.flux(k.period_rollup(b.document_legs))
+
+
+@job("chart_rollup")
+def chart_rollup(b):
+    return k.chart_rollup(b.ledger, b.chart, m.chart_groups(b.spark), AS_OF)
+
+
+@job("rollup_firm")
+def rollup_firm(b):
+    """Sales by firm, client and place of supply with subtotals."""
+    return b.sales.rollup("firm_id", "client_id", "place_of_supply").agg(
+        F.sum("grand_total").cast(MONEY).alias("grand_total"), F.count(F.lit(1)).alias("documents"))
+
+
+@job("consolidated_tb")
+def consolidated_tb(b):
+    """Firm trial balance with sales between clients of the firm taken out of both sides."""
+    inside = b.docs.filter("seller_firm = buyer_firm").select(F.concat("ok", F.lit("-"), "sk").alias("pair")).distinct()
+    legs = b.document_legs.withColumn("pair", F.regexp_replace("voucher_id", "^(RV-)?[A-Z]{2}-", ""))
+    kept = legs.join(inside, "pair", "left_anti")
+    return r.net_by(r.as_of(kept, AS_OF), "firm_id", "account_code").filter("net <> 0")
+
+
+@job("control_totals")
+def control_totals(b):
+    return k.control_totals(b.document_legs, r.trial_balance(b.document_legs, b.chart, AS_OF), AS_OF)
+
+
+@job("ageing")
+def ageing(b):
+    return k.ageing(mt.open_invoices(b.sales, b.receipts), AS_OF)
+
+
+@job("payables_ageing")
+def payables_ageing(b):
+    return k.ageing(mt.open_bills(b.bills, b.payments), AS_OF)
+
+
+@job("cash_flow")
+def cash_flow(b):
+    """Change of cash and bank over the year, split into result and working-capital movements."""
+    legs = r.between(b.ledger, FROM, TO).filter("NOT is_opening").join(F.broadcast(b.chart), "account_code")
+    kind = F.col("account_type")
+    p = F.col("signed_paise")
+
+    def s(cond, sign=-1):
+        return rupees(F.sum(F.when(cond, p * sign).otherwise(0)))
+
+    root = F.col("root_type")
+    money_acc = kind.isin("cash", "bank")
+    g = legs.groupBy("client_id").agg(
+        s(root.isin("income", "expense")).alias("net_profit"), s(kind == "receivable").alias("receivables_change"),
+        s(kind == "payable").alias("payables_change"), s(kind.isin("tax_input", "tax_output", "tds_payable", "tds_receivable")).alias("tax_change"),
+        s(money_acc, 1).alias("cash_change"))
+    c = F.col
+    return g.withColumn("ties", c("net_profit") + c("receivables_change") + c("payables_change") + c("tax_change") == c("cash_change"))
+
+
+@job("post_invoices")
+def post_invoices(b):
+    return b.document_legs.filter("voucher_type IN ('sales', 'credit_note')").select(
+        "client_id", "voucher_id", "voucher_type", "posting_date", "account_code", "debit", "credit", "party_id")
+
+
+@job("post_bills")
+def post_bills(b):
+    return b.document_legs.filter("voucher_type IN ('purchase', 'debit_note')").select(
+        "client_id", "voucher_id", "voucher_type", "posting_date", "account_code", "debit", "credit", "party_id")
+
+
+@job("post_supplier_payments")
+def post_supplier_payments(b):
+    return b.payment_legs.select("client_id", "voucher_id", "posting_date", "account_code", "debit", "credit", "settles_voucher_id")
+
+
+@job("post_reversals")
+def post_reversals(b):
+    return b.document_legs.filter("voucher_id LIKE 'RV-%'").select(
+        "client_id", "voucher_id", "posting_date", "account_code", "debit", "credit")
+
+
+@job("post_opening")
+def post_opening(b):
+    return b.opening.select("client_id", "voucher_id", "account_code", "party_id", "debit", "credit", "is_opening")
+
+
+@job("post_year_close")
+def post_year_close(b):
+    return k.year_close(b.document_legs, b.chart)
+
+
+@job("post_depreciation")
+def post_depreciation(b):
+    """Every catalogue part held as an asset; books alternate between statutory and income tax."""
+    pk = F.col("p_partkey")
+    a = b.raw("part").select(
+        (pk % 25).cast("int").alias("client_id"), pk.alias("asset_id"),
+        F.when(pk % 2 == 1, "income_tax").alias("finance_book_id"), F.col("p_retailprice").cast(MONEY).alias("cost"),
+        ((pk % 3 + 1) * 12).cast("int").alias("life_months"), F.lit("2024-04-01").cast("date").alias("start_date"))
+    return k.depreciation(a)
+
+
+@job("allocate_numbers")
+def allocate_numbers(b):
+    return k.allocate_numbers(b.sales.filter("NOT is_return"), "INV")
+
+
+@job("gstr1_doc_issue")
+def gstr1_doc_issue(b):
+    """Serial ranges per client and year; numbers of orders on the thirteenth were never issued."""
+    n = k.allocate_numbers(b.sales.filter("NOT is_return"), "INV").filter("number % 13 <> 0")
+    return k.series_ranges(n)
+
+
+@job("against_accounts")
+def against_accounts(b):
+    return k.against_accounts(b.document_legs)
+
+
+def _closed(b):
+    return b.sales.filter("ok % 50 = 0").select("client_id", F.trunc("posting_date", "month").alias("period_start")).distinct()
+
+
+@job("validate_ledger")
+def validate_ledger(b):
+    return k.validate_ledger(b.document_legs, b.vouchers, b.chart, _closed(b))
+
+
+@job("validate_invoices")
+def validate_invoices(b):
+    return k.validate_invoices(b.sales)
+
+
+@job("validate_bills")
+def validate_bills(b):
+    from .returns import reconcile_2b
+    return k.validate_bills(b.bills, reconcile_2b(b.bills, b.gstr_2b).select("voucher_id", "status"))
+
+
+@job("validate_matches")
+def validate_matches(b):
+    return k.validate_matches(b.matches, b.event_lines)
+
+
+@job("validate_dims")
+def validate_dims(b):
+    return k.validate_parties(b.parties)
+
+
+@job("vendor_account_prior")
+def vendor_account_prior(b):
+    o = b.orders.select("ok", F.col("buyer").alias("client_id"), F.col("order_date").alias("bill_date"))
+    parts = b.lines.filter("NOT is_return").select("ok", "sk", "expense_account").distinct().join(o, "ok").withColumn(
+        "party_id", F.concat(F.lit("S"), F.col("sk").cast("string")))
+    return k.vendor_account_prior(parts)
+
+
+@job("duplicate_documents")
+def duplicate_documents(b):
+    return k.duplicate_documents(b.raw("documents"))
+
+
+@job("duplicate_claims")
+def duplicate_claims(b):
+    """The same amount, day and merchant text claimed through more than one account."""
+    g = b.event_lines.filter("debit > 0").groupBy("txn_date", "debit").agg(
+        F.countDistinct("account_id").alias("claimants"), F.count(F.lit(1)).alias("claims"))
+    return g.filter("claimants > 1")

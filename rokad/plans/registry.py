@@ -5,17 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.banking import Banking
+from ..sources.returns import Tables
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def job(name: str):
     """Register a function of the domain tables under a job name."""
-    def wrap(fn: Callable[[Banking], DataFrame]):
+    def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Banking(spark, sf_dir))
+            return fn(Tables(spark, sf_dir))
         JOBS[name] = run
         return fn
     return wrap
