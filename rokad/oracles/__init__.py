@@ -2,8 +2,8 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import bank, books, reports, tax
+    from . import bank, books, ingest, reports, tax
     out: dict[str, str] = {}
-    for module in (reports, bank, tax, books):
+    for module in (reports, bank, tax, books, ingest):
         out.update(module.SQL)
     return out
