@@ -14,6 +14,7 @@ from ..functions import text
 from ..functions.dates import parse_date
 from ..functions.money import MONEY, zero
 from ..operators.prefix import running_sum
+from ..operators.staging import stage
 
 DELIMITERS = [",", "\t", ";", "|"]
 HEADER_ROWS, VOTE_ROWS = 60, 40
@@ -211,9 +212,15 @@ def balances(grid: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
         inside = F.regexp_extract(at["t"], r"([\d,]+\.\d{2})", 1)
         right = F.get(F.filter(F.slice("cells", at["i"] + 2, F.greatest(F.size("cells") - at["i"] - 1, F.lit(0))), text.looks_numeric), F.lit(0))
         left = F.get(F.filter(F.slice("cells", F.lit(1), F.greatest(at["i"], F.lit(0))), text.looks_numeric), F.lit(0))
-        return F.when(at.isNotNull(), text.signed_amount(F.coalesce(F.nullif(inside, F.lit("")), right, left)))
+        return F.coalesce(F.nullif(inside, F.lit("")), right, left)
 
-    lab = around.select("file_id", "line_no", (F.col("line_no") < F.col("header_line")).alias("pre"), mined(OPENING).alias("o"), mined(CLOSING).alias("c"))
+    def labelled(labels: list[str]) -> Column:
+        return F.lower(F.array_join("cells", " ")).rlike("|".join(v.replace("/", r"\/") for v in labels))
+
+    # the cell text is settled first, so the amount parser reads a plain column
+    raw = around.filter(labelled(OPENING + CLOSING)).select(
+        "file_id", "line_no", (F.col("line_no") < F.col("header_line")).alias("pre"), mined(OPENING).alias("raw_o"), mined(CLOSING).alias("raw_c"))
+    lab = stage(raw).select("file_id", "line_no", "pre", text.signed_amount(F.col("raw_o")).alias("o"), text.signed_amount(F.col("raw_c")).alias("c"))
 
     def pick(col: str, preamble_first: bool) -> Column:
         rank = F.when(F.col("pre") == preamble_first, 0).otherwise(1)
