@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import edited_likeness
+from .langid import language_report
 from .linededup import line_report
+from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
 from .tokens import count_tokens
@@ -16,6 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -36,4 +46,4 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op5_minhash_near_dedup, op6_line_dedup, op8_token_counts, op9_packing, op10_document_fingerprints)}
+QUERIES |= {f.__name__: f for f in (op1_language_id, op3_source_mixing, op5_minhash_near_dedup, op6_line_dedup, op8_token_counts, op9_packing, op10_document_fingerprints)}
