@@ -5,13 +5,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .fingerprints import edited_likeness
 from .langid import language_report
 from .linededup import line_report
+from .lm import score_documents
 from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import surrogates
 from .tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,10 +25,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -34,6 +46,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -46,4 +62,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op3_source_mixing, op5_minhash_near_dedup, op6_line_dedup, op8_token_counts, op9_packing, op10_document_fingerprints)}
+QUERIES |= {f.__name__: f for f in (
+    op1_language_id, op2_pii_surrogates, op3_source_mixing, op4_nearest_neighbours, op5_minhash_near_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts,
+    op9_packing, op10_document_fingerprints)}
