@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
@@ -17,6 +18,8 @@ from .packing import pack
 from .pii import surrogates
 from .tokens import count_tokens
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -47,7 +50,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    """Sums are rounded for the check: another engine adds in another order."""
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,3 +70,58 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (
     op1_language_id, op2_pii_surrogates, op3_source_mixing, op4_nearest_neighbours, op5_minhash_near_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts,
     op9_packing, op10_document_fingerprints)}
+
+ORACLE_SQL["op4_nearest_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL["op5_minhash_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || chr(1) || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept
+FROM w JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+ORACLE_SQL["op6_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN o USING (key) GROUP BY doc_id
+"""
+
+ORACLE_SQL["op7_lm_scoring"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+t AS (SELECT *, lag(a) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w),
+u AS (SELECT a, count(*) AS c FROM w GROUP BY a),
+du AS (SELECT doc_id, a, count(*) AS c FROM w GROUP BY ALL),
+b AS (SELECT p, a, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY ALL),
+db AS (SELECT doc_id, p, a, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY ALL),
+n AS (SELECT doc_id, len(ws) AS n, (SELECT count(*) FROM w) - len(ws) AS rest FROM d),
+c AS (
+  SELECT t.doc_id, greatest(n.rest, 1) AS rest, u.c - du.c AS one, b.c - db.c AS two, pu.c - pdu.c AS prefix
+  FROM t JOIN n USING (doc_id) JOIN u USING (a) JOIN du USING (doc_id, a) LEFT JOIN b ON b.p = t.p AND b.a = t.a
+  LEFT JOIN db ON db.doc_id = t.doc_id AND db.p = t.p AND db.a = t.a LEFT JOIN u pu ON pu.a = t.p LEFT JOIN du pdu ON pdu.doc_id = t.doc_id AND pdu.a = t.p),
+v AS (
+  SELECT doc_id, CASE WHEN two > 0 THEN ln(two / prefix)
+    ELSE (CASE WHEN two IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN one > 0 THEN ln(one / rest) ELSE ln(0.4 / rest) END) END AS x FROM c)
+SELECT n.doc_id, n.n AS n_words, round(coalesce(sum(x), 0), 4) AS log_score, round(sum(x) / n.n, 6) AS mean_log_score
+FROM n LEFT JOIN v USING (doc_id) GROUP BY n.doc_id, n.n
+"""
