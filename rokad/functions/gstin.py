@@ -9,9 +9,10 @@ ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LAYOUT = r"^[0-3][0-9][A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$"
 PAN_LAYOUT = r"^[A-Z]{5}[0-9]{4}[A-Z]$"
 STATE_CODES = (
-    "01 02 03 04 05 06 07 08 09 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 26 27 29 30 "
-    "31 32 33 34 35 36 37 38 96 97"
-).split()
+    "01", "02", "03", "04", "05", "06", "07", "08", "09", "10", "11", "12", "13",
+    "14", "15", "16", "17", "18", "19", "20", "21", "22", "23", "24", "26", "27",
+    "29", "30", "31", "32", "33", "34", "35", "36", "37", "38", "96", "97",
+)
 
 
 def check_digit(first14: Column) -> Column:
@@ -57,7 +58,7 @@ def pan_valid(pan: Column) -> Column:
 
 
 def state_valid(code: Column) -> Column:
-    return F.coalesce(code.isin(STATE_CODES), F.lit(False))
+    return F.coalesce(code.isin(*STATE_CODES), F.lit(False))
 
 
 def is_intra(supplier_gstin: Column, place_of_supply: Column) -> Column:

@@ -132,17 +132,17 @@ ITC_RULES = [
     (5193, "conditional", "rent_a_cab_insurance"),
 ]
 BLOCKED_CATEGORIES = {
-    "motor_vehicles": ("Motor vehicles (≤13 seats)", ["transport", "driving_school", "vehicle_dealer"]),
-    "food_beverages": ("Food, beverages, outdoor catering", ["catering", "restaurant"]),
-    "beauty_health": ("Beauty treatment, health services, cosmetic surgery", ["healthcare", "salon"]),
-    "club_membership": ("Club, health and fitness centre membership", []),
-    "rent_a_cab_insurance": ("Rent-a-cab, life and health insurance", ["insurance"]),
-    "employee_travel": ("Travel benefits to employees (LTA)", []),
-    "works_contract": ("Works contract for immovable property", ["construction", "works_contract"]),
-    "personal_consumption": ("Goods or services for personal consumption", []),
-    "lost_or_gifted": ("Goods lost, stolen, destroyed, written off, gifted, free samples", []),
-    "composition_supplier": ("Anything purchased from a composition-scheme supplier", []),
-    "csr": ("Corporate Social Responsibility expenditure", []),
+    "motor_vehicles": ["transport", "driving_school", "vehicle_dealer"],
+    "food_beverages": ["catering", "restaurant"],
+    "beauty_health": ["healthcare", "salon"],
+    "club_membership": [],
+    "rent_a_cab_insurance": ["insurance"],
+    "employee_travel": [],
+    "works_contract": ["construction", "works_contract"],
+    "personal_consumption": [],
+    "lost_or_gifted": [],
+    "composition_supplier": [],
+    "csr": [],
 }
 
 

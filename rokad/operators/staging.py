@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows once to the reliable checkpoint folder and read them from there.
 
-    The folder is the one the session names in spark.checkpoint.dir; a temporary one is made only
-    where none is set, as on a single machine in tests.
+    The folder is the one the session names in spark.checkpoint.dir. Where none is named, a session on one machine
+    (tests, bench) makes a temporary one, and a cluster fails: its executors could not share such a folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-rokad-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-rokad-"))
     return df.checkpoint(eager=True)

@@ -153,7 +153,7 @@ FROM sales_lines GROUP BY ALL)))""")
 cond = "CASE " + " ".join(
     f"WHEN expense_account = {a} THEN " + (
         "'blocked'" if rule == "blocked" else
-        f"CASE WHEN buyer_trade IN ({', '.join(q(t) for t in m.BLOCKED_CATEGORIES[cat][1])}) THEN 'eligible' "
+        f"CASE WHEN buyer_trade IN ({', '.join(q(t) for t in m.BLOCKED_CATEGORIES[cat])}) THEN 'eligible' "
         "WHEN buyer_trade IS NOT NULL THEN 'blocked' ELSE 'conditional' END")
     for a, rule, cat in m.ITC_RULES) + " ELSE 'eligible' END"
 cte("bill_parts", f"""

@@ -8,6 +8,7 @@ from .reports import AS_OF, FROM, TO
 from .tax import WHY
 
 cte("doc_legs", "SELECT *, CAST(year(posting_date) - CASE WHEN month(posting_date) < 4 THEN 1 ELSE 0 END AS INTEGER) fy FROM (SELECT * FROM legs_sales UNION ALL SELECT * FROM legs_rev UNION ALL SELECT * FROM legs_bill UNION ALL SELECT * FROM legs_receipt) WHERE amt <> 0")
+cte("chart_up", "SELECT code leaf, code FROM chart_groups UNION ALL SELECT u.leaf, g.parent_code FROM chart_up u JOIN chart_groups g ON g.code = u.code WHERE g.parent_code IS NOT NULL")
 cte("vouchers", """
 SELECT *, CASE WHEN ok % 4 = 0 THEN 'ai_proposal' ELSE 'ui' END created_via, 'u' || (ok % 7) created_by,
   CASE WHEN ok % 4 = 0 AND ok % 100 = 0 THEN NULL ELSE 'u' || (ok % 5) END approved_by,
@@ -15,7 +16,7 @@ SELECT *, CASE WHEN ok % 4 = 0 THEN 'ai_proposal' ELSE 'ui' END created_via, 'u'
 SELECT client_id, voucher_id, CASE WHEN is_return THEN 'credit_note' ELSE 'sales' END voucher_type, posting_date, ok, NULL reverses_id FROM sales
 UNION ALL SELECT client_id, 'RV-' || voucher_id, 'sales', posting_date + 10, ok, voucher_id FROM sales WHERE is_reversed
 UNION ALL SELECT client_id, voucher_id, CASE WHEN is_return THEN 'debit_note' ELSE 'purchase' END, bill_date, ok, NULL FROM bills)""")
-cte("rollup_m", "SELECT client_id, account_code, strftime(posting_date, '%Y-%m') period, sum(greatest(amt,0)) d, sum(greatest(-amt,0)) c FROM doc_legs GROUP BY 1, 2, 3")
+cte("rollup_m", "SELECT client_id, account_code, strftime(posting_date, '%Y-%m') period, sum(greatest(amt,0)) d, sum(greatest(-amt,0)) c FROM ledger GROUP BY 1, 2, 3")
 cte("numbered", f"SELECT *, row_number() OVER (PARTITION BY client_id, f ORDER BY posting_date, ok, sk) n FROM (SELECT *, {fy('posting_date')} f FROM sales WHERE NOT is_return)")
 cte("audit_rows", """
 SELECT event_id id, CAST(user_id % 5 AS INTEGER) firm_id, CAST(user_id % 25 AS INTEGER) client_id, CAST(event_id // 4096 AS INTEGER) segment, event_type entity_type, user_id entity_id,
@@ -57,17 +58,19 @@ def rules(rows: list[tuple[str, str, str, str]]) -> str:
 OKS = "(" + ", ".join(f"'{s}'" for s in g.STATE_CODES) + ")"
 SQL = {
     "scope": build(f"SELECT firm_id, client_id, voucher_id, {money('grand_p')} grand_total FROM sales WHERE firm_id = 2"),
-    "voucher_status": build("SELECT v.client_id, v.voucher_id, v.voucher_type, r.voucher_id reversed_by, CASE WHEN r.voucher_id IS NULL THEN 'posted' ELSE 'reversed' END effective_status FROM vouchers v LEFT JOIN vouchers r ON r.reverses_id = v.voucher_id"),
+    "voucher_status": build("""SELECT v.client_id, v.voucher_id, v.voucher_type, r.rv reversed_by, CASE WHEN r.rv IS NULL THEN 'posted' ELSE 'reversed' END effective_status
+ FROM vouchers v LEFT JOIN (SELECT l_orderkey ok, l_suppkey sk, 'RV-SI-' || l_orderkey || '-' || l_suppkey rv FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey % 37 = 0 GROUP BY ALL) r
+ ON v.voucher_id = substr(r.rv, 4)"""),
     "period_rollup": build(f"SELECT client_id, account_code, period, {money('d')} debit, {money('c')} credit FROM rollup_m"),
     "flux": build(f"SELECT client_id, account_code, period, {money('n')} net, {money('p')} previous, {money('n - p')} change FROM (SELECT *, lag(n) OVER (PARTITION BY client_id, account_code ORDER BY period) p FROM (SELECT *, d - c n FROM rollup_m)) WHERE p IS NOT NULL"),
-    "chart_rollup": build(f"""SELECT client_id, code, name, root_type, net FROM (SELECT client_id, code, {money('sum(amt)')} net FROM (SELECT client_id, amt, unnest([parent_code, gp]) code FROM
- (SELECT l.client_id, amt, c.parent_code, g.parent_code gp FROM ledger l JOIN chart c USING (account_code) JOIN chart_groups g ON g.code = c.parent_code WHERE posting_date <= DATE '{AS_OF}')) WHERE code IS NOT NULL GROUP BY 1, 2) JOIN chart_groups USING (code)"""),
+    "chart_rollup": build(f"""SELECT client_id, g.code, g.name, g.root_type, {money('sum(amt)')} net FROM ledger JOIN chart c USING (account_code) JOIN chart_up u ON u.leaf = c.parent_code
+ JOIN chart_groups g ON g.code = u.code WHERE posting_date <= DATE '{AS_OF}' GROUP BY 1, 2, 3, 4"""),
     "rollup_firm": build(f"SELECT firm_id, client_id, place_of_supply, {money('sum(grand_p)')} grand_total, count(*) documents FROM sales GROUP BY ROLLUP (firm_id, client_id, place_of_supply)"),
     "consolidated_tb": build(f"""SELECT firm_id, account_code, {money('sum(amt)')} net FROM doc_legs l WHERE posting_date <= DATE '{AS_OF}' AND NOT EXISTS (SELECT 1 FROM (SELECT ok || '-' || sk pair FROM line_docs WHERE seller_firm = buyer_firm) x
  WHERE x.pair = regexp_replace(l.voucher_id, '^(RV-)?[A-Z]{{2}}-', '')) GROUP BY 1, 2 HAVING sum(amt) <> 0"""),
-    "control_totals": build(f"""SELECT client_id, n entries, {money('d')} sum_debit, {money('c')} sum_credit, {money('td')} tb_debit, {money('tc')} tb_credit, d = c self_balancing, d - c = td - tc ties
- FROM (SELECT client_id, count(*) n, sum(greatest(amt, 0)) d, sum(greatest(-amt, 0)) c FROM doc_legs WHERE posting_date <= DATE '{AS_OF}' GROUP BY 1) JOIN
- (SELECT client_id, sum(greatest(x, 0)) td, sum(greatest(-x, 0)) tc FROM (SELECT client_id, account_code, sum(amt) x FROM doc_legs WHERE posting_date <= DATE '{AS_OF}' GROUP BY 1, 2) GROUP BY 1) USING (client_id)"""),
+    "control_totals": build(f"""SELECT client_id, n entries, {money('d')} sum_debit, {money('c')} sum_credit, {money('td')} tb_debit, {money('tc')} tb_credit, d = c self_balancing, d = td AND c = tc ties
+ FROM (SELECT client_id, count(*) n, sum(greatest(amt, 0)) d, sum(greatest(-amt, 0)) c FROM ledger WHERE posting_date <= DATE '{AS_OF}' GROUP BY 1) JOIN
+ (SELECT client_id, sum(d) td, sum(c) tc FROM rollup_m WHERE period <= strftime(DATE '{AS_OF}', '%Y-%m') GROUP BY 1) r USING (client_id)"""),
     "ageing": ag("open_invoices"), "payables_ageing": ag("open_bills"),
     "cash_flow": build(f"""SELECT client_id, {money('np')} net_profit, {money('rc')} receivables_change, {money('pc')} payables_change, {money('tc')} tax_change, {money('cc')} cash_change, np + rc + pc + tc = cc ties FROM (
  SELECT client_id, sum(CASE WHEN root_type IN ('income','expense') THEN -amt ELSE 0 END) np, sum(CASE WHEN account_type = 'receivable' THEN -amt ELSE 0 END) rc,
@@ -79,8 +82,8 @@ SQL = {
     "post_reversals": build(f"SELECT client_id, voucher_id, posting_date, account_code, {dc()} FROM legs_rev WHERE amt <> 0"),
     "post_opening": build(f"SELECT client_id, voucher_id, account_code, party_id, {dc()}, is_opening FROM legs_opening WHERE amt <> 0"),
     "post_year_close": build(f"""SELECT client_id, 'YC-' || client_id || '-' || fy voucher_id, make_date(fy + 1, 3, 31) posting_date, account_code, {dc('a')} FROM (
- SELECT client_id, fy, account_code, -sum(amt) a FROM doc_legs JOIN chart USING (account_code) WHERE root_type IN ('income','expense') GROUP BY 1, 2, 3
- UNION ALL SELECT client_id, fy, 3030, sum(amt) FROM doc_legs JOIN chart USING (account_code) WHERE root_type IN ('income','expense') GROUP BY 1, 2) WHERE a <> 0"""),
+ SELECT client_id, fy, account_code, -sum(amt) a FROM ledger JOIN chart USING (account_code) WHERE root_type IN ('income','expense') AND NOT is_opening GROUP BY 1, 2, 3
+ UNION ALL SELECT client_id, fy, 3030, sum(amt) FROM ledger JOIN chart USING (account_code) WHERE root_type IN ('income','expense') AND NOT is_opening GROUP BY 1, 2) WHERE a <> 0"""),
     "post_depreciation": build(f"""SELECT client_id, asset_id, fb finance_book_id, last_day(CAST(DATE '2024-04-01' + to_months(CAST(i - 1 AS INTEGER)) AS DATE)) posting_date,
  {money('CASE WHEN i = n THEN cost - (cost // n) * (n - 1) ELSE cost // n END')} amount FROM (SELECT *, unnest(range(1, n + 1)) i FROM (SELECT CAST(p_partkey % 25 AS INTEGER) client_id, p_partkey asset_id,
  CASE WHEN p_partkey % 2 = 1 THEN 'income_tax' END fb, CAST(round(p_retailprice * 100) AS BIGINT) cost, (p_partkey % 3 + 1) * 12 n FROM part))"""),
@@ -89,13 +92,13 @@ SQL = {
     "gstr1_doc_issue": build("""SELECT client_id, f fy, row_number() OVER (PARTITION BY client_id, f ORDER BY min(n)) range_no, min(n) from_number, max(n) to_number, count(*) issued FROM (
  SELECT client_id, f, n, n - row_number() OVER (PARTITION BY client_id, f ORDER BY n) isl FROM numbered WHERE n % 13 <> 0) GROUP BY client_id, f, isl"""),
     "against_accounts": build("""SELECT voucher_id, coalesce(string_agg(DISTINCT CAST(account_code AS VARCHAR), ',' ORDER BY CAST(account_code AS VARCHAR)) FILTER (amt > 0), '') debit_accounts,
- coalesce(string_agg(DISTINCT CAST(account_code AS VARCHAR), ',' ORDER BY CAST(account_code AS VARCHAR)) FILTER (amt < 0), '') credit_accounts FROM doc_legs GROUP BY 1"""),
+ coalesce(string_agg(DISTINCT CAST(account_code AS VARCHAR), ',' ORDER BY CAST(account_code AS VARCHAR)) FILTER (amt < 0), '') credit_accounts FROM ledger GROUP BY 1"""),
     "validate_ledger": rules([
-        ("V-1", "voucher_id", "(SELECT voucher_id, sum(amt) s FROM doc_legs GROUP BY 1)", "s <> 0"),
-        ("V-2", "voucher_id", "(SELECT voucher_id, count(*) s FROM doc_legs GROUP BY 1)", "s < 2"),
-        ("V-5", KEY, "doc_legs", "account_code IN (1030, 2010) AND party_id IS NULL"),
+        ("V-1", "voucher_id", "(SELECT voucher_id, sum(amt) s FROM ledger WHERE NOT is_opening GROUP BY 1)", "s <> 0"),
+        ("V-2", "voucher_id", "(SELECT voucher_id, count(*) s FROM ledger WHERE NOT is_opening GROUP BY 1)", "s < 2"),
+        ("V-5", KEY, "ledger", "account_code IN (1030, 2010) AND party_id IS NULL"),
         ("V-6", "voucher_id", "vouchers v", "EXISTS (SELECT 1 FROM closed_m c WHERE c.client_id = v.client_id AND c.ps = date_trunc('month', v.posting_date))"),
-        ("V-10", KEY, "doc_legs", "account_code = 5199 AND abs(amt) > 100"),
+        ("V-10", KEY, "ledger", "account_code = 5199 AND abs(amt) > 100"),
         ("V-12", "voucher_id", "vouchers", "created_via = 'ai_proposal' AND approved_by IS NULL")]),
     "validate_invoices": rules([
         ("SI-1", "voucher_id", "sales", f"{REG} AND {why('party_gstin')} IS NOT NULL"), ("SI-2", "voucher_id", "sales", f"{why('supplier_gstin')} IS NOT NULL"),
@@ -128,7 +131,8 @@ SQL = {
     "audit_by_actor": build("SELECT firm_id, client_id, actor_user_id, \"action\", count(*) changes FROM audit_rows GROUP BY 1, 2, 3, 4"),
     "support_access": build("SELECT id, firm_id, client_id, entity_type, entity_id, \"action\" FROM audit_rows WHERE actor_type = 'support'"),
     "backdated_entries": build("SELECT client_id, voucher_id, posting_date, entered_on, CAST(entered_on - posting_date AS INTEGER) AS days FROM vouchers WHERE entered_on - posting_date > 30"),
-    "reversal_report": build("SELECT v.client_id, v.voucher_id, v.posting_date, r.voucher_id reversal_id, 'customer cancelled' reason, r.created_by reversed_by, r.posting_date reversed_on FROM vouchers v JOIN vouchers r ON r.reverses_id = v.voucher_id"),
+    "reversal_report": build("""SELECT client_id, voucher_id, posting_date, 'RV-' || voucher_id reversal_id, 'customer cancelled' reason, 'u' || (ok % 7) reversed_by, posting_date + 10 reversed_on
+ FROM sales WHERE is_reversed"""),
     "origin_breakdown": build("SELECT client_id, voucher_type, count(*) vouchers, count(*) FILTER (created_via = 'ai_proposal') machine, count(*) FILTER (created_via = 'ai_proposal' AND ai_edited) machine_edited FROM vouchers GROUP BY 1, 2"),
     "period_status": build("SELECT client_id, strftime(occurred_at, '%Y-%m') period, arg_max(CASE WHEN \"action\" = 'approve' THEN 'closed' ELSE 'open' END, id) status, max(id) event_id FROM audit_rows WHERE \"action\" IN ('approve','reverse') GROUP BY 1, 2"),
     "account_versions": build("""SELECT entity_type, entity_id, id, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY id) "version", regexp_extract("after", '"k": *(\\d+)', 1) k FROM (

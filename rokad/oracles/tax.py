@@ -66,8 +66,8 @@ def wise(names: str) -> str:
     return build(f"SELECT client_id, period, bucket, voucher_id, party_gstin, place_of_supply, {cols} FROM bucketed WHERE bucket IN ({names})")
 
 
-LABEL = "CASE expense_account " + " ".join(
-    f"WHEN {a} THEN {q(m.BLOCKED_CATEGORIES[c][0])}" for a, _, c in m.ITC_RULES) + " END"
+CATEGORY = "CASE expense_account " + " ".join(
+    f"WHEN {a} THEN {q(c)}" for a, _, c in m.ITC_RULES) + " END"
 RATE = "CAST({} AS DECIMAL(5,2))"
 V = [("out_taxable", "o_t"), ("out_cgst", "o_c"), ("out_sgst", "o_c"), ("out_igst", "o_i"), ("out_cess", "o_x"), ("zero_rated", "zr"),
      ("inter_unregistered", "iu"), ("itc_cgst", "i_c"), ("itc_sgst", "i_c"), ("itc_igst", "i_i"), ("itc_blocked", "bl"), ("rcm_cgst", "r_c"),
@@ -93,19 +93,14 @@ LEFT JOIN (SELECT DISTINCT client_id, CAST(date_trunc('month', posting_date) AS
     "tds_quarterly": build(f"SELECT client_id, year(payment_date) || '-Q' || quarter(payment_date) \"quarter\", party_id, section_id, {money('sum(amount_p)')} paid, {money('sum(tds_p)')} withheld, count(*) payments FROM tds_all WHERE tds_p > 0 GROUP BY 1, 2, 3, 4"),
     "tds_recon": build(f"SELECT client_id, {P.format('payment_date')} period, {money('sum(tds_p)')} withheld, {money('sum(tds_p)')} booked, true agrees FROM tds_all GROUP BY 1, 2 HAVING sum(tds_p) <> 0"),
     "bill_itc_header": build(f"SELECT voucher_id, itc_eligibility, {money('2 * claim_cgst_p + claim_igst_p')} itc_claimable, {money('2 * (cgst_p - claim_cgst_p) + igst_p - claim_igst_p')} itc_blocked, {money('claim_cgst_p')} claim_cgst, {money('claim_igst_p')} claim_igst FROM bills"),
-    "itc_decide": build(f"""SELECT client_id, expense_account, lines, e eligibility, CASE WHEN label IS NULL THEN 'no blocking category applies'
- WHEN expense_account = 5140 THEN 'Section 17(5) blocks input credit on ' || label
- WHEN e = 'eligible' THEN label || ' is normally blocked, but this client''s business type (' || buyer_trade || ') qualifies for the exception'
- WHEN e = 'blocked' THEN label || ' is blocked for a ' || buyer_trade || ' business — no Section 17(5) exception applies to this trade'
- ELSE label || ' is blocked unless the client''s business qualifies for the exception, and the client''s business type has not been recorded — ask once, on the client, and this resolves for every future bill' END reason
-FROM (SELECT client_id, buyer_trade, expense_account, {cond} e, {LABEL} label, count(*) lines FROM (SELECT buyer client_id, buyer_trade, expense_account FROM line_docs) GROUP BY ALL)"""),
+    "itc_decide": build(f"""SELECT client_id, expense_account, lines, e eligibility, CASE WHEN category IS NULL THEN 'open'
+ WHEN expense_account = 5140 THEN 'always_blocked:' || category WHEN e = 'eligible' THEN 'trade_exempt:' || category || ':' || buyer_trade
+ WHEN e = 'blocked' THEN 'trade_blocked:' || category || ':' || buyer_trade ELSE 'trade_unknown:' || category END reason
+FROM (SELECT client_id, buyer_trade, expense_account, {cond} e, {CATEGORY} category, count(*) lines FROM (SELECT buyer client_id, buyer_trade, expense_account FROM line_docs) GROUP BY ALL)"""),
     "recon_2b": build(f"SELECT client_id, supplier_gstin, voucher_id, bill_number, invoice_number, {money('bt')} b_taxable, {money('gt')} g_taxable, status FROM recon"),
     "itc_claimable": build("""SELECT voucher_id, status, itc_eligibility = 'eligible' AND (status = 'exact_match' OR status = 'missing_in_2b' AND ov) claimable,
- CASE WHEN itc_eligibility = 'blocked' THEN 'input credit is blocked for this expense' WHEN itc_eligibility <> 'eligible' THEN 'eligibility unresolved — needs a CA decision'
- WHEN status = 'exact_match' THEN 'matched in GSTR-2B' WHEN status = 'suggested_match' THEN 'suggested match — review before claiming'
- WHEN status = 'mismatch' THEN 'values differ from GSTR-2B — investigate' WHEN status = 'missing_in_2b' AND ov THEN 'not in 2B; claimed on CA override — supplier filed late'
- WHEN status = 'missing_in_2b' THEN 'not reported by the supplier in GSTR-2B — chase the vendor' WHEN status = 'pending' THEN 'GSTR-2B for the period is not yet available'
- ELSE '2B status "' || status || '" does not permit a claim' END reason FROM (SELECT b.voucher_id, b.itc_eligibility, ok % 40 = 0 ov, coalesce(r.status, 'missing_in_2b') status
+ CASE WHEN itc_eligibility = 'blocked' THEN 'not_creditable' WHEN itc_eligibility <> 'eligible' THEN 'undecided' WHEN status = 'exact_match' THEN 'reported'
+ WHEN status = 'missing_in_2b' AND ov THEN 'overridden:supplier filed late' WHEN status = 'missing_in_2b' THEN 'unreported' ELSE 'held:' || status END reason FROM (SELECT b.voucher_id, b.itc_eligibility, ok % 40 = 0 ov, coalesce(r.status, 'missing_in_2b') status
  FROM bills b LEFT JOIN recon r ON r.voucher_id = b.voucher_id WHERE NOT is_return)"""),
     "itc_180_day": build(f"""SELECT client_id, voucher_id, bill_number, party_name supplier, bill_date, CAST(DATE '2026-12-31' - bill_date AS INTEGER) days_elapsed,
  {money('2 * claim_cgst_p + claim_igst_p')} itc_at_risk, DATE '2026-12-31' - bill_date > 180 breached FROM bills LEFT JOIN (SELECT settles_voucher_id v, sum(amount_p) p FROM payments GROUP BY 1) ON v = voucher_id

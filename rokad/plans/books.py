@@ -51,14 +51,30 @@ def period_rollup(legs: DataFrame) -> DataFrame:
         rupees(F.sum(F.greatest(-F.col("signed_paise"), F.lit(0)))).alias("credit"))
 
 
-def chart_rollup(legs: DataFrame, chart: DataFrame, groups: DataFrame, as_of: str) -> DataFrame:
-    """Net of every chart group: leaves climb at most two parents of the literal chart."""
+def ancestors(groups: list[tuple]) -> list[tuple]:
+    """(group, every group above it and itself) of a literal chart of any depth; a loop is an error."""
+    above = {code: parent for code, _, _, parent in groups}
+    out = []
+    for code in above:
+        at, seen = code, set()
+        while at is not None:
+            if at in seen:
+                raise ValueError(f"chart group {at} is above itself")
+            seen.add(at)
+            out.append((code, at))
+            at = above[at]
+    return out
+
+
+def chart_rollup(legs: DataFrame, chart: DataFrame, groups: list[tuple], as_of: str) -> DataFrame:
+    """Net of every chart group: each leaf climbs to all groups above it. Chart and groups are literal masters."""
+    spark = legs.sparkSession
     net = net_by(legs.filter(F.col("posting_date") <= F.lit(as_of).cast("date")), "client_id", "account_code")
-    up = F.broadcast(groups.select(F.col("code").alias("parent_code"), F.col("parent_code").alias("grand_code")))
-    j = net.join(F.broadcast(chart.select("account_code", "parent_code")), "account_code").join(up, "parent_code")
-    lift = j.select("client_id", "net", F.explode(F.array_compact(F.array("parent_code", "grand_code"))).alias("code"))
+    names = m.literal_table(spark, groups, "code int, name string, root_type string, parent_code int").drop("parent_code")
+    up = m.literal_table(spark, ancestors(groups), "parent_code int, code int")
+    lift = net.join(F.broadcast(chart.select("account_code", "parent_code")), "account_code").join(F.broadcast(up), "parent_code")
     s = lift.groupBy("client_id", "code").agg(F.sum("net").cast(MONEY).alias("net"))
-    return s.join(F.broadcast(groups.select("code", "name", "root_type")), "code")
+    return s.join(F.broadcast(names), "code")
 
 
 def flux(rollup: DataFrame) -> DataFrame:
@@ -123,17 +139,18 @@ def series_ranges(numbered: DataFrame) -> DataFrame:
     return r.select(*keys, "range_no", "from_number", "to_number", (F.col("to_number") - F.col("from_number") + 1).alias("issued"))
 
 
-def control_totals(legs: DataFrame, tb: DataFrame, as_of: str) -> DataFrame:
-    """Rows and sums of the ledger per client, tied to the trial balance."""
+def control_totals(legs: DataFrame, rollup: DataFrame, as_of: str) -> DataFrame:
+    """Rows and sums of the ledger per client, tied to the stored period roll-up (whole months up to the date)."""
     on = F.lit(as_of).cast("date")
-    g = legs.filter(F.col("posting_date") <= on).groupBy("client_id").agg(
+    g = legs.filter((F.col("posting_date") <= on) & F.col("finance_book_id").isNull()).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("entries"), rupees(F.sum(F.greatest("signed_paise", F.lit(0)))).alias("sum_debit"),
         rupees(F.sum(F.greatest(-F.col("signed_paise"), F.lit(0)))).alias("sum_credit"))
-    t = tb.groupBy("client_id").agg(F.sum("debit").cast(MONEY).alias("tb_debit"), F.sum("credit").cast(MONEY).alias("tb_credit"))
+    t = rollup.filter(F.col("period") <= F.date_format(on, "yyyy-MM")).groupBy("client_id").agg(
+        F.sum("debit").cast(MONEY).alias("tb_debit"), F.sum("credit").cast(MONEY).alias("tb_credit"))
     c = F.col
     return g.join(t, "client_id", "full_outer").select(
         "*", (c("sum_debit") == c("sum_credit")).alias("self_balancing"),
-        (c("sum_debit") - c("sum_credit") == c("tb_debit") - c("tb_credit")).alias("ties"))
+        ((c("sum_debit") == c("tb_debit")) & (c("sum_credit") == c("tb_credit"))).alias("ties"))
 
 
 def against_accounts(legs: DataFrame) -> DataFrame:

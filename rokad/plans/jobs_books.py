@@ -50,17 +50,17 @@ def voucher_status(b):
 
 @job("period_rollup")
 def period_rollup(b):
-    return k.period_rollup(b.document_legs)
+    return k.period_rollup(b.ledger)
 
 
 @job("flux")
 def flux(b):
-    return k.flux(k.period_rollup(b.document_legs))
+    return k.flux(k.period_rollup(b.ledger))
 
 
 @job("chart_rollup")
 def chart_rollup(b):
-    return k.chart_rollup(b.ledger, b.chart, m.chart_groups(b.spark), AS_OF)
+    return k.chart_rollup(b.ledger, b.chart, m.CHART_GROUPS, AS_OF)
 
 
 @job("rollup_firm")
@@ -81,7 +81,7 @@ def consolidated_tb(b):
 
 @job("control_totals")
 def control_totals(b):
-    return k.control_totals(b.document_legs, r.trial_balance(b.document_legs, b.chart, AS_OF), AS_OF)
+    return k.control_totals(b.ledger, k.period_rollup(b.ledger), AS_OF)
 
 
 @job("ageing")
@@ -144,7 +144,7 @@ def post_opening(b):
 
 @job("post_year_close")
 def post_year_close(b):
-    return k.year_close(b.document_legs, b.chart)
+    return k.year_close(b.ledger, b.chart)
 
 
 @job("post_depreciation")
@@ -172,7 +172,7 @@ def gstr1_doc_issue(b):
 
 @job("against_accounts")
 def against_accounts(b):
-    return k.against_accounts(b.document_legs)
+    return k.against_accounts(b.ledger)
 
 
 def _closed(b):
@@ -181,7 +181,7 @@ def _closed(b):
 
 @job("validate_ledger")
 def validate_ledger(b):
-    return k.validate_ledger(b.document_legs, b.vouchers, b.chart, _closed(b))
+    return k.validate_ledger(b.ledger, b.vouchers, b.chart, _closed(b))
 
 
 @job("validate_invoices")

@@ -90,20 +90,27 @@ def ingest_period(b):
     return st.periods(g, h, st.balances(g, r, h))
 
 
+def _body(b):
+    """Cells below the header row of each file; of a file without one, all."""
+    g = _grid(b)
+    h = st.headers(g).select("file_id", "header_line")
+    return g.join(h, "file_id", "left").filter("header_line IS NULL OR line_no > header_line").drop("header_line")
+
+
 @job("profile_columns")
 def profile_columns(b):
-    return st.profile_columns(_grid(b).filter("line_no >= 1000"))
+    return st.profile_columns(_body(b))
 
 
 @job("infer_money_columns")
 def infer_money_columns(b):
-    g = _grid(b).filter("line_no >= 1000")
+    g = stage(_body(b))
     return st.infer_money_columns(g, st.profile_columns(g))
 
 
 @job("group_continuations")
 def group_continuations(b):
-    return st.group_continuations(_grid(b).filter("line_no >= 1000"))
+    return st.group_continuations(_body(b))
 
 
 @job("repair_tokens")

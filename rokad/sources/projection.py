@@ -30,7 +30,7 @@ _CATEGORY = {account: category for account, _, category in m.ITC_RULES}
 ITC_GROUPS = {"open": [a for a in EXPENSE_ACCOUNTS if a not in _CATEGORY]} | {
     _CATEGORY[a]: [a] for a in EXPENSE_ACCOUNTS if a in _CATEGORY}
 UNBLOCKED = {
-    category: m.BLOCKED_CATEGORIES[category][1] for account, rule, category in m.ITC_RULES
+    category: m.BLOCKED_CATEGORIES[category] for account, rule, category in m.ITC_RULES
     if rule == "conditional" and account in EXPENSE_ACCOUNTS}
 TDS_CATEGORIES = ["Contractor Payments", "Professional Fees", "Commission or Brokerage", "Purchase of Goods", None]
 ENTITIES = ["individual", "company", "no_pan"]
