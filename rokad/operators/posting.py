@@ -25,6 +25,15 @@ class Leg:
     party_type: str | None = None
     party: Column | None = None
     settles: Column | None = None
+    #: accounts that a computed account can be; None: any
+    among: tuple[int, ...] | None = None
+
+    def meets(self, accounts: set[int] | None) -> bool:
+        """Whether the leg can lie on one of the accounts."""
+        if accounts is None:
+            return True
+        own = {self.account} if isinstance(self.account, int) else self.among
+        return own is None or bool(accounts & set(own))
 
 
 @dataclass
@@ -38,6 +47,8 @@ class Voucher:
     legs: list[Leg]
     when: Column | None = None
     sign: Column | None = None
+    #: set while exploding: the voucher exists and lies in the dates asked for (its mirror may lie in them by itself)
+    own_when: Column | None = None
 
 
 @dataclass
@@ -49,13 +60,29 @@ class Mirror:
     when: Column
 
 
-def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str,
-                     mirrors: list[Mirror] | None = None) -> DataFrame:
+def within(date: Column, span: tuple[str | None, str | None]) -> Column:
+    """Date condition of a span whose ends may be open."""
+    out = F.lit(True)
+    if span[0]:
+        out = out & (date >= F.lit(span[0]).cast("date"))
+    if span[1]:
+        out = out & (date <= F.lit(span[1]).cast("date"))
+    return out
+
+
+def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str, mirrors: list[Mirror] | None = None,
+                     accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
     """One pass over the documents: all vouchers of a row become their non-zero legs.
 
     Only a primitive array of amounts is built per document; every other leg attribute is looked up
     from the leg position after zero legs are dropped, and is pruned when a report does not need it.
+    With accounts and span, legs that can lie on none of the accounts, and vouchers outside the dates, are never built.
     """
+    vouchers = [replace(v, legs=[g for g in v.legs if g.meets(accounts)]) for v in vouchers]
+    if span != (None, None):
+        live = [within(v.date, span) for v in vouchers]
+        vouchers = [replace(v, own_when=w if v.when is None else v.when & w) for v, w in zip(vouchers, live, strict=True)]
+        mirrors = [replace(x, when=x.when & within(x.date, span)) for x in mirrors or []]
     null = F.lit(None).cast("string")
     amounts, owner, legs, start = [], [], [], {}
     for v_no, v in enumerate(vouchers):
@@ -67,6 +94,9 @@ def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str,
     every = list(vouchers)
     df = docs.withColumn("_amounts", F.array(*amounts))
     array = F.col("_amounts")
+    if span != (None, None):
+        live = F.array(*[vouchers[n].own_when for n in owner])
+        array = F.zip_with("_amounts", live, lambda a, w: F.when(w, a).otherwise(F.lit(0).cast("long")))
     for mirror in mirrors or []:
         v = vouchers[mirror.of]
         part = F.slice("_amounts", start[mirror.of] + 1, len(v.legs))
@@ -102,6 +132,8 @@ def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str,
     signs = of_voucher(lambda v: (F.lit(1) if v.sign is None else v.sign).cast("long"))
     df = df.withColumn("_signed", F.col("_amount") * signs)
     amount = F.col("_signed")
+    if accounts is not None and any(not isinstance(g.account, int) for g in legs):
+        df = df.filter(code.isin(*accounts))
     return df.select(
         of_voucher(lambda v: v.firm.cast("int")).alias("firm_id"),
         of_voucher(lambda v: v.client.cast("int")).alias("client_id"),
@@ -130,7 +162,7 @@ def sales_legs(d: dict[str, Column], party: Column) -> list[Leg]:
 
 def receipt_legs(money_account: Column | int, cash: Column, tds: Column, party: Column, settles: Column) -> list[Leg]:
     return [
-        Leg(money_account, cash),
+        Leg(money_account, cash, among=(m.CASH, m.BANK)),
         Leg(m.TDS_RECEIVABLE, tds),
         Leg(m.DEBTORS, -(cash + tds), "customer", party, settles),
     ]
@@ -140,7 +172,7 @@ def payment_legs(money_account: Column | int, gross: Column, tds: Column, party:
     return [
         Leg(m.CREDITORS, gross, "supplier", party, settles),
         Leg(m.TDS_PAYABLE, -tds),
-        Leg(money_account, -(gross - tds)),
+        Leg(money_account, -(gross - tds), among=(m.CASH, m.BANK)),
     ]
 
 

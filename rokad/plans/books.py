@@ -168,6 +168,12 @@ def finding(df: DataFrame, rule: str, cond: Column, key: Column) -> DataFrame:
     return df.filter(cond).select(F.lit(rule).alias("rule"), key.alias("key"))
 
 
+def findings(df: DataFrame, key: Column, rules: list[tuple[str, Column]]) -> DataFrame:
+    """(rule, key) of every row rule that a row breaks, all rules in one pass."""
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules]))
+    return df.select(key.alias("key"), broken.alias("broken")).select(F.explode("broken").alias("rule"), "key")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -179,51 +185,51 @@ def validate_ledger(legs: DataFrame, vouchers: DataFrame, chart: DataFrame, clos
     needs = legs.join(F.broadcast(chart.select("account_code", "account_type")), "account_code", "left")
     both = (c("debit") > 0) == (c("credit") > 0)
     late = vouchers.withColumn("period_start", dates.month_start(c("posting_date"))).join(
-        closed, ["client_id", "period_start"], "left_semi")
-    key = F.concat_ws("/", "voucher_id", c("account_code").cast("string"))
+        closed.withColumn("_closed", F.lit(True)), ["client_id", "period_start"], "left")
     return _union([
-        finding(v, "V-1", c("net") != 0, c("voucher_id")), finding(v, "V-2", c("n") < 2, c("voucher_id")),
-        finding(legs, "V-3", both, key), finding(needs, "V-4", c("account_type").isNull(), key),
-        finding(needs, "V-5", c("account_type").isin("receivable", "payable") & c("party_id").isNull(), key),
-        finding(late, "V-6", F.lit(True), c("voucher_id")),
-        finding(legs, "V-10", (c("account_code") == m.ROUND_OFF) & (F.abs("signed_paise") > 100), key),
-        finding(vouchers, "V-12", (c("created_via") == "ai_proposal") & c("approved_by").isNull(), c("voucher_id")),
+        findings(v, c("voucher_id"), [("V-1", c("net") != 0), ("V-2", c("n") < 2)]),
+        findings(needs, F.concat_ws("/", "voucher_id", c("account_code").cast("string")), [
+            ("V-3", both), ("V-4", c("account_type").isNull()),
+            ("V-5", c("account_type").isin("receivable", "payable") & c("party_id").isNull()),
+            ("V-10", (c("account_code") == m.ROUND_OFF) & (F.abs("signed_paise") > 100))]),
+        findings(late, c("voucher_id"), [
+            ("V-6", c("_closed").isNotNull()), ("V-12", (c("created_via") == "ai_proposal") & c("approved_by").isNull())]),
     ])
 
 
 def validate_invoices(sales: DataFrame) -> DataFrame:
     c = F.col
     reg = ~c("gst_category").isin("unregistered", "overseas")
-    original = sales.filter("NOT is_return").select("ok", "sk", c("grand_total").alias("_orig"))
-    notes = sales.filter("is_return").join(original, ["ok", "sk"], "left")
-    key = c("voucher_id")
-    return _union([
-        finding(sales, "SI-1", reg & gstin.gstin_reason(c("party_gstin")).isNotNull(), key),
-        finding(sales, "SI-2", gstin.gstin_reason(c("supplier_gstin")).isNotNull(), key),
-        finding(sales, "SI-3", reg & c("party_gstin").isNull(), key),
-        finding(sales, "SI-4", ~gstin.state_valid(c("place_of_supply")), key),
-        finding(sales, "SI-6", (c("cgst") > 0) & (c("igst") > 0), key),
-        finding(sales, "SI-11", (c("gst_category") == "registered_composition") & (c("cgst") + c("igst") > 0), key),
-        finding(sales, "SI-12", c("is_export") & c("export_type").isNull(), key),
-        finding(notes, "SI-13", c("_orig").isNull(), key),
-        finding(notes, "SI-14", c("grand_total") > c("_orig"), key),
+    original = sales.filter("NOT is_return").select(c("ok").alias("_ok"), c("sk").alias("_sk"), c("grand_total").alias("_orig"))
+    d = sales.join(original, c("is_return") & (c("ok") == c("_ok")) & (c("sk") == c("_sk")), "left")
+    return findings(d, c("voucher_id"), [
+        ("SI-1", reg & gstin.gstin_reason(c("party_gstin")).isNotNull()),
+        ("SI-2", gstin.gstin_reason(c("supplier_gstin")).isNotNull()),
+        ("SI-3", reg & c("party_gstin").isNull()),
+        ("SI-4", ~gstin.state_valid(c("place_of_supply"))),
+        ("SI-6", (c("cgst") > 0) & (c("igst") > 0)),
+        ("SI-11", (c("gst_category") == "registered_composition") & (c("cgst") + c("igst") > 0)),
+        ("SI-12", c("is_export") & c("export_type").isNull()),
+        ("SI-13", c("is_return") & c("_orig").isNull()),
+        ("SI-14", c("is_return") & (c("grand_total") > c("_orig"))),
     ])
 
 
 def validate_bills(bills: DataFrame, status: DataFrame) -> DataFrame:
     c = F.col
-    key = c("voucher_id")
     dup = bills.groupBy("client_id", "party_id", dates.fy_start(c("bill_date")).alias("fy"), "bill_number").agg(
         F.count(F.lit(1)).alias("n"))
-    missing = bills.filter("itc_claimable > 0").drop("status").join(status.filter("status = 'missing_in_2b'"), "voucher_id", "left_semi")
+    missing = status.filter("status = 'missing_in_2b'").select(c("voucher_id").alias("_missing")).distinct()
+    d = bills.join(missing, c("voucher_id") == c("_missing"), "left")
     return _union([
-        finding(bills, "PB-1", c("supplier_gstin").isNotNull() & gstin.gstin_reason(c("supplier_gstin")).isNotNull(), key),
+        findings(d, c("voucher_id"), [
+            ("PB-1", c("supplier_gstin").isNotNull() & gstin.gstin_reason(c("supplier_gstin")).isNotNull()),
+            ("PB-4", (c("stated_cgst") != c("cgst")) | (c("stated_igst") != c("igst"))),
+            ("PB-6", ~gstin.state_valid(c("place_of_supply"))),
+            ("PB-7", c("itc_eligibility") == "mixed"),
+            ("PB-8", (c("itc_claimable") > 0) & c("_missing").isNotNull()),
+            ("PB-12", (c("created_via") == "ai_proposal") & c("approved_by").isNull())]),
         finding(dup, "PB-2", c("n") > 1, F.concat_ws("/", "party_id", "bill_number")),
-        finding(bills, "PB-4", (c("stated_cgst") != c("cgst")) | (c("stated_igst") != c("igst")), key),
-        finding(bills, "PB-6", ~gstin.state_valid(c("place_of_supply")), key),
-        finding(bills, "PB-7", c("itc_eligibility") == "mixed", key),
-        finding(missing, "PB-8", F.lit(True), key),
-        finding(bills, "PB-12", (c("created_via") == "ai_proposal") & c("approved_by").isNull(), key),
     ])
 
 

@@ -98,7 +98,7 @@ def unpresented_cheques(b):
 
 @job("cash_register")
 def cash_register(b):
-    return k.cash_register(b.ledger, [m.CASH], FROM, TO)
+    return k.cash_register(b.ledger_of({m.CASH}, end=TO), [m.CASH], FROM, TO)
 
 
 @job("stale_cheques")

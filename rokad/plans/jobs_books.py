@@ -25,7 +25,8 @@ def trial_balance_totals(b):
 
 @job("profit_and_loss")
 def profit_and_loss(b):
-    return r.profit_and_loss(b.ledger, b.chart, FROM, TO)
+    result = {row[0] for row in m.CHART if row[2] in ("income", "expense")}
+    return r.profit_and_loss(b.ledger_of(result, FROM, TO), b.chart, FROM, TO)
 
 
 @job("balance_sheet")
@@ -35,7 +36,7 @@ def balance_sheet(b):
 
 @job("account_ledger")
 def account_ledger(b):
-    return r.account_ledger(b.ledger, FROM, TO, accounts=[1010, 1020])
+    return r.account_ledger(b.ledger_of({1010, 1020}, end=TO), FROM, TO, accounts=[1010, 1020])
 
 
 @job("scope")

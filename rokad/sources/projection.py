@@ -361,6 +361,19 @@ class Books:
 
     @cached_property
     def document_legs(self) -> DataFrame:
+        return self._document_legs()
+
+    def ledger_of(self, accounts: set[int] | None, start: str | None = None, end: str | None = None) -> DataFrame:
+        """The ledger's legs on some accounts between two dates; what lies outside is not built, and payments
+        are not computed where none of their accounts is asked for."""
+        span = (start, end)
+        out = self._document_legs(accounts, span)
+        if accounts is None or accounts & {m.CREDITORS, m.TDS_PAYABLE, m.CASH, m.BANK}:
+            out = out.unionByName(self._payment_legs(accounts, span))
+        opening = self.opening.filter(posting.within(F.col("posting_date"), span))
+        return out.unionByName(opening if accounts is None else opening.filter(F.col("account_code").isin(*accounts)))
+
+    def _document_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
         """Invoices, their reversals, bills and receipts from one pass over the documents."""
         d = self._sales_wide
         c = F.col
@@ -390,16 +403,19 @@ class Books:
             V(key_text("RC-", c("ok"), "-", c("sk")), F.lit("receipt"), c("seller_firm"), c("seller"),
               F.date_add("doc_date", 30), r_legs,
               when=~c("is_return") & ~reversed_ & c("status").isin("F", "P")),
-        ], "ok", [posting.Mirror(0, F.concat(F.lit("RV-"), c("invoice_id")), F.date_add("doc_date", 10), reversed_)])
+        ], "ok", [posting.Mirror(0, F.concat(F.lit("RV-"), c("invoice_id")), F.date_add("doc_date", 10), reversed_)], accounts, span)
 
     @cached_property
     def payment_legs(self) -> DataFrame:
+        return self._payment_legs()
+
+    def _payment_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
         c = F.col
         v = posting.Voucher(
             c("voucher_id"), F.lit("payment"), c("firm_id"), c("client_id"), c("payment_date"),
             posting.payment_legs(c("money_account"), to_paise(c("amount")), to_paise(c("tds")), c("party_id"),
                                  c("settles_voucher_id")))
-        return posting.explode_vouchers(self.tds, [v], "ok")
+        return posting.explode_vouchers(self.tds, [v], "ok", accounts=accounts, span=span)
 
     @cached_property
     def ledger(self) -> DataFrame:
