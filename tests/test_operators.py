@@ -135,3 +135,26 @@ def test_chain_detects_tampering(spark):
     assert all(r["ok"] for r in audit.verify(sealed, ["firm_id"]).collect())
     bad = sealed.withColumn("after", F.when(F.col("id") == 9, "x").otherwise(F.col("after")))
     assert {r["firm_id"]: r["broken_at"] for r in audit.verify(bad, ["firm_id"]).collect()} == {0: None, 1: 9}
+
+
+def test_a_lost_segment_is_seen(spark):
+    from rokad.plans import audit
+    rows = [(firm, seg, seg * 10 + i, f"{firm}-{seg}-{i}") for firm in (1, 2) for seg in range(4) for i in range(3)]
+    sealed = spark.createDataFrame(rows, "firm_id int, segment int, id long, row_hash string")
+    links = audit.link_segments(audit.segment_facts(sealed, ["firm_id"], "segment"), ["firm_id"], "segment")
+
+    def broken(kept):
+        return {r.firm_id: r.broken_at for r in audit.verify_segments(kept, links, ["firm_id"], "segment").collect()}
+
+    assert broken(sealed) == {1: None, 2: None}
+    assert broken(sealed.filter("NOT (firm_id = 2 AND segment = 1)")) == {1: None, 2: 1}
+    assert broken(sealed.filter("NOT (firm_id = 1 AND id = 32)")) == {1: 3, 2: None}
+
+
+def test_charts_of_any_depth():
+    import pytest
+    from rokad.plans.books import ancestors
+    deep = [(1, "a", "asset", None), (2, "b", "asset", 1), (3, "c", "asset", 2), (4, "d", "asset", 3)]
+    assert (4, 1) in ancestors(deep) and len(ancestors(deep)) == 10
+    with pytest.raises(ValueError):
+        ancestors([(1, "a", "asset", 2), (2, "b", "asset", 1)])
