@@ -132,24 +132,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _between(outside: DataFrame, members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links between rows of outside and members (key, rep, n, comp) of one key and different components.
+def _between(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links between members of a list outside its main component and members of other components.
 
-    Both sides of a long list are cut into blocks of about BLOCK; a task compares two blocks by one product of their full sets' membership
-    matrices, some COLUMNS of values at a time, so only links come out.
+    members has key, rep, n, comp, main, and the numbers of blocks into which both sides are cut (xs, ys), of about BLOCK rows each. A task compares
+    two blocks by one product of their full sets' membership matrices, some COLUMNS of values at a time, so only links come out.
     """
-    def cut(df: DataFrame, salt: int) -> DataFrame:
-        blocks = df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        return df.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("blocks")))
-
-    left, right = cut(outside, 1), cut(members, 2)
-    count = lambda df: df.select("key", F.col("blocks").alias("others")).distinct()
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
     sets = stage(_full_sets(members.select(F.col("rep").alias("id")).distinct(), docs, size))
     full = lambda: sets.select(F.col("id").alias("rep"), F.col("full").alias("full"))
+    block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     names = ["key", "x", "y", "rep", "n", "comp"]
-    x_side = left.join(count(right), "key").withColumn("x", F.col("block")).withColumn("y", every).select(names).join(full(), "rep")
-    y_side = right.join(count(left), "key").withColumn("y", F.col("block")).withColumn("x", every).select(names).join(full(), "rep")
+    x_side = members.filter("comp <> main").withColumn("x", block(1, "xs")).withColumn("y", every("ys")).select(names).join(full(), "rep")
+    y_side = members.withColumn("y", block(2, "ys")).withColumn("x", every("xs")).select(*[F.col(c).alias(c) for c in names]).join(full(), "rep")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -216,11 +211,12 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int = PE
     placed = long.select("key", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     placed = stage(placed)
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("main.comp").alias("main"))
-    outside = stage(placed.join(main, "key").filter("comp <> main").select("key", "rep", "n", "comp"))
-    if outside.isEmpty():
+    split = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    split = split.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).alias("xs"), F.ceil(F.col("all") / BLOCK).alias("ys"))
+    members = stage(placed.join(split, "key"))
+    if members.isEmpty():
         return links, found
-    more = stage(_between(outside, placed.join(main.select("key"), "key"), docs, size, percent))
+    more = stage(_between(members, docs, size, percent))
     links = links.unionByName(more).distinct()
     return links, components(links)
 
