@@ -93,7 +93,7 @@ class Recent(dict):
         return value
 
 
-_HASHES = Recent(xxhash.xxh3_64_intdigest, 300_000)
+_HASHES = Recent(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -45,7 +45,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Ids of white-space-free pieces, remembered up to a bound (module-wide, so for all tasks of a worker)."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
