@@ -11,6 +11,7 @@ from rokad.session import local_session
 QUERIES = [
     "trial_balance", "profit_and_loss", "balance_sheet", "invoice_totals", "bill_itc_header", "gstr1_hsn", "gstr3b",
     "itc_set_off", "recon_2b", "parse_narration", "statement_arithmetic", "cash_register", "open_invoices", "validate_invoices",
+    "validate_ledger", "match_proposals", "allocate_receipts", "ingest_rows",
 ]
 
 

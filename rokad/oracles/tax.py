@@ -41,14 +41,18 @@ SELECT client_id, {P.format('bill_date')} period, sum(claim_cgst_p * {SG}) i_c,
 cte("summary", """
 SELECT client_id, period, coalesce(o_t,0) o_t, coalesce(o_c,0) o_c, coalesce(o_i,0) o_i, coalesce(o_x,0) o_x, coalesce(zr,0) zr, coalesce(iu,0) iu,
   coalesce(i_c,0) i_c, coalesce(i_i,0) i_i, coalesce(bl,0) bl, coalesce(r_c,0) r_c, coalesce(r_i,0) r_i FROM out_tax FULL JOIN in_tax USING (client_id, period)""")
-cte("so1", """SELECT client_id, period, greatest(o_i,0) di, greatest(o_c,0) dc, greatest(o_c,0) ds, greatest(i_i,0) ci, greatest(i_c,0) cc, greatest(i_c,0) cs,
- greatest(2 * r_c + r_i, 0) cash_rcm FROM summary""")
-cte("so2", "SELECT *, least(ci, di) ii, least(ci - least(ci, di), dc) ic FROM so1")
-cte("so3", "SELECT *, least(ci - ii - ic, ds) isx FROM so2")
-cte("so4", "SELECT *, least(cc, dc - ic) ccu FROM so3")
-cte("so5", "SELECT *, least(cc - ccu, di - ii) ciu, least(cs, ds - isx) ssu FROM so4")
-cte("so6", "SELECT *, least(cs - ssu, di - ii - ciu) siu FROM so5")
-cte("setoff", "SELECT *, di - ii - ciu - siu cash_i, dc - ic - ccu cash_c, ds - isx - ssu cash_s FROM so6")
+cte("so_months", "SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY period) rn FROM summary")
+cte("setoff", """
+SELECT DISTINCT client_id, '' period, CAST(0 AS BIGINT) rn, """ + ", ".join(f"CAST(0 AS BIGINT) {n}" for n in (
+    "ii", "ic", "isx", "ccu", "ciu", "ssu", "siu", "cash_i", "cash_c", "cash_s", "cash_rcm", "left_i", "left_c", "left_s", "ki", "kc", "ks", "ni", "nc", "ns")) + """ FROM summary
+UNION ALL SELECT client_id, period, rn, """ + ", ".join(f"CAST({e} AS BIGINT)" for e in (
+    "ii", "ic", "isx", "ccu", "ciu", "ssu", "siu", "di - ii - ciu - siu", "dc - ic - ccu", "ds - isx - ssu", "rcm", "ci - ii - ic - isx", "cc - ccu - ciu", "cs - ssu - siu",
+    "xi - ii - ic - isx", "xc - ccu - ciu", "xs - ssu - siu", "least(li, 0)", "least(lc, 0)", "least(ls, 0)")) + """
+FROM (SELECT *, least(cs - ssu, di - ii - ciu) siu FROM (SELECT *, least(cc - ccu, di - ii) ciu, least(cs, ds - isx) ssu FROM (SELECT *, least(cc, dc - ic) ccu FROM (
+ SELECT *, least(ci - ii - ic, ds) isx FROM (SELECT *, least(ci - ii, dc) ic FROM (SELECT *, least(ci, di) ii FROM (
+ SELECT *, greatest(li, 0) di, greatest(lc, 0) dc, greatest(ls, 0) ds, greatest(xi, 0) ci, greatest(xc, 0) cc, greatest(xs, 0) cs FROM (
+ SELECT m.client_id, m.period, m.rn, o_i + ni li, o_c + nc lc, o_c + ns ls, i_i + ki xi, i_c + kc xc, i_c + ks xs, greatest(2 * r_c + r_i, 0) rcm
+ FROM setoff p JOIN so_months m ON m.client_id = p.client_id AND m.rn = p.rn + 1))))))))""")
 cte("due_dates", """
 SELECT *, CASE WHEN client_id % 2 = 1 THEN CAST(date_trunc('quarter', period_start) + INTERVAL 3 MONTH AS DATE) + 21 ELSE CAST(period_start + INTERVAL 1 MONTH AS DATE) + 19 END summary_due,
  CASE WHEN client_id % 2 = 1 THEN CAST(date_trunc('quarter', period_start) + INTERVAL 3 MONTH AS DATE) + 12 ELSE CAST(period_start + INTERVAL 1 MONTH AS DATE) + 10 END outward_due
@@ -74,7 +78,7 @@ V = [("out_taxable", "o_t"), ("out_cgst", "o_c"), ("out_sgst", "o_c"), ("out_igs
      ("rcm_sgst", "r_c"), ("rcm_igst", "r_i")]
 U = [("use_igst_igst", "ii"), ("use_igst_cgst", "ic"), ("use_igst_sgst", "isx"), ("use_cgst_cgst", "ccu"), ("use_cgst_igst", "ciu"),
      ("use_sgst_sgst", "ssu"), ("use_sgst_igst", "siu"), ("cash_igst", "cash_i"), ("cash_cgst", "cash_c"), ("cash_sgst", "cash_s"), ("cash_rcm", "cash_rcm"),
-     ("left_igst", "ci - ii - ic - isx"), ("left_cgst", "cc - ccu - ciu"), ("left_sgst", "cs - ssu - siu")]
+     ("left_igst", "left_i"), ("left_cgst", "left_c"), ("left_sgst", "left_s")]
 G = "upper(trim(gstin))"
 WHY = (f"CASE WHEN gstin IS NULL THEN 'empty' WHEN length({G}) <> 15 THEN 'length' WHEN NOT regexp_matches({G}, {q(g.LAYOUT)}) THEN 'layout' "
        f"WHEN {check_digit(f'substr({G}, 1, 14)')} <> substr({G}, 15, 1) THEN 'check_digit' END")
@@ -116,11 +120,11 @@ FROM (SELECT client_id, buyer_trade, expense_account, {cond} e, {CATEGORY} categ
     "gstr1_hsn": build(f"SELECT client_id, {P.format('posting_date')} period, hsn, uom, {RATE.format('slab')} gst_rate, CAST(sum(units * {SG}) AS DECIMAL(28,3)) quantity, {heads(sign=SG)} FROM sales_lines GROUP BY 1, 2, 3, 4, 5"),
     "gstr1_nil": build(f"SELECT client_id, {P.format('posting_date')} period, CASE WHEN intra THEN 'intra' ELSE 'inter' END supply, CASE WHEN gst_category IN ('unregistered','overseas') THEN 'unregistered' ELSE 'registered' END customer, treatment, {money('sum(taxable_p)')} taxable FROM sales_lines WHERE treatment IN ('nil_rated','exempt','non_gst') AND NOT is_return GROUP BY 1, 2, 3, 4, 5"),
     "gstr3b": build("SELECT client_id, period, " + ", ".join(f"{money(c)} {n}" for n, c in V) + " FROM summary"),
-    "itc_set_off": build("SELECT client_id, period, " + ", ".join(f"{money(c)} {n}" for n, c in U) + " FROM setoff"),
+    "itc_set_off": build("SELECT client_id, period, " + ", ".join(f"{money(c)} {n}" for n, c in U) + " FROM setoff WHERE rn > 0"),
     "net_gst_payable": build(f"SELECT client_id, period, {money('2 * o_c + o_i')} output_tax, {money('2 * i_c + i_i')} input_tax, {money('2 * o_c + o_i - 2 * i_c - i_i')} net FROM summary"),
     "compliance_calendar": build("""SELECT client_id, period_start, return_name, due, due - 7 alert_7, due - 3 alert_3, due - 1 alert_1 FROM (SELECT client_id, period_start, 'GSTR-1' return_name, outward_due due FROM due_dates
  UNION ALL SELECT client_id, period_start, 'GSTR-3B', summary_due FROM due_dates)"""),
     "late_charges": build(f"""SELECT client_id, period, {money('cash')} cash, ld late_days, {money('(2 * cash * 18 * ld + 36500) // 73000')} interest, CAST(least(ld * 50, 10000) AS DECIMAL(18,2)) late_fee
- FROM (SELECT client_id, period, CAST(cash_i + cash_c + cash_s + cash_rcm AS BIGINT) cash FROM setoff) JOIN (SELECT client_id, {P.format('period_start')} period, CAST((client_id * 7 + month(period_start)) % 12 AS INTEGER) ld FROM due_dates) USING (client_id, period) WHERE ld > 0"""),
+ FROM (SELECT client_id, period, CAST(cash_i + cash_c + cash_s + cash_rcm AS BIGINT) cash FROM setoff WHERE rn > 0) JOIN (SELECT client_id, {P.format('period_start')} period, CAST((client_id * 7 + month(period_start)) % 12 AS INTEGER) ld FROM due_dates) USING (client_id, period) WHERE ld > 0"""),
     "validate_returns": build(f"SELECT client_id, {P.format('posting_date')} period, count(*) documents, true gv_1, true gv_2, true gv_4, true gv_6 FROM sales GROUP BY 1, 2"),
 }

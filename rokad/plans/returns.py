@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from .. import masters as m
 from ..functions import dates, text
-from ..functions.money import MONEY, nonnull, zero
+from ..functions.money import MONEY, nonnull, rupees, to_paise, zero
 from ..operators.effective import threshold_on
 
 
@@ -89,32 +89,50 @@ def summary_return(sales: DataFrame, bills: DataFrame) -> DataFrame:
     return j.select("client_id", "period", *[nonnull(F.col(c)).alias(c) for c in j.columns if c not in ("client_id", "period")])
 
 
+HEADS = ("igst", "cgst", "sgst")
+#: Credit head -> tax head, in the prescribed order; central and state credit never pay each other.
+USES = (("igst", "igst"), ("igst", "cgst"), ("igst", "sgst"), ("cgst", "cgst"), ("cgst", "igst"), ("sgst", "sgst"), ("sgst", "igst"))
+
+
 def set_off(summary: DataFrame) -> DataFrame:
-    """Credit used in the prescribed order; state and central credit never pay each other; the rest is cash.
+    """Credit used in the prescribed order, month after month of each client; the rest is cash.
 
-    Integrated credit pays integrated, then central, then state tax. Central and state credit pay
-    their own head, then what is left of integrated tax. Reverse-charge tax is paid in cash.
+    Unused credit goes to the next month, and so does a negative liability (more credit notes than sales) or negative credit.
+    Reverse-charge tax is paid in cash. A client has one row per month, so its months are one small sequential group.
     """
     c = F.col
-
-    def pos(col: Column) -> Column:
-        return F.greatest(col, zero()).cast(MONEY)
-
-    def less(a: str, b: str, name: str, df: DataFrame) -> DataFrame:
-        return df.withColumn(name, F.least(c(a), c(b)).cast(MONEY)).withColumn(
-            a, (c(a) - c(name)).cast(MONEY)).withColumn(b, (c(b) - c(name)).cast(MONEY))
-
+    names = [*[f"use_{a}_{b}" for a, b in USES], *[f"cash_{h}" for h in HEADS], "cash_rcm", *[f"left_{h}" for h in HEADS]]
     df = summary.select(
-        "client_id", "period", *[pos(c(f"out_{h}")).alias(f"due_{h}") for h in ("igst", "cgst", "sgst")],
-        *[pos(c(f"itc_{h}")).alias(f"cr_{h}") for h in ("igst", "cgst", "sgst")],
-        pos(c("rcm_cgst") + c("rcm_sgst") + c("rcm_igst")).alias("cash_rcm"))
-    for credit, due in (("igst", "igst"), ("igst", "cgst"), ("igst", "sgst"), ("cgst", "cgst"), ("cgst", "igst"),
-                        ("sgst", "sgst"), ("sgst", "igst")):
-        df = less(f"cr_{credit}", f"due_{due}", f"use_{credit}_{due}", df)
-    return df.select(
-        "client_id", "period", *[x for x in df.columns if x.startswith("use_")],
-        *[c(f"due_{h}").alias(f"cash_{h}") for h in ("igst", "cgst", "sgst")], "cash_rcm",
-        *[c(f"cr_{h}").alias(f"left_{h}") for h in ("igst", "cgst", "sgst")])
+        "client_id", "period", *[to_paise(c(f"out_{h}")).alias(f"out_{h}") for h in HEADS], *[to_paise(c(f"itc_{h}")).alias(f"itc_{h}") for h in HEADS],
+        to_paise(F.greatest(c("rcm_cgst") + c("rcm_sgst") + c("rcm_igst"), zero())).alias("cash_rcm"))
+
+    def months(pdf):
+        pdf = pdf.sort_values("period")
+        owed, held = dict.fromkeys(HEADS, 0), dict.fromkeys(HEADS, 0)
+        rows = []
+        for row in pdf.itertuples(index=False):
+            liability = {h: int(getattr(row, f"out_{h}")) + owed[h] for h in HEADS}
+            credit = {h: int(getattr(row, f"itc_{h}")) + held[h] for h in HEADS}
+            due, left = {h: max(liability[h], 0) for h in HEADS}, {h: max(credit[h], 0) for h in HEADS}
+            used = []
+            for source, target in USES:
+                amount = min(left[source], due[target])
+                left[source] -= amount
+                due[target] -= amount
+                used.append(amount)
+            owed = {h: min(liability[h], 0) for h in HEADS}
+            held = {h: left[h] + min(credit[h], 0) for h in HEADS}
+            rows.append((*used, *due.values(), int(row.cash_rcm), *left.values()))
+        out = pdf[["client_id", "period"]].copy()
+        for name, column in zip(names, zip(*rows, strict=True), strict=True):
+            out[name] = column
+        return out
+
+    schema = summary.select("client_id", "period").schema
+    for name in names:
+        schema = type(schema)([*schema.fields]).add(name, "long")
+    paid = df.groupBy("client_id").applyInPandas(months, schema)
+    return paid.select("client_id", "period", *[rupees(c(n)).alias(n) for n in names])
 
 
 def reconcile_2b(bills: DataFrame, inward: DataFrame, slack: str = "1.00", days: int = 5) -> DataFrame:

@@ -158,3 +158,18 @@ def test_charts_of_any_depth():
     assert (4, 1) in ancestors(deep) and len(ancestors(deep)) == 10
     with pytest.raises(ValueError):
         ancestors([(1, "a", "asset", 2), (2, "b", "asset", 1)])
+
+
+def test_unused_credit_goes_to_the_next_month(spark):
+    from decimal import Decimal as D
+
+    from rokad.plans.returns import set_off
+    names = [*[f"{side}_{h}" for side in ("out", "itc") for h in ("igst", "cgst", "sgst")], "rcm_igst", "rcm_cgst", "rcm_sgst"]
+    schema = "client_id int, period string, " + ", ".join(f"{n} decimal(18,2)" for n in names)
+    months = {"2025-04": dict(out_cgst=50, itc_cgst=80), "2025-05": dict(out_cgst=-20, out_sgst=10, itc_igst=4), "2025-06": dict(out_cgst=60, rcm_igst=5)}
+    df = spark.createDataFrame([(1, p, *[D(v.get(n, 0)) for n in names]) for p, v in months.items()], schema)
+    got = {r.period: r for r in set_off(df).collect()}
+    assert (got["2025-04"].cash_cgst, got["2025-04"].left_cgst) == (0, 30)
+    assert (got["2025-05"].use_igst_sgst, got["2025-05"].cash_sgst, got["2025-05"].left_cgst) == (4, 6, 30)
+    # 60 less the 20 of May's credit notes, 30 of credit kept
+    assert (got["2025-06"].use_cgst_cgst, got["2025-06"].cash_cgst, got["2025-06"].cash_rcm) == (30, 10, 5)
