@@ -87,14 +87,14 @@ cte("customers", f"""
 SELECT *, CASE WHEN gst_category IN ('unregistered','overseas') THEN NULL
   WHEN ck % 97 = 5 THEN f14 || CASE WHEN {check_digit('f14')} = '0' THEN '1' ELSE '0' END
   ELSE f14 || {check_digit('f14')} END gstin
-FROM (SELECT *, state_code || 'AAACC' || lpad(CAST(ck % 10000 AS VARCHAR), 4, '0') || 'C1Z' f14 FROM customers_x)""")
+FROM (SELECT *, state_code || chr(CAST(65 + ck // 6760000 % 26 AS INTEGER)) || chr(CAST(65 + ck // 260000 % 26 AS INTEGER)) || chr(CAST(65 + ck // 10000 % 26 AS INTEGER)) || 'CC' || lpad(CAST(ck % 10000 AS VARCHAR), 4, '0') || 'C1Z' f14 FROM customers_x)""")
 cte("suppliers", f"""
 SELECT sk, party_id, party_name, nation, gst_category, state_code, opening,
   CASE WHEN gst_category <> 'unregistered' THEN f14 || {check_digit('f14')} END gstin
 FROM (SELECT s_suppkey sk, 'S' || s_suppkey party_id, s_name party_name, CAST(s_nationkey AS INTEGER) nation,
   CASE WHEN s_suppkey % 10 = 9 THEN 'unregistered' WHEN s_suppkey % 10 = 8 THEN 'registered_composition' ELSE 'registered_regular' END gst_category,
   {S}[s_nationkey+1] state_code, CAST(s_acctbal AS {D2}) opening,
-  {S}[s_nationkey+1] || 'AAACS' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') || 'S1Z' f14 FROM supplier)""")
+  {S}[s_nationkey+1] || chr(CAST(65 + s_suppkey // 6760000 % 26 AS INTEGER)) || chr(CAST(65 + s_suppkey // 260000 % 26 AS INTEGER)) || chr(CAST(65 + s_suppkey // 10000 % 26 AS INTEGER)) || 'CS' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') || 'S1Z' f14 FROM supplier)""")
 cte("parties", """
 SELECT party_id, 'customer' party_type, party_name, nation, gst_category, state_code, gstin, opening FROM customers
 UNION ALL SELECT party_id, 'supplier', party_name, nation, gst_category, state_code, gstin, opening FROM suppliers""")

@@ -49,6 +49,12 @@ def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
 
+def triple(number: Column) -> Column:
+    """Three letters that count the ten-thousands of a key, so that larger keys keep distinct numbers."""
+    high = F.floor(number / 10000)
+    return F.concat(*[F.char((65 + F.floor(high / 26 ** i) % 26).cast("long")) for i in (2, 1, 0)])
+
+
 class Books:
     """Lazily built domain tables over one data directory."""
 
@@ -92,7 +98,7 @@ class Books:
             category.alias("gst_category"), state.alias("state_code"),
             F.col("c_acctbal").cast(MONEY).alias("opening"), F.col("c_mktsegment").alias("segment"))
         full = gstin.with_check_digit(
-            F.concat("state_code", F.lit("AAACC"), padded(F.col("ck") % 10000, 4), F.lit("C1Z")))
+            F.concat("state_code", triple(F.col("ck")), F.lit("CC"), padded(F.col("ck") % 10000, 4), F.lit("C1Z")))
         wrong = F.concat(F.substring(full, 1, 14), F.when(F.substring(full, 15, 1) == "0", "1").otherwise("0"))
         number = F.when(F.col("gst_category").isin("unregistered", "overseas"), F.lit(None)).when(
             F.col("ck") % 97 == 5, wrong).otherwise(full)
@@ -111,7 +117,7 @@ class Books:
             pick(CLIENT_STATES, F.col("s_nationkey"), "string").alias("state_code"),
             F.col("s_acctbal").cast(MONEY).alias("opening"))
         full = gstin.with_check_digit(
-            F.concat("state_code", F.lit("AAACS"), padded(F.col("sk") % 10000, 4), F.lit("S1Z")))
+            F.concat("state_code", triple(F.col("sk")), F.lit("CS"), padded(F.col("sk") % 10000, 4), F.lit("S1Z")))
         return base.withColumn(
             "gstin", F.when(F.col("gst_category") != "unregistered", full)
         ).withColumn("party_type", F.lit("supplier"))

@@ -91,8 +91,9 @@ def records(lines: DataFrame, span: int = 4096) -> DataFrame:
 
 def split_cells(line: Column, delimiter: str) -> Column:
     """Cells of a record; delimiters inside quotes do not count, doubled quotes are literal."""
-    d = "\\" + delimiter if delimiter == "|" else delimiter
-    parts = F.split(line, d + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    # one pass: between quotes, every second part is inside; only delimiters of the others cut
+    marked = F.transform(F.split(line, '"'), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(delimiter), F.lit("\x01"))).otherwise(x))
+    parts = F.split(F.array_join(marked, '"'), "\x01")
 
     def clean(x: Column) -> Column:
         t = F.trim(x)
