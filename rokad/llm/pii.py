@@ -40,17 +40,17 @@ NAMES = [n for names in GIVEN.values() for n in names]
 _SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|\([0-9]{2,4}\))(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? (?:(?:{'|'.join(NAMES)}) )?{_SURNAME}|(?:{'|'.join(NAMES)}) {_SURNAME})(?!\p{{L}})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": r"(?=[0-9A-Fa-f]{32})(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32})(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=[0-9]{1,3}\.)(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
+    "card": r"(?=[0-9]{4})(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "ssn": r"(?=[0-9]{3}-)(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?=[+(][0-9])(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|\([0-9]{2,4}\))(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? (?:(?:{'|'.join(NAMES)}) )?{_SURNAME}|(?:{'|'.join(NAMES)}) {_SURNAME})(?!\p{{L}})",
 }
 #: Anything that a candidate must contain: texts without it are passed over.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{'|'.join(TITLES['f'] + TITLES['m'] + NAMES)})\.? \p{{Lu}}"
+HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(TITLES['f'] + TITLES['m'] + NAMES)})\.? \p{{Lu}}"
 ANY = "|".join(PATTERNS.values())
 ROUNDS = 40
 
@@ -190,14 +190,15 @@ def surrogates(docs: DataFrame, key: str = "rokad") -> DataFrame:
     found = own.withColumn("ents", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     has = F.coalesce(F.size("ents") > 0, F.lit(False))
     mark = F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    met = found.filter(has).select(mark.alias("mark"), F.explode(F.array_distinct("ents")).alias("entity"))
+    # texts with candidates are few; the patterns run over the others once more, for what stays as it is
+    busy = stage(found.filter(has).withColumn("mark", mark))
+    met = busy.select("mark", F.explode(F.array_distinct("ents")).alias("entity"))
     met = met.withColumn("kind", kind_of(F.col("entity"))).filter("kind is not null").withColumn("norm", normal(F.col("kind"), F.col("entity")))
     gender = F.when(F.col("kind") == "name", gender_of(F.col("entity"))).otherwise(F.lit(""))
     met = stage(met.distinct().withColumn("gender", gender))
     held = assign(met.groupBy("kind", "norm").agg(F.min("gender").alias("gender")), key)
     put = met.join(held, ["kind", "norm"]).select("mark", "entity", _formed(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("put"))
     maps = put.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("entity", "put"))).alias("map"))
-    busy = found.filter(has).withColumn("mark", mark)
     joined = busy.join(maps.withColumnRenamed("mark", "to"), F.col("mark").eqNullSafe(F.col("to")), "left")
     swap = lambda e: F.coalesce(F.element_at("map", e), e)
     pieces = F.split("text", ANY, -1)
