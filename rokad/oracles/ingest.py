@@ -4,7 +4,21 @@ from __future__ import annotations
 from .base import build, money
 
 FID = "'F' || account_id || '-' || week"
+KIND = "CASE account_id % 3 WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+WIDTH = KIND.format(7, 4, 6)
+
+
+def column(name: str, kinds: list[int | None]) -> str:
+    return f"CAST({KIND.format(*('NULL' if k is None else k for k in kinds))} AS INTEGER) {name}"
+
+
 SQL = {
+    "ingest_read": build(f"""SELECT {FID} file_id, line_key + 1000 line_no, {WIDTH} width FROM stated_lines
+ UNION ALL SELECT {FID}, unnest([1, 2, 4, 5, 1152921504606846976]), unnest([1, 1, 2, {WIDTH}, 2]) FROM statements"""),
+    "ingest_header": build(f"""SELECT {FID} file_id, CAST(5 AS BIGINT) header_line,
+ {KIND.format("'HDFC Bank'", "'Generic (single signed amount column)'", "'Kotak Mahindra Bank'")} bank, {KIND.format("'dd/MM/yy'", "'dd/MM/yyyy'", "'dd-MM-yyyy'")} fmt,
+ {column('c_txn_date', [0, 0, 0])}, {column('c_narration', [1, 1, 1])}, {column('c_debit', [4, None, None])}, {column('c_credit', [5, None, None])},
+ {column('c_amount', [None, 2, 3])}, {column('c_flag', [None, None, 4])}, {column('c_balance', [6, 3, 5])} FROM statements"""),
     "ingest_rows": build(f"SELECT {FID} file_id, line_key + 1000 line_no, txn_date, trim(narration) narration, {money('debit_p')} debit, {money('credit_p')} credit, {money('stated_p')} running_balance FROM stated_lines"),
     "ingest_skipped": build(f"SELECT {FID} file_id, CAST(1152921504606846976 AS BIGINT) line_no, 'no parsable date in the date column' reason FROM statements"),
     "ingest_balances": build(f"SELECT {FID} file_id, {money('open_p')} opening_balance, {money('close_p')} closing_balance FROM statements"),
