@@ -78,9 +78,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Recent(dict):
     """Values made on demand and remembered in two generations of bounded size, so that frequent keys stay."""
 
+    made: list[Recent] = []
+
     def __init__(self, make, limit: int) -> None:
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        Recent.made.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -93,6 +96,13 @@ class Recent(dict):
         return value
 
 
+def forget() -> None:
+    """Empty all caches of this process: a worker that turns to an operator without one gives their memory back."""
+    for cache in Recent.made:
+        cache.clear()
+        cache.old = {}
+
+
 _HASHES = Recent(xxhash.xxh3_64_intdigest, 150_000)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import mix, stage
+from .common import forget, mix, stage
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -31,7 +31,7 @@ SHARE = 0.004
 TYPICAL = 0.34
 UNKNOWN = "und"
 #: Characters that one numpy pass takes; longer texts are passed in slices.
-SLICE = 400_000
+SLICE = 200_000
 
 _TABLES: list[np.ndarray] = []
 
@@ -169,6 +169,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, kept: int = GRAMS) -> Model:
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for at, parts in slices(texts):
@@ -207,6 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lang, score = sent.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

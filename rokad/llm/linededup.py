@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import forget, stage
 
 SPACE = b" \t\n\r\x0b\x0c"
 MIN_DOCS = 10
@@ -118,6 +118,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
     """high, low, n: number of rows of docs that have each non-empty line key at least once; summed within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
