@@ -201,7 +201,7 @@ LEFT JOIN (SELECT account_id, sum(open_p) FILTER (debit_p > 0) bd, sum(open_p) F
   count(*) FILTER (credit_p > 0) bc_n FROM line_status_then WHERE txn_date <= {B} AND status <> 'matched' AND NOT is_ignored GROUP BY 1) USING (account_id)
 LEFT JOIN (SELECT account_id, arg_max(close_p, week) cl FROM statements WHERE period_to <= {B} GROUP BY 1) USING (account_id)
 LEFT JOIN (SELECT account_id, arg_max(stated_p, line_key) FILTER (stated_p IS NOT NULL) rn FROM stated_lines WHERE txn_date <= {B} GROUP BY 1) USING (account_id))"""),
-    "unpresented_cheques": build(f"SELECT account_id, cheque_number, cheque_date, {money('amount_p')} amount, voucher_id FROM cheques WHERE direction = 'issued' AND status = 'pending' AND cheque_date <= {B}"),
+    "unpresented_cheques": build(f"SELECT account_id, cheque_number, cheque_date, {money('amount_p')} amount, voucher_id FROM cheques WHERE direction = 'issued' AND cheque_date <= {B} AND (cleared_date IS NULL OR cleared_date > {B}) AND (bounced_date IS NULL OR bounced_date > {B})"),
     "cash_register": build(f"""SELECT client_id, account_code, posting_date date, {money('bal')} balance, {money('-bal')} shortfall FROM (
 SELECT *, lag(bal, 1, 0) OVER (PARTITION BY client_id, account_code ORDER BY posting_date) prev FROM (SELECT * FROM (
 SELECT client_id, account_code, posting_date, sum(sum(amt)) OVER (PARTITION BY client_id, account_code ORDER BY posting_date) bal

@@ -78,6 +78,13 @@ def statement_gaps(statements: DataFrame) -> DataFrame:
     return df.filter((F.col("gap_days") > 0) | F.col("discontinuous"))
 
 
+def pending_on(cheques: DataFrame, on: Column) -> DataFrame:
+    """Cheques written by a date and neither cleared nor bounced by then."""
+    return cheques.filter((F.col("cheque_date") <= on)
+                          & (F.col("cleared_date").isNull() | (F.col("cleared_date") > on))
+                          & (F.col("bounced_date").isNull() | (F.col("bounced_date") > on)))
+
+
 def bank_reconciliation(ledger: DataFrame, lines: DataFrame, matches: DataFrame, cheques: DataFrame,
                         statements: DataFrame, stated: DataFrame, bank_account: int, as_of: str,
                         opening: str = "1000.00") -> DataFrame:
@@ -90,9 +97,7 @@ def bank_reconciliation(ledger: DataFrame, lines: DataFrame, matches: DataFrame,
     book = net_by(ledger.filter((F.col("account_code") == bank_account) & (F.col("posting_date") <= on)
                                 & F.col("finance_book_id").isNull()), "client_id").select(
         F.col("client_id").cast("long").alias("account_id"), F.col("net").alias("book_balance"))
-    pending = cheques.filter((F.col("cheque_date") <= on)
-                             & (F.col("cleared_date").isNull() | (F.col("cleared_date") > on))
-                             & (F.col("bounced_date").isNull() | (F.col("bounced_date") > on)))
+    pending = pending_on(cheques, on)
     issued = F.col("direction") == "issued"
     chq = pending.groupBy("account_id").agg(
         nonnull(F.sum(F.when(issued, F.col("amount")))).alias("unpresented"),
@@ -127,9 +132,7 @@ def bank_reconciliation(ledger: DataFrame, lines: DataFrame, matches: DataFrame,
 
 def unpresented_numbers(cheques: DataFrame, as_of: str) -> DataFrame:
     """Pending issued cheques with their position by date per account, for the detail line of the statement."""
-    on = _d(as_of)
-    return cheques.filter((F.col("direction") == "issued") & (F.col("status") == "pending")
-                          & (F.col("cheque_date") <= on)).select(
+    return pending_on(cheques, _d(as_of)).filter(F.col("direction") == "issued").select(
         "account_id", "cheque_number", "cheque_date", "amount", "voucher_id")
 
 
