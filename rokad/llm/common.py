@@ -1,10 +1,12 @@
 """Helpers shared by the training-data operators: reading, staging, word and shingle hashes, sketches."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,9 +100,12 @@ class Recent(dict):
 
 def forget() -> None:
     """Empty all caches of this process: a worker that turns to an operator without one gives their memory back."""
-    for cache in Recent.made:
-        cache.clear()
-        cache.old = {}
+    if any(Recent.made):
+        for cache in Recent.made:
+            cache.clear()
+            cache.old = {}
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 _HASHES = Recent(xxhash.xxh3_64_intdigest, 150_000)
@@ -150,7 +155,6 @@ def choose_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool = True, l
     at = docs.columns.index(key)
 
     def run(batches):
-        import pyarrow as pa
         known = sent.value
         for batch in batches:
             own = batch.column(at)

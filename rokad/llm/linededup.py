@@ -130,7 +130,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(set(key_hashes(text)) - {b""})
-            if len(seen) > 300_000:
+            if len(seen) > 100_000:
                 yield rows()
         yield rows()
 
@@ -288,6 +288,7 @@ def _rewritten(docs: DataFrame, report: bool, decide, hidden: int = 0) -> DataFr
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             gone = decide(batch, at)
