@@ -502,6 +502,21 @@ def test_surrogates(spark):
     assert again == text and other[1] != text[1]
 
 
+ALONE = {
+    "email": ["ab@cd.ef"], "secret": ["ab12cd34" * 4, "ab12cd34" * 5, "AB12CD34" * 8], "iban": ["GB82 WEST 12AB 56CD 78EF 32"], "ip": ["9.8.7.6"], "card": ["4845168114407329"],
+    "ssn": ["123-45-6789"], "phone": ["+33 1 23 45 67 89", "+44-20-79-46-09-58", "(01) 23 45 67 89"], "name": ["Anna Schmidt", "Mrs. Weber"],
+}
+
+
+def test_surrogates_alone(spark):
+    """Each pattern finds its entity in a text that holds nothing else."""
+    assert set(ALONE) == set(pii.PATTERNS)
+    rows = [(i, x) for i, x in enumerate(x for each in ALONE.values() for x in each)]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.surrogates(df).collect()}
+    assert [x for i, x in rows if got[i].n_entities != 1 or x in got[i].text] == []
+
+
 def test_surrogates_distinct(spark):
     """Small forms collide in a draw; the rounds part them, and none is an entity itself."""
     names = [(i, f"{g} {s}") for i, (g, s) in enumerate((g, f"Name{chr(97 + a)}{chr(97 + b)}") for g in pii.GIVEN["latin", "f"][:9] for a in range(20) for b in range(20))]
