@@ -91,6 +91,23 @@ def test_near_duplicates_groups(spark):
         assert {d: got.get(d, d) for d in reps} == want
 
 
+def test_near_duplicates_appended(spark):
+    """A large family, and its text with own text after it at 0.8 to 0.85: what is cold in these is on one side only."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = base.copy()
+        w[int(rng.integers(1, 399))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(60, 1000):
+        rows.append((i, " ".join(base + [f"u{i}_{j}" for j in range(rng.integers(71, 100))])))
+    first = shingle_set(rows[0][1], 2)
+    assert all(len(first & s) >= 0.8 * len(first | s) for s in (shingle_set(t, 2) for _, t in rows))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2), "doc_id", "component_id")
+    assert [d for d, c in got if c != 0] == []
+
+
 def test_near_duplicates_odd(odd, odd_rows, nothing, clashing):
     want = plain_components([r[:2] for r in odd_rows], 5)
     for df in (odd, clashing):
