@@ -10,6 +10,9 @@
 5. Replacements are put back in the form of each occurrence (separators, letter case).
 
 Entities only are shuffled and joined; texts without any stay where they are.
+
+Not detected: names without a title or a given name of GIVEN or KNOWN, in capitals or small letters only, or in other scripts than Latin, Cyrillic and Greek; the second of two surnames;
+national phones without separators or in other groups than 3-3-4 and those with a leading 0 below; cards in other groups than fours and 4-6-4 or 4-6-5; postal addresses and dates of birth.
 """
 from __future__ import annotations
 
@@ -33,21 +36,41 @@ SURNAME = {
     "cyrillic": (["Бел", "Вор", "Гор", "Дол", "Зай", "Кал", "Лес", "Мор"], ["ак", "ил", "ин", "ош", "ук", "ют", "яр", "ян"]),
     "greek": (["Αλεξ", "Βασ", "Γερ", "Δημ", "Καρ", "Μαρ", "Νικ", "Παπ"], ["άκης", "άτος", "ίδης", "ίου", "όγλου", "όπουλος", "άς", "έας"]),
 }
-#: Words before a name that also tell the gender. Fixed values.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"]}
+#: Given names that are found but not drawn, by gender. Fixed values.
+KNOWN = {
+    "f": """Maria Olivia Emily Sarah Jessica Jennifer Elizabeth Linda Patricia Barbara Susan Margaret Karen Nancy Lisa Betty Helen Sandra Donna Ashley Kimberly Michelle Amanda
+        Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Catherine Christine Rachel Carolyn Janet Diane Jane Kate Lucy
+        Isabella Mia Sophia Amelia Eleanor Monika Ursula Claudia Andrea Katharina Susanne Heike Birgit Ingrid Helga Renate Gisela Brigitte Lena Leonie Johanna Christina Martina Silke
+        Nathalie Isabelle Sylvie Catherine Valérie Céline Aurélie Émilie Élodie Hélène Claire Manon Léa Juliette Margaux Ana Isabel Pilar Dolores Cristina Marta Rosa Teresa Beatriz Raquel
+        Rocío María Lucía Sofía Inés Giulia Francesca Chiara Valentina Giovanna Joana Fatima Aisha Leila Priya Anjali Agnieszka Katarzyna Małgorzata Anastasia Olga Irina Svetlana Natalia
+        Екатерина Наталья Юлия Людмила Галина Анастасия Ксения Валентина Надежда Марина Дарья Полина Алина Оксана Γεωργία Βασιλική Αναστασία Χριστίνα Δέσποινα Άννα Αγγελική Ιωάννα""".split(),
+    "m": """William Richard Joseph Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas
+        Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Jack Dennis Jerry Tyler Aaron Henry Peter Adam Nathan Harry Oliver Liam Noah Ethan Simon
+        Martin Wolfgang Jürgen Stefan Andreas Matthias Markus Sebastian Florian Tobias Jan Uwe Dieter Günter Heinz Helmut Karl Friedrich Johannes Maximilian Leon Jonas Jean Jacques
+        Philippe François Laurent Nicolas Olivier Christophe Frédéric Sébastien Guillaume Mathieu Alexandre Louis Étienne René André José Juan Luis Miguel Antonio Manuel Francisco Jorge
+        Alejandro Fernando Sergio Rafael Ángel Álvaro Raúl Andrés Jesús Marco Giuseppe Giovanni Luca Matteo Francesco João Pedro Mohammed Muhammad Ahmed Ali Omar Hassan Raj Amit Piotr Andrzej
+        Krzysztof Ivan Dmitri Vladimir Sergei Алексей Андрей Владимир Евгений Игорь Максим Павел Роман Юрий Виктор Антон Артём Константин Γιάννης Βασίλης Χρήστος Παναγιώτης Αντώνης
+        Αλέξανδρος Μιχάλης Θανάσης""".split(),
+}
+#: Words before a name; f and m also tell the gender. Fixed values.
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "": ["Dr", "Doctor", "Prof", "Professor"]}
 
-NAMES = [n for names in GIVEN.values() for n in names]
-_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+NAMES = list(dict.fromkeys(n for names in (*GIVEN.values(), *KNOWN.values()) for n in names))
+_TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+_INITIALS = r"(?:\p{Lu}\. ?){0,2}"
+_SURNAME = r"(?:(?:van|von|der|den|de|del|dos|da|di) ){0,2}(?:[OD]['’]|Mc|Mac)?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?=[0-9A-Fa-f]{32})(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32})(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?=[0-9]{1,3}\.)(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?=[0-9]{4})(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?=[0-9]{4})(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])",
     "ssn": r"(?=[0-9]{3}-)(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?=[+(][0-9])(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|\([0-9]{2,4}\))(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? (?:(?:{'|'.join(NAMES)}) )?{_SURNAME}|(?:{'|'.join(NAMES)}) {_SURNAME})(?!\p{{L}})",
+    "phone": r"(?=[+(][0-9]|[0-9]{2,5}[ ./-][0-9]|1[ .-][2-9])(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|\([0-9]{2,4}\))(?:[ .-]?[0-9]{2,4}){2,4}|"
+             r"(?<![0-9][.-])(?:(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2}[ -][0-9]{4}[ -][0-9]{4}|"
+             r"0[0-9]{3,4}[ /-][0-9]{3}[ -]?[0-9]{3,4}|0[0-9]{2,4}[ /-][0-9]{6,8})(?![.-][0-9]))(?![0-9A-Za-z])",
+    "name": rf"(?=\p{{Lu}}[\p{{L}}-]*\.? (?:\p{{Ll}}{{2,3}} ){{0,2}}\p{{Lu}})(?<!\p{{L}})(?:(?:(?:{_TITLE})\.? ){{1,2}}(?:(?:{'|'.join(NAMES)}) )?{_INITIALS}{_SURNAME}|(?:{'|'.join(NAMES)}) {_INITIALS}{_SURNAME})(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
 ROUNDS = 40
@@ -75,12 +98,12 @@ def kind_of(entity: Column) -> Column:
 
 
 def _given_of(entity: Column) -> Column:
-    return F.regexp_extract(entity, rf"^(?:(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? )?(?:({'|'.join(NAMES)}) )?", 1)
+    return F.regexp_extract(entity, rf"^(?:(?:{_TITLE})\.? )*(?:({'|'.join(NAMES)}) )?", 1)
 
 
 def normal(kind: Column, entity: Column) -> Column:
     """Normal form: spellings of one entity have one."""
-    name = F.regexp_replace(entity, rf"^(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? ", "")
+    name = F.regexp_replace(entity, rf"^(?:(?:{_TITLE})\.? )+", "")
     return (F.when(kind.isin("card", "ssn", "phone"), _digits(entity)).when(kind == "iban", F.regexp_replace(entity, " ", ""))
             .when(kind.isin("email", "secret"), F.lower(entity)).when(kind == "name", name).otherwise(entity))
 
@@ -88,7 +111,7 @@ def normal(kind: Column, entity: Column) -> Column:
 def gender_of(entity: Column) -> Column:
     given, title = _given_of(entity), F.regexp_extract(entity, r"^(\p{L}+)", 1)
     out = F.lit("m")
-    for (_, gender), names in GIVEN.items():
+    for gender, names in [*((g, names) for (_, g), names in GIVEN.items()), *KNOWN.items()]:
         out = F.when(given.isin(names), F.lit(gender)).otherwise(out)
     return F.when(title.isin(TITLES["f"]), F.lit("f")).when(title.isin(TITLES["m"]), F.lit("m")).otherwise(out)
 
@@ -172,7 +195,7 @@ def _formed(entity: Column, kind: Column, surrogate: Column) -> Column:
     fill = F.aggregate(F.split(entity, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
                        lambda s, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(s["out"], F.substr(surrogate, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at")))
                        .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))))["out"]
-    title = F.regexp_extract(entity, rf"^((?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? )", 1)
+    title = F.regexp_extract(entity, rf"^((?:(?:{_TITLE})\.? )*)", 1)
     return (F.when(kind.isin("card", "ssn", "phone", "iban"), fill).when((kind == "secret") & (entity == F.upper(entity)), F.upper(surrogate))
             .when(kind == "name", F.concat(title, surrogate)).otherwise(surrogate))
 

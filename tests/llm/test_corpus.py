@@ -534,6 +534,18 @@ def test_surrogates_alone(spark):
     assert [x for i, x in rows if got[i].n_entities != 1 or x in got[i].text] == []
 
 
+def test_surrogates_national(spark):
+    """National phone forms, card groups, given names that are not drawn, titles; and what only looks like them."""
+    found = ["555-867-5309", "1-800-867-5309", "(555) 867-5309", "06 12 34 56 78", "06.12.34.56.78", "020 7946 0958", "07700 900123", "0171 1234567", "030 12345678", "3782 822463 10005",
+             "3056-930902-5904", "Maria Garcia", "John A. Smith", "Maria O'Brien", "Jan van Dijk", "Dr. Weber", "Frau Dr. Weber", "Prof. Maria Garcia", "Наталья Иванова", "Γιάννης Παπαδάκης"]
+    clean = ["01/02/2020 10:30", "2020-01-02 10:30", "01.02.2020", "3782 822463 10006", "1 234 567", "Monday Morning", "version 1.2.3.4.5", "10-20-30"]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(found + clean)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.surrogates(df).collect()}
+    assert [x for i, x in enumerate(found) if got[i].n_entities != 1 or x in got[i].text] == []
+    assert [x for i, x in enumerate(clean, len(found)) if got[i].text != f"see {x} here"] == []
+    assert got[found.index("Maria Garcia")].text.split()[1] in pii.GIVEN["latin", "f"] and got[found.index("Frau Dr. Weber")].text.startswith("see Frau Dr. ")
+
+
 def test_surrogates_distinct(spark):
     """Small forms collide in a draw; the rounds part them, and none is an entity itself."""
     names = [(i, f"{g} {s}") for i, (g, s) in enumerate((g, f"Name{chr(97 + a)}{chr(97 + b)}") for g in pii.GIVEN["latin", "f"][:9] for a in range(20) for b in range(20))]
