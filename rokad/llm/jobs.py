@@ -11,7 +11,7 @@ from .common import table
 from .fingerprints import edited_likeness
 from .langid import language_report
 from .linededup import line_report
-from .lm import score_documents
+from .lm import ORDER, score_documents
 from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
@@ -49,12 +49,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
-def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Sums are rounded for the check: another engine adds in another order."""
-    scored = score_documents(table(spark, sf_dir, "documents"))
+    scored = score_documents(table(spark, sf_dir, "documents"), order)
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams, as its check SQL."""
+    return _scores(spark, sf_dir, ORDER)
+
+
+def op7_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams, with the backoff to bigrams and words."""
+    return _scores(spark, sf_dir, 3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -68,7 +78,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (
-    op1_language_id, op2_pii_surrogates, op3_source_mixing, op4_nearest_neighbours, op5_minhash_near_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts,
+    op1_language_id, op2_pii_surrogates, op3_source_mixing, op4_nearest_neighbours, op5_minhash_near_dedup, op6_line_dedup, op7_lm_scoring, op7_lm_scoring_trigrams, op8_token_counts,
     op9_packing, op10_document_fingerprints)}
 
 ORACLE_SQL["op4_nearest_neighbours"] = """

@@ -474,6 +474,15 @@ def test_scores(spark, sf, given, order, size):
     assert all(math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True))
 
 
+def test_scores_registered(spark, sf, given):
+    """A registered query scores trigrams; the bigram scores are others."""
+    from rokad.llm.jobs import QUERIES
+    got = dict(rows_of(QUERIES["op7_lm_scoring_trigrams"](spark, sf), "doc_id", "log_score"))
+    two, three = ({d: s for d, _, s in plain_scores([r[:2] for r in given], order)} for order in (2, 3))
+    assert got.keys() == three.keys() and all(abs(got[d] - three[d]) < 1e-3 for d in got)
+    assert any(abs(got[d] - two[d]) > 1 for d in got)
+
+
 def test_scores_odd(odd, odd_rows, nothing, clashing):
     want = sorted(plain_scores([r[:2] for r in odd_rows], 2), key=str)
     for df in (odd, clashing):
