@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .fingerprints import edited_likeness
+from .hardneg import mine
 from .langid import language_report
 from .linededup import line_report
 from .lm import ORDER, score_documents
@@ -16,6 +17,8 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import surrogates
+from .runs import run_report
+from .tokenfile import token_report
 from .tokens import count_tokens
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -77,9 +80,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 QUERIES |= {f.__name__: f for f in (
     op1_language_id, op2_pii_surrogates, op3_source_mixing, op4_nearest_neighbours, op5_minhash_near_dedup, op6_line_dedup, op7_lm_scoring, op7_lm_scoring_trigrams, op8_token_counts,
-    op9_packing, op10_document_fingerprints)}
+    op9_packing, op10_document_fingerprints, op11_token_files, op12_periodic_runs, op13_hard_negatives)}
 
 ORACLE_SQL["op4_nearest_neighbours"] = """
 WITH v AS (
@@ -135,3 +151,18 @@ v AS (
 SELECT n.doc_id, n.n AS n_words, round(coalesce(sum(x), 0), 4) AS log_score, round(sum(x) / n.n, 6) AS mean_log_score
 FROM n LEFT JOIN v USING (doc_id) GROUP BY n.doc_id, n.n
 """
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH u AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM u a JOIN u c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""

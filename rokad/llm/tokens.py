@@ -11,7 +11,9 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ WORD_END = "</w>"
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 #: The file's own pre-token pattern, restricted to those characters.
 _PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+", re.ASCII)
+#: The same over pieces that stand in lines of their own; a line's end is a match too.
+_PRETOKENS_OF_LINES = re.compile(_PRETOKENS.pattern + "|\n", re.ASCII)
 _PRETOKEN_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -100,6 +104,39 @@ class Encoder:
         """Ids of a text as unsigned 32-bit integers in this machine's order, which is little-endian on what Spark runs on."""
         return b"".join(map(self.ids.__getitem__, text.encode().split()))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after another, and each text's number of ids; equal pieces are encoded once per call, nulls have none."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        found = self.encode_pieces(coded.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        if not len(found):
+            return ids, np.zeros(len(texts), np.int64)
+        place = coded.indices.to_numpy()
+        starts, n = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        ends = np.cumsum(n)
+        rows = np.cumsum(pc.list_value_length(cut).to_numpy())
+        per_text = np.diff(np.r_[0, ends][np.r_[0, rows]])
+        return ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1])], per_text
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; those of plain characters are cut into pre-tokens by one scan over all of them."""
+        out: list[bytes] = [b""] * len(pieces)
+        plain: list[int] = []
+        for i, piece in enumerate(pieces):
+            if _PLAIN.fullmatch(piece) and piece.isprintable() and not ("<" in piece and any(x in piece for x in self.special)):
+                plain.append(i)
+            elif piece:
+                out[i] = self.encode_piece(piece.encode())
+        merged, place, held = self.merged, iter(plain), []
+        for x in _PRETOKENS_OF_LINES.findall("\n".join([pieces[i] for i in plain]).lower() + "\n") if plain else ():
+            if x != "\n":
+                held.append(merged[x if x.isascii() else x.encode().decode("latin-1").translate(self.letters)])
+            else:
+                out[next(place)] = b"".join(held)
+                held.clear()
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
