@@ -1,12 +1,14 @@
 """Helpers shared by the training-data operators: reading, staging, word and shingle hashes, sketches."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +84,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Keys (bytes or text) longer than this are not remembered, which bounds a cache in bytes too.
+LONG_KEY = 64
+
+
 class Recent(dict):
-    """Values made on demand and remembered in two generations of bounded size, so that frequent keys stay."""
+    """Values made on demand and remembered in two generations of bounded size, so that frequent keys stay; long keys are not."""
 
     made: list[Recent] = []
 
@@ -96,6 +102,8 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONG_KEY:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -103,14 +111,35 @@ class Recent(dict):
         return value
 
 
+#: glibc's call that returns freed memory to the system, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def forget() -> None:
-    """Empty all caches of this process: a worker that turns to an operator without one gives their memory back."""
+    """Empty all caches of this process and return what is free: a worker that turns to another operator gives their memory back."""
     if any(Recent.made):
         for cache in Recent.made:
             cache.clear()
             cache.old = {}
         gc.collect()
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+#: Bytes of texts or sets that a task turns into Python objects at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(batches, *columns: int, most: int = BATCH_BYTES):
+    """The same rows in batches whose given columns (text or binary) hold at most that many bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 _HASHES = Recent(xxhash.xxh3_64_intdigest, 150_000)
@@ -151,11 +180,15 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int) -> float:
 SENT_IDS = 4_000_000
 
 
-def choose_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool = True, limit: int = SENT_IDS) -> DataFrame:
-    """Rows of docs whose key is (keep) or is not among the distinct ids, without moving texts while the ids are few."""
+def choose_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool = True, limit: int = SENT_IDS, then=None, schema=None) -> DataFrame:
+    """Rows of docs whose key is (keep) or is not among the distinct ids, without moving texts while the ids are few.
+
+    then turns the chosen batches into rows of schema, in the same Python worker.
+    """
     ids = ids.select(F.col(ids.columns[0]).cast("long").alias("__rk_id")).filter("__rk_id is not null")
     if ids.count() > limit:
-        return docs.join(ids, docs[key] == ids["__rk_id"], "left_semi" if keep else "left_anti")
+        chosen = docs.join(ids, docs[key] == ids["__rk_id"], "left_semi" if keep else "left_anti")
+        return chosen.mapInArrow(then, schema) if then else chosen
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
     at = docs.columns.index(key)
 
@@ -169,6 +202,8 @@ def choose_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool = True, l
             found &= ~own.is_null().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(found if keep else ~found))
 
+    if then:
+        return docs.mapInArrow(lambda batches: then(run(batches)), schema)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import choose_by_id, components, shingles, stage
+from .common import choose_by_id, components, forget, shingles, small_batches, stage
 
 SKETCH = 128
 KEPT = 32
@@ -39,9 +39,9 @@ HOT = 12
 #: Least overlap, of SKETCH, in the sketch of the union: a similarity of 0.8 falls below with a chance under 1e-4.
 OVERLAP = 84
 #: Rows of a block of a long list.
-BLOCK = 2048
+BLOCK = 1024
 #: Values compared at once.
-COLUMNS = 4096
+COLUMNS = 2048
 SHINGLE = 5
 PERCENT = 80
 
@@ -54,7 +54,8 @@ def shingle_sets(docs: DataFrame, size: int, k: int = SKETCH) -> DataFrame:
     """doc_id, n (set size), cls (hash of the set; empty set: null), sketch (k least hashes, as sorted unsigned values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in small_batches(batches, 1):
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -99,6 +100,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sketches = [[np.array(s, np.int64).view(np.uint64) for s in batch.column(c).to_pylist()] for c in (2, 3)]
             keep = [_alike(x, y, percent) for x, y in zip(*sketches, strict=True)]
@@ -111,17 +113,19 @@ def _full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """id, full: the whole shingle set of each document among ids, sorted, as bytes."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "full"])
 
-    return choose_by_id(docs.select(F.col("doc_id").cast("long"), "text"), stage(ids), "doc_id").mapInArrow(full, "id long, full binary").distinct()
+    return choose_by_id(docs.select(F.col("doc_id").cast("long"), "text"), stage(ids), "doc_id", then=full, schema="id long, full binary").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on their full sets."""
     sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in small_batches(batches, 2, 3):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -148,6 +152,7 @@ def _between(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     y_side = members.withColumn("y", block(2, "ys")).withColumn("x", every("xs")).select(*[F.col(c).alias(c) for c in names]).join(full(), "rep")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        forget()
         if not len(x) or not len(y):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
@@ -222,6 +227,14 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int = PE
     return links, components(links)
 
 
+def _one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: representatives of the classes that rows with one id belong to, each with the least of them."""
+    several = stage(sets.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("doc_id"))
+    held = sets.join(several, "doc_id", "left_semi").select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls").select("doc_id", "rep")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return stage(held.join(least, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -233,7 +246,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     usable = base.filter("cls is not null and doc_id is not null")
     classes = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m"), F.count("*").alias("members"))
     classes = stage(classes.select("cls", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"), "members"))
-    _, found = near_links(docs, classes.select("rep", "n", "sketch"), size, percent)
+    links, found = near_links(docs, classes.select("rep", "n", "sketch"), size, percent)
+    same = _one_id(usable, classes)
+    if not same.isEmpty():
+        found = components(links.unionByName(same))
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "members", "rep", F.coalesce("component", "rep").alias("comp"))
     moved = stage(placed.filter("members > 1 or comp <> rep").select("cls", "comp"))
     joined = base.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(moved, "cls", "left")

@@ -12,33 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, small_batches
 from .tokens import WORD_BPE, encoder
 
 END_ID = 1
 STRIPE_BYTES = 32 << 20
 ROWS_INDEXED = 1000
 BLOOM_WRONG = 0.01
-#: Bytes of text encoded at once.
-SLICE_BYTES = 8 << 20
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """Consecutive parts of at most that many bytes of text, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < len(texts):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
-        yield texts.slice(low, high - low)
-        low = high
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = END_ID) -> None:
     """Write the ids of every text, with end_id after each, as ORC files in ascending doc_id order, rows without id first.
 
@@ -51,21 +38,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            low = 0
-            for texts in slices(batch.column(1)):
-                ids, sizes = enc.encode_batch(texts)
-                # every document's end id goes behind its own ids
-                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.int32)
-                sizes = sizes + 1
-                ends = np.cumsum(sizes)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(low, n), pa.array(np.full(n, part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))],
-                    names=[x.split()[0] for x in FILE_SCHEMA.split(", ")])
-                low += n
-                at += int(ends[-1])
+        for batch in small_batches(batches, 1):
+            ids, sizes = enc.encode_batch(batch.column(1))
+            # every document's end id goes behind its own ids
+            ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.int32)
+            sizes = sizes + 1
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))],
+                names=[x.split()[0] for x in FILE_SCHEMA.split(", ")])
+            at += int(ends[-1])
 
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": ROWS_INDEXED, "orc.create.index": True, "orc.bloom.filter.columns": "doc_id",
                "orc.bloom.filter.fpp": BLOOM_WRONG, "compression": "zstd"}
