@@ -1,81 +1,82 @@
-"""Running totals and carried values that stay parallel when one key holds most of the rows.
+"""Running totals, running maxima and carried values that stay parallel when one key holds most of the rows.
 
 A plain ordered window puts all rows of a key into one task. Here each key is cut into ordered
-chunks by `levels`, columns that never decrease along the order (a date, then an id range): chunk
-totals are taken with map-side aggregation, a small window runs over chunks, and the row-level
-window is partitioned by key and chunk.
+chunks by `levels`, columns that never decrease along the order (a date, then an id range): every value of
+a call is folded per chunk in one map-side aggregation, a small window runs over chunks, and the row-level
+window is partitioned by key and chunk. Any associative fold can be carried so; sums, maxima and last values are here.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.window import Window as W, WindowSpec
 
+#: output -> (kind, value); kinds are sum, max and last (non-null)
+Folds = dict[str, tuple[str, Column]]
 
-def _offsets(parts: DataFrame, keys: list[str], levels: list[str], kind: str, name: str) -> DataFrame:
-    """Value carried into every chunk from the chunks before it, resolved one level at a time."""
-    depth = len(levels)
+
+def _fold(kind: str, value: Column, order: list[str]) -> Column:
+    """Value of a group of rows."""
+    if kind == "last":
+        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    return F.sum(value) if kind == "sum" else F.max(value)
+
+
+def _over(kind: str, value: Column, w: WindowSpec) -> Column:
+    if kind == "last":
+        return F.last(value, ignorenulls=True).over(w)
+    return (F.sum(value) if kind == "sum" else F.max(value)).over(w)
+
+
+def _then(kind: str, before: Column, after: Column) -> Column:
+    """Fold of two neighbouring stretches from their folds."""
+    if kind == "sum":
+        return F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0))
+    return F.greatest(before, after) if kind == "max" else F.coalesce(after, before)
+
+
+def _offsets(parts: DataFrame, keys: list[str], levels: list[str], kinds: dict[str, str]) -> DataFrame:
+    """_o_<output>: the fold of all chunks before each chunk, resolved one level at a time."""
     tables = [parts]
-    for i in range(depth - 1, 0, -1):
-        by = keys + levels[:i]
-        agg = (F.sum("_v") if kind == "sum" else F.max_by("_v", F.when(F.col("_v").isNotNull(),
-               F.struct(*levels[i:])))).alias("_v")
-        tables.append(tables[-1].groupBy(*by).agg(agg))
+    for i in range(len(levels) - 1, 0, -1):
+        tables.append(tables[-1].groupBy(*keys, *levels[:i]).agg(*[_fold(k, F.col(f"_v_{n}"), [levels[i]]).alias(f"_v_{n}") for n, k in kinds.items()]))
     out = None
     for i, table in enumerate(reversed(tables)):
-        by = keys + levels[: i + 1]
         w = W.partitionBy(*keys, *levels[:i]).orderBy(levels[i]).rowsBetween(W.unboundedPreceding, -1)
-        carried = F.sum("_v").over(w) if kind == "sum" else F.last("_v", ignorenulls=True).over(w)
-        step = table.select(*by, carried.alias("_c"))
+        step = table.select(*keys, *levels[: i + 1], *[_over(k, F.col(f"_v_{n}"), w).alias(f"_c_{n}") for n, k in kinds.items()])
         if out is None:
-            out = step.withColumnRenamed("_c", name)
+            out = step.select(*keys, *levels[: i + 1], *[F.col(f"_c_{n}").alias(f"_o_{n}") for n in kinds])
         else:
-            merged = (
-                F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col("_c"), F.lit(0))
-                if kind == "sum" else F.coalesce(F.col("_c"), F.col(name))
-            )
-            out = step.join(out, keys + levels[:i], "left").select(*by, merged.alias(name))
+            out = step.join(out, [*keys, *levels[:i]], "left").select(
+                *keys, *levels[: i + 1], *[_then(k, F.col(f"_o_{n}"), F.col(f"_c_{n}")).alias(f"_o_{n}") for n, k in kinds.items()])
     return out
 
 
+def scan(df: DataFrame, keys: list[str], levels: list[str], order: list[str], values: Folds, inclusive: bool = True) -> DataFrame:
+    """Add the fold of each value over the rows up to (inclusive) or strictly before each row, per key along the order.
+
+    Keys and levels must not be null. All values share one aggregation, one join and one window.
+    """
+    kinds = {n: k for n, (k, _) in values.items()}
+    src = df.withColumns({f"_x_{n}": v for n, (_, v) in values.items()})
+    parts = src.groupBy(*keys, *levels).agg(*[_fold(k, F.col(f"_x_{n}"), order).alias(f"_v_{n}") for n, k in kinds.items()])
+    joined = src.join(_offsets(parts, keys, levels, kinds), [*keys, *levels])
+    w = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    joined = joined.withColumns({n: _then(k, F.col(f"_o_{n}"), _over(k, F.col(f"_x_{n}"), w)) for n, k in kinds.items()})
+    return joined.drop(*[f"_x_{n}" for n in kinds], *[f"_o_{n}" for n in kinds])
+
+
 def running_sum(df: DataFrame, keys: list[str], levels: list[str], order: list[str],
                 values: dict[str, Column], type_: str = "decimal(18,2)") -> DataFrame:
     """Add inclusive running sums `{output: value}` per key along the order. Keys and levels must not be null."""
-    src = df
-    for out, value in values.items():
-        src = src.withColumn(f"_x_{out}", value)
-    w = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    offsets = None
-    for out in values:
-        parts = src.groupBy(*keys, *levels).agg(F.sum(f"_x_{out}").alias("_v"))
-        one = _offsets(parts, keys, levels, "sum", f"_o_{out}")
-        offsets = one if offsets is None else offsets.join(one, keys + levels)
-    joined = src.join(offsets, keys + levels)
-    for out in values:
-        total = F.sum(f"_x_{out}").over(w) + F.coalesce(F.col(f"_o_{out}"), F.lit(0))
-        joined = joined.withColumn(out, total.cast(type_))
-    return joined.drop(*[f"_x_{o}" for o in values], *[f"_o_{o}" for o in values])
+    out = scan(df, keys, levels, order, {n: ("sum", v) for n, v in values.items()})
+    return out.withColumns({n: F.col(n).cast(type_) for n in values})
 
 
 def carry_forward(df: DataFrame, keys: list[str], levels: list[str], order: list[str],
                   values: dict[str, Column]) -> DataFrame:
     """Add the last non-null value strictly before each row per key along the order."""
-    src = df
-    for out, value in values.items():
-        src = src.withColumn(f"_x_{out}", value)
-    w = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    offsets = None
-    for out in values:
-        x = F.col(f"_x_{out}")
-        parts = src.groupBy(*keys, *levels).agg(
-            F.max_by(x, F.when(x.isNotNull(), F.struct(*order))).alias("_v"))
-        one = _offsets(parts, keys, levels, "last", f"_o_{out}")
-        offsets = one if offsets is None else offsets.join(one, keys + levels)
-    joined = src.join(offsets, keys + levels)
-    for out in values:
-        prior = F.last(f"_x_{out}", ignorenulls=True).over(w)
-        joined = joined.withColumn(out, F.coalesce(prior, F.col(f"_o_{out}")))
-    return joined.drop(*[f"_x_{o}" for o in values], *[f"_o_{o}" for o in values])
+    return scan(df, keys, levels, order, {n: ("last", v) for n, v in values.items()}, inclusive=False)
 
 
 def ordinal(df: DataFrame, keys: list[str], levels: list[str], order: list[str], out: str) -> DataFrame:

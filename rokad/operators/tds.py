@@ -1,14 +1,24 @@
-"""Tax withheld at source with single and yearly thresholds, as a closed form over one running sum."""
+"""Tax withheld at source with single and yearly thresholds, as a scan of composable functions.
+
+What a payment does to the tax withheld so far, D, is a function of one form, D -> max(D + a, b): a payment that only meets the single
+threshold adds its own tax (a); from the yearly threshold on, the total is at least rate x base (b, with a = 0). Two such functions one
+after the other are again one of them, so the rule is an associative scan although rate, thresholds and kind may change
+from one payment to the next. Written out, D after a payment is A + max(0, greatest (b - A) so far), with A the running sum of a: a sum and a
+maximum that prefix.py carries from chunk to chunk.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, nonnull, pct, zero
+from ..functions.money import MONEY, pct, rupees, to_paise, zero
 from .effective import resolve_tds_section
-from .prefix import running_sum
+from .prefix import running_sum, scan
+from .staging import stage
 
 KEYS = ["client_id", "party_id", "_category", "fy"]
+LEVELS = ["payment_date", "_chunk"]
+ORDER = ["payment_date", "ok", "sk"]
 ID_SPAN = 65536
 
 
@@ -18,41 +28,34 @@ def compute(payments: DataFrame, sections: DataFrame) -> DataFrame:
     Cumulative counts every payment of the party in the category and fiscal year. Before the
     yearly threshold a payment is charged only when it meets the single threshold. From the
     crossing on, what has been withheld in total is rate x cumulative (or rate x excess, for
-    sections charging only the excess), never less than what was withheld before it.
-    The rate row of a party is taken to be constant inside a fiscal year.
+    sections charging only the excess) by the row in force on the payment's date, never less than what was withheld before it: a lower
+    rate takes nothing back, and a higher one charges the whole base. A payment without a section in force is not charged.
     """
     c = F.col
     df = resolve_tds_section(payments, sections, "payment_date").select(
         "*", F.floor(c("ok") / ID_SPAN).alias("_chunk"),
         F.coalesce("tds_category", F.lit("")).alias("_category"))
-    run = running_sum(df, KEYS, ["payment_date", "_chunk"], ["payment_date", "ok", "sk"],
-                      {"cumulative_after": c("amount")})
-    after, thr, covered = c("cumulative_after"), c("cumulative_threshold"), c("section_id").isNotNull()
+    run = running_sum(df, KEYS, LEVELS, ORDER, {"cumulative_after": c("amount")})
+    after, thr, covered, full = c("cumulative_after"), c("cumulative_threshold"), c("section_id").isNotNull(), c("full_on_crossing")
     before = (after - c("amount")).cast(MONEY)
-    over = F.coalesce((thr > 0) & (after >= thr), F.lit(False))
-    was_over = F.coalesce((thr > 0) & (before >= thr), F.lit(False))
-    single = F.when((c("single_threshold") > 0) & (c("amount") >= c("single_threshold")),
-                    pct(c("amount"), c("tds_rate"))).otherwise(zero())
-    run = run.select("*", before.alias("cumulative_before"), over.alias("_over"), was_over.alias("_was"),
-                     single.alias("_single"))
-    # withheld before the crossing: only rows that met the single threshold, one small row per key
-    early = run.filter(covered & ~c("_over") & (c("_single") > 0)).groupBy(*KEYS).agg(
-        F.sum("_single").cast(MONEY).alias("_early"))
-    run = run.join(early, KEYS, "left").withColumn("_early", nonnull(c("_early")))
-    full = c("full_on_crossing")
-
-    def due(cum):
-        base = F.when(full, cum).otherwise(cum - thr)
-        return F.greatest(c("_early"), pct(base.cast(MONEY), c("tds_rate")))
-
-    prior = F.when(c("_was"), due(c("cumulative_before"))).otherwise(c("_early"))
-    tax = F.when(c("_over"), due(after) - prior).otherwise(c("_single")).cast(MONEY)
+    run = run.select(
+        "*", before.alias("cumulative_before"), F.coalesce((thr > 0) & (after >= thr), F.lit(False)).alias("_over"),
+        F.coalesce((thr > 0) & (before >= thr), F.lit(False)).alias("_was"))
+    single = covered & ~c("_over") & (c("single_threshold") > 0) & (c("amount") >= c("single_threshold"))
+    total = F.when(full, after).otherwise(after - thr).cast(MONEY)
+    run = stage(run.select("*", F.coalesce(F.when(single, to_paise(pct(c("amount"), c("tds_rate")))), F.lit(0)).cast("long").alias("_a"),
+                           F.when(c("_over"), to_paise(pct(total, c("tds_rate")))).alias("_b")))
+    # only rows that charge something, or may, take part in the two scans that follow
+    charged = running_sum(run.filter("_a > 0 OR _b IS NOT NULL"), KEYS, LEVELS, ORDER, {"_sum": c("_a")}, "long")
+    charged = scan(charged, KEYS, LEVELS, ORDER, {"_m": ("max", c("_b") - c("_sum"))}, inclusive=False)
+    held = c("_sum") - c("_a") + F.greatest(F.coalesce("_m", F.lit(0)), F.lit(0))
     base = (
         F.when(c("_over") & full, after)
         .when(c("_over") & c("_was"), c("amount"))
         .when(c("_over"), after - thr)
-        .when(c("_single") > 0, c("amount"))
-        .otherwise(zero()).cast(MONEY))
-    return run.select(
-        *payments.columns, "section_id", "tds_rate", "cumulative_before", "cumulative_after",
-        base.alias("taxable_base"), tax.alias("tds"), (c("_over") & ~c("_was")).alias("threshold_crossed"))
+        .when(c("_a") > 0, c("amount")).cast(MONEY))
+    tax = F.when(c("_over"), F.greatest(c("_b") - held, F.lit(0))).otherwise(c("_a"))
+    out = [*payments.columns, "section_id", "tds_rate", "cumulative_before", "cumulative_after"]
+    crossed = (c("_over") & ~c("_was")).alias("threshold_crossed")
+    rest = run.filter("_a = 0 AND _b IS NULL").select(*out, zero().alias("taxable_base"), zero().alias("tds"), crossed)
+    return charged.select(*out, base.alias("taxable_base"), rupees(tax).alias("tds"), crossed).unionByName(rest)

@@ -68,10 +68,10 @@ cte("chart", values(m.CHART, ["account_code:INTEGER", "account_name:VARCHAR", "r
 cte("chart_groups", values(m.CHART_GROUPS, ["code:INTEGER", "name:VARCHAR", "root_type:VARCHAR", "parent_code:INTEGER"]))
 cte("gst_rates", values(m.GST_RATES, ["rate_id:INTEGER", "hsn_prefix:VARCHAR", "effective_from:DATE", "effective_to:DATE",
                                       "gst_rate:DECIMAL(5,2)", "cess_rate:DECIMAL(5,2)", "citation:VARCHAR"]))
-cte("tds_sections", values([(*r, m.TDS_FROM) for r in m.TDS_SECTIONS],
+cte("tds_sections", values(m.tds_rows(),
                            ["section_id:INTEGER", "tds_category:VARCHAR", "entity_type:VARCHAR", "tds_rate:DECIMAL(6,3)",
                             "single_threshold:DECIMAL(18,2)", "cumulative_threshold:DECIMAL(18,2)",
-                            "full_on_crossing:BOOLEAN", "effective_from:DATE"]))
+                            "full_on_crossing:BOOLEAN", "effective_from:DATE", "effective_to:DATE"]))
 cte("clients", f"""
 SELECT CAST(n_nationkey AS INTEGER) client_id, CAST(n_regionkey AS INTEGER) firm_id, n_name client_name,
   {S}[n_nationkey+1] state_code, {arr(p.BUSINESS_TYPES)}[n_nationkey % 5 + 1] business_type,
@@ -201,19 +201,22 @@ SELECT p.*, s.section_id, s.tds_rate, s.full_on_crossing fullx, CAST(s.single_th
   CAST(s.cumulative_threshold * 100 AS BIGINT) thr, CAST(s.tds_rate * 100 AS BIGINT) bp,
   CAST(sum(amount_p) OVER (PARTITION BY p.client_id, p.party_id, p.tds_category, p.fy ORDER BY payment_date, ok, sk) AS BIGINT) cum_p
 FROM payments p LEFT JOIN tds_sections s ON s.tds_category = p.tds_category AND s.entity_type = p.entity_type
-  AND payment_date >= s.effective_from""")
-cte("tds_early", """
-SELECT *, coalesce(cum_p >= thr AND thr > 0, false) is_over, coalesce(cum_p - amount_p >= thr AND thr > 0, false) was_over,
-  CASE WHEN single_p > 0 AND amount_p >= single_p THEN (amount_p * bp + 5000) // 10000 ELSE 0 END single_tax FROM tds_run""")
+  AND payment_date >= s.effective_from AND payment_date <= coalesce(s.effective_to, DATE '9999-12-31')""")
+cte("tds_step", """
+SELECT *, row_number() OVER (PARTITION BY client_id, party_id, tds_category, fy ORDER BY payment_date, ok, sk) n,
+  coalesce(cum_p >= thr AND thr > 0, false) is_over, coalesce(cum_p - amount_p >= thr AND thr > 0, false) was_over,
+  CASE WHEN section_id IS NOT NULL AND single_p > 0 AND amount_p >= single_p THEN (amount_p * bp + 5000) // 10000 ELSE 0 END single_tax,
+  ((CASE WHEN fullx THEN cum_p ELSE cum_p - thr END) * bp + 5000) // 10000 gross FROM tds_run""")
+# the rule payment after payment: what has been withheld so far goes from row to row
+cte("tds_held", """
+SELECT DISTINCT client_id, party_id, tds_category, fy, CAST(0 AS BIGINT) n, CAST(0 AS BIGINT) held, CAST(0 AS BIGINT) tds_p FROM tds_step
+UNION ALL SELECT client_id, party_id, tds_category, fy, n, held + tax, tax FROM (
+SELECT s.*, h.held, CAST(CASE WHEN is_over THEN greatest(gross - h.held, 0) ELSE single_tax END AS BIGINT) tax
+FROM tds_held h JOIN tds_step s ON s.client_id = h.client_id AND s.party_id = h.party_id AND s.tds_category IS NOT DISTINCT FROM h.tds_category AND s.fy = h.fy AND s.n = h.n + 1)""")
 cte("tds_all", """
-SELECT *, CASE WHEN NOT is_over THEN CASE WHEN section_id IS NULL THEN 0 ELSE single_tax END
-  ELSE greatest(early, ((CASE WHEN fullx THEN cum_p ELSE cum_p - thr END) * bp + 5000) // 10000)
-     - CASE WHEN was_over THEN greatest(early, ((CASE WHEN fullx THEN cum_p - amount_p ELSE cum_p - amount_p - thr END) * bp + 5000) // 10000) ELSE early END
-  END tds_p,
-  CASE WHEN is_over AND fullx THEN cum_p WHEN is_over AND was_over THEN amount_p WHEN is_over THEN cum_p - thr
-    WHEN single_tax > 0 THEN amount_p ELSE 0 END base_p
-FROM (SELECT *, CAST(coalesce(sum(CASE WHEN NOT is_over THEN single_tax ELSE 0 END)
-  OVER (PARTITION BY client_id, party_id, tds_category, fy), 0) AS BIGINT) early FROM tds_early)""")
+SELECT s.*, h.tds_p, CASE WHEN is_over AND fullx THEN cum_p WHEN is_over AND was_over THEN amount_p WHEN is_over THEN cum_p - thr
+  WHEN single_tax > 0 THEN amount_p ELSE 0 END base_p
+FROM tds_step s JOIN tds_held h ON s.client_id = h.client_id AND s.party_id = h.party_id AND s.tds_category IS NOT DISTINCT FROM h.tds_category AND s.fy = h.fy AND s.n = h.n""")
 
 
 def legs(src: str, firm: str, client: str, vid: str, kind: str, date: str, rows: list[tuple], where: str = "true",

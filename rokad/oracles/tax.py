@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from .. import masters as m
-from .base import build, check_digit, cond, cte, fy, money, q
+from .base import arr, build, check_digit, cond, cte, fy, money, q
+from ..operators import vendor
+from ..sources import returns as r
 from ..functions import gstin as g
 
 P = "strftime({}, '%Y-%m')"
@@ -13,22 +15,69 @@ SELECT *, {P.format('posting_date')} period, CASE WHEN is_return THEN CASE WHEN
   WHEN gst_category <> 'unregistered' THEN 'B2B'
   WHEN NOT intra AND grand_p > CASE WHEN posting_date >= DATE '2024-08-01' THEN 10000000 ELSE 25000000 END THEN 'B2CL' ELSE 'B2CS' END bucket FROM sales""")
 cte("inward", f"""
-SELECT client_id, supplier_gstin, CASE WHEN ok % 20 = 2 THEN lower(replace(bill_number, '/', '-')) ELSE bill_number END invoice_number,
-  CASE WHEN ok % 20 = 3 THEN bill_date + 2 ELSE bill_date END invoice_date, CASE WHEN ok % 20 = 1 THEN taxable_p + 10000 ELSE taxable_p END taxable_p,
-  2 * cgst_p + igst_p tax_p, ok % 20 = 4 is_amended, CASE ok % 20 WHEN 5 THEN 'pending' WHEN 6 THEN 'reject' ELSE 'accept' END ims
-FROM bills WHERE supplier_gstin IS NOT NULL AND NOT is_return AND ok % 20 <> 0
-UNION ALL SELECT client_id, supplier_gstin, 'X' || bill_number, bill_date, taxable_p, 2 * cgst_p + igst_p, false, 'accept'
+SELECT '2B-' || voucher_id line_id, client_id, supplier_gstin, CASE k WHEN 2 THEN lower(replace(bill_number, '/', '-')) WHEN 7 THEN '1NV' || substr(bill_number, 4) WHEN 10 THEN '1NV' || substr(bill_number, 4)
+  WHEN 8 THEN 'N' || ok * 7919 WHEN 9 THEN 'SUB' || ok WHEN 11 THEN 'Z/' || ok ELSE bill_number END invoice_number,
+  bill_date + CASE k WHEN 3 THEN 2 WHEN 7 THEN 1 WHEN 8 THEN -3 WHEN 9 THEN 40 ELSE 0 END invoice_date,
+  CASE k WHEN 1 THEN taxable_p + 10000 WHEN 10 THEN taxable_p + 10000 WHEN 8 THEN taxable_p + 40 WHEN 9 THEN taxable_p * 2 ELSE taxable_p END taxable_p,
+  2 * cgst_p + igst_p tax_p, k = 4 is_amended, CASE k WHEN 5 THEN 'pending' WHEN 6 THEN 'reject' ELSE 'accept' END ims
+FROM (SELECT *, ok % 20 k FROM bills WHERE supplier_gstin IS NOT NULL AND NOT is_return AND ok % 20 <> 0)
+UNION ALL SELECT '2X-' || voucher_id, client_id, supplier_gstin, 'X' || bill_number, bill_date, taxable_p, 2 * cgst_p + igst_p, false, 'accept'
 FROM bills WHERE supplier_gstin IS NOT NULL AND NOT is_return AND ok % 25 = 0""")
 NN = "upper(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
-cte("recon", f"""
-SELECT client_id, supplier_gstin, voucher_id, bill_number, invoice_number, bt, gt, CASE WHEN invoice_number IS NULL THEN 'missing_in_2b'
-  WHEN bill_number IS NULL THEN 'missing_in_books' WHEN ims = 'pending' THEN 'pending' WHEN ims = 'reject' THEN 'ignored' WHEN is_amended THEN 'amended'
+cte("rb", f"""SELECT voucher_id l, client_id, supplier_gstin, {NN.format('bill_number')} num, bill_number, bill_date, taxable_p bt, 2 * cgst_p + igst_p bx, ok FROM bills WHERE supplier_gstin IS NOT NULL AND NOT is_return""")
+cte("rg", f"""SELECT line_id r, client_id, supplier_gstin, {NN.format('invoice_number')} num, invoice_number, invoice_date, taxable_p gt, tax_p gx, is_amended, ims FROM inward""")
+cte("r0", """SELECT l, r, 'manual' matched_by FROM rb JOIN rg USING (client_id, supplier_gstin) WHERE ok % 20 = 9 AND invoice_number = 'SUB' || ok""")
+
+
+def ranked_pass(name: str, keys: str, b_keys: str, g_keys: str, b_order: str, g_order: str, before: str, how: str) -> None:
+    cte(name, f"""SELECT * FROM {before} UNION ALL SELECT l, r, '{how}' FROM
+(SELECT l, {b_keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {b_order}, l) n FROM (SELECT *, bill_date d, bt v, bx x FROM rb WHERE l NOT IN (SELECT l FROM {before}))) JOIN
+(SELECT r, {g_keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {g_order}, r) n FROM (SELECT *, invoice_date d, gt v, gx x FROM rg WHERE r NOT IN (SELECT r FROM {before}))) USING ({keys}, n)""")
+
+
+ranked_pass("r1", "client_id, supplier_gstin, num", "client_id, supplier_gstin, num", "client_id, supplier_gstin, num", "d, v", "d, v", "r0", "number")
+ranked_pass("r2", "client_id, supplier_gstin, d, v, x", "client_id, supplier_gstin, d, v, x", "client_id, supplier_gstin, d, v, x", "num", "num", "r1", "value")
+cte("r_near", """
+SELECT *, row_number() OVER (PARTITION BY client_id, supplier_gstin ORDER BY close * 2 + CASE WHEN e <= 1 THEN 2 ELSE 0 END DESC, e, gap, l, r) k FROM (
+SELECT b.client_id, b.supplier_gstin, l, r, CASE WHEN abs(bt - gt) <= 100 AND abs(bx - gx) <= 100 AND abs(bill_date - invoice_date) <= 5 THEN 1 ELSE 0 END close,
+  levenshtein(b.num, g.num) e, abs(bill_date - invoice_date) gap
+FROM (SELECT * FROM rb WHERE l NOT IN (SELECT l FROM r2)) b JOIN (SELECT * FROM rg WHERE r NOT IN (SELECT r FROM r2)) g USING (client_id, supplier_gstin)
+WHERE abs(bill_date - invoice_date) <= 5) WHERE close = 1 OR (gap = 0 AND e <= 1)""")
+cte("r_greedy", """
+SELECT DISTINCT client_id, supplier_gstin, CAST(0 AS BIGINT) k, []::VARCHAR[] used, NULL::VARCHAR l, NULL::VARCHAR r FROM r_near
+UNION ALL SELECT client_id, supplier_gstin, k, CASE WHEN free THEN list_concat(used, [l, r]) ELSE used END, CASE WHEN free THEN l END, CASE WHEN free THEN r END FROM (
+SELECT n.*, used, NOT list_contains(used, n.l) AND NOT list_contains(used, n.r) free FROM r_greedy g JOIN r_near n ON n.client_id = g.client_id AND n.supplier_gstin = g.supplier_gstin AND n.k = g.k + 1)""")
+cte("r_all", "SELECT * FROM r2 UNION ALL SELECT l, r, 'near' FROM r_greedy WHERE l IS NOT NULL")
+cte("recon", """
+SELECT coalesce(b.client_id, g.client_id) client_id, coalesce(b.supplier_gstin, g.supplier_gstin) supplier_gstin, b.l voucher_id, bill_number, invoice_number, bt, gt, CASE WHEN g.r IS NULL THEN 'missing_in_2b'
+  WHEN b.l IS NULL THEN 'missing_in_books' WHEN ims = 'pending' THEN 'pending' WHEN ims = 'reject' THEN 'ignored' WHEN is_amended THEN 'amended' WHEN matched_by = 'manual' THEN 'manual_match'
   WHEN bill_number = invoice_number AND bill_date = invoice_date AND bt = gt AND bx = gx THEN 'exact_match'
-  WHEN abs(bt - gt) <= 100 AND abs(bx - gx) <= 100 AND abs(bill_date - invoice_date) <= 5 THEN 'suggested_match' ELSE 'mismatch' END status
-FROM (SELECT client_id, supplier_gstin, {NN.format('bill_number')} num, voucher_id, bill_number, bill_date, taxable_p bt, 2 * cgst_p + igst_p bx
-  FROM bills WHERE supplier_gstin IS NOT NULL AND NOT is_return) b
-FULL JOIN (SELECT client_id, supplier_gstin, {NN.format('invoice_number')} num, invoice_number, invoice_date, taxable_p gt, tax_p gx, is_amended, ims FROM inward) i
-USING (client_id, supplier_gstin, num)""")
+  WHEN abs(bt - gt) <= 100 AND abs(bx - gx) <= 100 AND abs(bill_date - invoice_date) <= 5 THEN 'suggested_match' ELSE 'mismatch' END status, matched_by
+FROM rb b LEFT JOIN r_all p USING (l) FULL JOIN rg g ON g.r = p.r""")
+cte("vendor_master", f"""
+SELECT DISTINCT b.client_id, s.party_id, {arr(r.VENDOR_FIRST)}[s.sk % 7 + 1] || ' ' || {arr(r.VENDOR_SECOND)}[s.sk // 7 % 5 + 1] || ' ' || s.sk || ' ' || {arr(r.VENDOR_KIND)}[s.sk % 4 + 1] party_name, s.gstin
+FROM bills b JOIN suppliers s ON s.sk = b.sk""")
+cte("read_documents", """
+SELECT voucher_id document_id, client_id, CASE WHEN k IN (3, 5) THEN 'Shop ' || sk * 31 WHEN k = 4 THEN upper(replace(replace(party_name, 'Trading', 'Trdg'), 'Company', 'Co.'))
+  WHEN k = 6 THEN regexp_replace(party_name, ' [A-Za-z]+$', '') WHEN k = 7 THEN 'Nowhere Stores ' || ok ELSE party_name END AS name,
+  CASE WHEN k < 4 THEN gstin WHEN k = 6 THEN substr(gstin, 1, 14) || '?' END gstin
+FROM (SELECT b.voucher_id, b.client_id, b.ok, b.sk, b.ok % 8 k, m.party_name, m.gstin FROM bills b JOIN vendor_master m ON m.client_id = b.client_id AND m.party_id = 'S' || b.sk WHERE NOT is_return)""")
+LONG = "CASE w " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in vendor.SHORT_FORMS.items()) + " ELSE w END"
+WORDS = f"list_distinct(list_transform(list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: {LONG}))"
+cte("vendor_words", f"SELECT party_id, unnest({WORDS.format('party_name')}) word FROM (SELECT DISTINCT party_id, party_name FROM vendor_master)")
+cte("word_weights", "SELECT word, length(bin((SELECT count(DISTINCT party_id) FROM vendor_words) // count(*))) w FROM vendor_words GROUP BY 1")
+cte("v_number", "SELECT document_id, d.client_id, name, min(party_id) party_id FROM read_documents d LEFT JOIN vendor_master m ON m.client_id = d.client_id AND m.gstin = d.gstin GROUP BY 1, 2, 3")
+cte("name_words", f"SELECT client_id, name, unnest({WORDS.format('name')}) word FROM (SELECT DISTINCT client_id, name FROM v_number WHERE party_id IS NULL)")
+cte("name_sums", "SELECT client_id, name, sum(coalesce(w, length(bin((SELECT count(DISTINCT party_id) FROM vendor_words))))) total FROM name_words LEFT JOIN word_weights USING (word) GROUP BY 1, 2")
+cte("v_name", """
+SELECT client_id, name, min((-score, party_id)) best FROM (
+SELECT client_id, name, party_id, CAST(shared * 1000 // (total + v_total - shared) AS INTEGER) score FROM (
+SELECT n.client_id, n.name, m.party_id, sum(w) shared, any_value(s.total) total, any_value(v.v_total) v_total
+FROM name_words n JOIN vendor_words x USING (word) JOIN word_weights USING (word) JOIN (SELECT DISTINCT client_id, party_id FROM vendor_master) m ON m.client_id = n.client_id AND m.party_id = x.party_id
+JOIN name_sums s ON s.client_id = n.client_id AND s.name = n.name JOIN (SELECT party_id, sum(w) v_total FROM vendor_words JOIN word_weights USING (word) GROUP BY 1) v ON v.party_id = x.party_id
+GROUP BY 1, 2, 3) WHERE shared * 100 >= 60 * (total + v_total - shared)) GROUP BY 1, 2""")
+cte("v_habit", """
+SELECT client_id, name, min((-n, party_id)) best FROM (SELECT client_id, name, party_id, count(*) n FROM v_number WHERE party_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 OWN = f"(CASE WHEN is_rcm THEN 0 ELSE {SG} END)"
 cte("out_tax", f"""
 SELECT client_id, {P.format('posting_date')} period, sum(taxable_p * {SG}) o_t, sum(cgst_p * {OWN}) o_c, sum(igst_p * {OWN}) o_i, sum(cess_due_p * {OWN}) o_x,
@@ -101,9 +150,13 @@ LEFT JOIN (SELECT DISTINCT client_id, CAST(date_trunc('month', posting_date) AS
  WHEN expense_account = 5140 THEN 'always_blocked:' || category WHEN e = 'eligible' THEN 'trade_exempt:' || category || ':' || buyer_trade
  WHEN e = 'blocked' THEN 'trade_blocked:' || category || ':' || buyer_trade ELSE 'trade_unknown:' || category END reason
 FROM (SELECT client_id, buyer_trade, expense_account, {cond} e, {CATEGORY} category, count(*) lines FROM (SELECT buyer client_id, buyer_trade, expense_account FROM line_docs) GROUP BY ALL)"""),
-    "recon_2b": build(f"SELECT client_id, supplier_gstin, voucher_id, bill_number, invoice_number, {money('bt')} b_taxable, {money('gt')} g_taxable, status FROM recon"),
-    "itc_claimable": build("""SELECT voucher_id, status, itc_eligibility = 'eligible' AND (status = 'exact_match' OR status = 'missing_in_2b' AND ov) claimable,
- CASE WHEN itc_eligibility = 'blocked' THEN 'not_creditable' WHEN itc_eligibility <> 'eligible' THEN 'undecided' WHEN status = 'exact_match' THEN 'reported'
+    "resolve_vendor": build("""SELECT d.document_id, d.client_id, coalesce(d.party_id, n.best[2], h.best[2]) party_id,
+ CASE WHEN d.party_id IS NOT NULL THEN 'number' WHEN n.best IS NOT NULL THEN 'name' WHEN h.best IS NOT NULL THEN 'history' ELSE 'unmatched' END found_by,
+ CASE WHEN d.party_id IS NULL THEN -n.best[1] END score
+FROM v_number d LEFT JOIN v_name n ON n.client_id = d.client_id AND n.name = d.name LEFT JOIN v_habit h ON h.client_id = d.client_id AND h.name = d.name"""),
+    "recon_2b": build(f"SELECT client_id, supplier_gstin, voucher_id, bill_number, invoice_number, {money('bt')} b_taxable, {money('gt')} g_taxable, status, matched_by FROM recon"),
+    "itc_claimable": build("""SELECT voucher_id, status, itc_eligibility = 'eligible' AND (status IN ('exact_match', 'manual_match') OR status = 'missing_in_2b' AND ov) claimable,
+ CASE WHEN itc_eligibility = 'blocked' THEN 'not_creditable' WHEN itc_eligibility <> 'eligible' THEN 'undecided' WHEN status IN ('exact_match', 'manual_match') THEN 'reported'
  WHEN status = 'missing_in_2b' AND ov THEN 'overridden:supplier filed late' WHEN status = 'missing_in_2b' THEN 'unreported' ELSE 'held:' || status END reason FROM (SELECT b.voucher_id, b.itc_eligibility, ok % 40 = 0 ov, coalesce(r.status, 'missing_in_2b') status
  FROM bills b LEFT JOIN recon r ON r.voucher_id = b.voucher_id WHERE NOT is_return)"""),
     "itc_180_day": build(f"""SELECT client_id, voucher_id, bill_number, party_name supplier, bill_date, CAST(DATE '2026-12-31' - bill_date AS INTEGER) days_elapsed,

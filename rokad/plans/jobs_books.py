@@ -192,8 +192,7 @@ def validate_invoices(b):
 
 @job("validate_bills")
 def validate_bills(b):
-    from .returns import reconcile_2b
-    return k.validate_bills(b.bills, reconcile_2b(b.bills, b.gstr_2b).select("voucher_id", "status"))
+    return k.validate_bills(b.bills, b.reconciled.select("voucher_id", "status"))
 
 
 @job("validate_matches")

@@ -114,13 +114,20 @@ def itc_decide(b):
 
 @job("recon_2b")
 def recon_2b(b):
-    return r.reconcile_2b(b.bills, b.gstr_2b)
+    return b.reconciled
+
+
+@job("resolve_vendor")
+def resolve_vendor(b):
+    """Vendor of every bill from the number and the name read off it."""
+    from ..operators import vendor
+    return vendor.resolve_vendor(b.read_documents, b.vendor_master.drop("sk"))
 
 
 @job("itc_claimable")
 def itc_claimable(b):
     """May the credit of each bill be claimed; late filers are overridden on every fortieth order."""
-    s = r.reconcile_2b(b.bills, b.gstr_2b).filter("voucher_id IS NOT NULL").select("voucher_id", "status")
+    s = b.reconciled.filter("voucher_id IS NOT NULL").select("voucher_id", "status")
     j = b.bills.filter("NOT is_return").drop("status").join(s, "voucher_id", "left").withColumn(
         "status", F.coalesce("status", F.lit("missing_in_2b")))
     over = F.when(F.col("ok") % 40 == 0, F.lit("supplier filed late"))

@@ -8,32 +8,69 @@ from pyspark.sql import functions as F
 
 from ..functions.audit import GENESIS, audit_payload
 from ..functions.money import MONEY
+from ..operators.inward import reconcile
 from .banking import Banking
-from .projection import key_text
+from .projection import key_text, pick
 
 SEGMENT_SPAN = 4096
+VENDOR_FIRST = ["Shree", "Metro", "Royal", "National", "Global", "Shree", "City"]
+VENDOR_SECOND = ["Ram", "Steel", "Paper", "Ram", "Foods"]
+VENDOR_KIND = ["Trading Company", "Company", "Trading", "Industries"]
 
 
 class Tables(Banking):
     @cached_property
     def gstr_2b(self) -> DataFrame:
-        """Inward statement: the suppliers' copy of each bill, some missing, changed, renumbered or extra."""
-        ok = F.col("ok")
+        """Inward statement: the suppliers' copy of each bill, some missing, changed, renumbered, misspelt or extra."""
+        ok, number, day = F.col("ok"), F.col("bill_number"), F.col("bill_date")
         b = self.bills.filter("supplier_gstin IS NOT NULL AND NOT is_return")
         k = ok % 20
+        typed = F.concat(F.lit("1NV"), F.substring(number, 4, 1000))
         base = b.filter(k != 0).select(
-            "client_id", "recipient_gstin", "supplier_gstin",
-            F.when(k == 2, F.lower(F.replace("bill_number", F.lit("/"), F.lit("-")))).otherwise(F.col("bill_number")).alias("invoice_number"),
-            F.when(k == 3, F.date_add("bill_date", 2)).otherwise(F.col("bill_date")).alias("invoice_date"),
-            F.when(k == 1, F.col("taxable") + F.lit("100.00").cast(MONEY)).otherwise(F.col("taxable")).cast(MONEY).alias("taxable"),
+            key_text("2B-", F.col("voucher_id")).alias("line_id"), "client_id", "recipient_gstin", "supplier_gstin",
+            F.when(k == 2, F.lower(F.replace(number, F.lit("/"), F.lit("-")))).when(k.isin(7, 10), typed).when(k == 8, key_text("N", ok * 7919))
+            .when(k == 9, key_text("SUB", ok)).when(k == 11, key_text("Z/", ok)).otherwise(number).alias("invoice_number"),
+            F.when(k == 3, F.date_add(day, 2)).when(k == 7, F.date_add(day, 1)).when(k == 8, F.date_sub(day, 3)).when(k == 9, F.date_add(day, 40)).otherwise(day).alias("invoice_date"),
+            F.when(k.isin(1, 10), F.col("taxable") + F.lit("100.00").cast(MONEY)).when(k == 8, F.col("taxable") + F.lit("0.40").cast(MONEY)).when(
+                k == 9, F.col("taxable") * 2).otherwise(F.col("taxable")).cast(MONEY).alias("taxable"),
             "cgst", "sgst", "igst", (k == 4).alias("is_amended"),
             F.when(k == 5, "pending").when(k == 6, "reject").otherwise("accept").alias("ims_action"))
         extra = b.filter(ok % 25 == 0).select(
-            "client_id", "recipient_gstin", "supplier_gstin", F.concat(F.lit("X"), "bill_number").alias("invoice_number"),
-            F.col("bill_date").alias("invoice_date"), "taxable", "cgst", "sgst", "igst", F.lit(False).alias("is_amended"),
-            F.lit("accept").alias("ims_action"))
+            key_text("2X-", F.col("voucher_id")).alias("line_id"), "client_id", "recipient_gstin", "supplier_gstin", F.concat(F.lit("X"), number).alias("invoice_number"),
+            day.alias("invoice_date"), "taxable", "cgst", "sgst", "igst", F.lit(False).alias("is_amended"), F.lit("accept").alias("ims_action"))
         return base.unionByName(extra)
 
+    @cached_property
+    def manual_pairs(self) -> DataFrame:
+        """Pairs of a bill and a statement line that a person made although number, date and value differ."""
+        b = self.bills.filter("supplier_gstin IS NOT NULL AND NOT is_return AND ok % 20 = 9")
+        return b.select("client_id", "supplier_gstin", "bill_number", key_text("SUB", F.col("ok")).alias("invoice_number"))
+
+    @cached_property
+    def reconciled(self) -> DataFrame:
+        return reconcile(self.bills, self.gstr_2b, self.manual_pairs)
+
+    @cached_property
+    def vendor_master(self) -> DataFrame:
+        """Suppliers that each client has bills of, under the names they trade by."""
+        k = F.col("sk")
+        name = F.concat_ws(" ", pick(VENDOR_FIRST, k % 7, "string"), pick(VENDOR_SECOND, F.floor(k / 7) % 5, "string"), k.cast("string"), pick(VENDOR_KIND, k % 4, "string"))
+        own = self.suppliers.select("sk", "party_id", name.alias("party_name"), "gstin")
+        return self.bills.select("client_id", "party_id").distinct().join(own, "party_id").select("client_id", "party_id", "party_name", "gstin", "sk")
+
+    @cached_property
+    def read_documents(self) -> DataFrame:
+        """What was read off each bill: number and name, with a number that is missing or wrong and a name cut, short or another one at times."""
+        k, sk = F.col("ok") % 8, F.col("sk")
+        b = self.bills.filter("NOT is_return").select("client_id", "party_id", "voucher_id", "ok", "sk")
+        b = b.join(self.vendor_master.drop("sk"), ["client_id", "party_id"])
+        short = F.upper(F.replace(F.replace("party_name", F.lit("Trading"), F.lit("Trdg")), F.lit("Company"), F.lit("Co.")))
+        cut = F.regexp_replace("party_name", " [A-Za-z]+$", "")
+        alias = key_text("Shop ", sk * 31)
+        name = F.when(k.isin(3, 5), alias).when(k == 4, short).when(k == 6, cut).when(k == 7, key_text("Nowhere Stores ", F.col("ok"))).otherwise(F.col("party_name"))
+        number = F.when(k < 4, F.col("gstin")).when(k == 6, F.concat(F.substring("gstin", 1, 14), F.lit("?")))
+        return b.select(F.col("voucher_id").alias("document_id"), "client_id", name.alias("name"), number.alias("gstin"))
+
     @cached_property
     def audit_rows(self) -> DataFrame:
         """Audit rows without hashes. A segment is a firm's bounded run of ids."""
