@@ -124,12 +124,6 @@ TDS_SECTIONS = [
     (15, "Purchase of Goods", "company", "0.1", "0", "5000000", False),
     (16, "Purchase of Goods", "no_pan", "5", "0", "5000000", False),
 ]
-# Rows that follow one of the above inside a fiscal year: the row they replace, the first day, then as above.
-TDS_REVISIONS = [
-    (2, "2023-10-01", 17, "Contractor Payments", "company", "3", "25000", "90000", True),
-    (10, "2024-01-01", 18, "Commission or Brokerage", "company", "2", "0", "20000", True),
-    (15, "2022-11-15", 19, "Purchase of Goods", "company", "0.25", "0", "300000", False),
-]
 # Accounts whose input credit is not simply eligible, and blocked categories with
 # the trades that unblock them.
 ITC_RULES = [
@@ -194,15 +188,15 @@ def thresholds(spark: SparkSession) -> DataFrame:
         spark, THRESHOLDS, "key string, effective_from date, effective_to date, value decimal(18,2)")
 
 
-def tds_rows() -> list[tuple]:
-    """All withholding rows with their first and last day."""
-    ends = {old: (date.fromisoformat(start) - timedelta(days=1)).isoformat() for old, start, *_ in TDS_REVISIONS}
-    return [(*r, TDS_FROM, ends.get(r[0])) for r in TDS_SECTIONS] + [(*r, start, None) for _, start, *r in TDS_REVISIONS]
+def tds_rows(revisions: list[tuple] = ()) -> list[tuple]:
+    """Withholding rows with their first and last day; a revision has the row it replaces, its first day, then a row."""
+    ends = {old: (date.fromisoformat(start) - timedelta(days=1)).isoformat() for old, start, *_ in revisions}
+    return [(*r, TDS_FROM, ends.get(r[0])) for r in TDS_SECTIONS] + [(*r, start, None) for _, start, *r in revisions]
 
 
-def tds_sections(spark: SparkSession) -> DataFrame:
+def tds_sections(spark: SparkSession, revisions: list[tuple] = ()) -> DataFrame:
     return literal_table(
-        spark, tds_rows(),
+        spark, tds_rows(revisions),
         "section_id int, tds_category string, entity_type string, tds_rate decimal(6,3), "
         "single_threshold decimal(18,2), cumulative_threshold decimal(18,2), full_on_crossing boolean, "
         "effective_from date, effective_to date")

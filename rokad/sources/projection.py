@@ -34,6 +34,12 @@ UNBLOCKED = {
     if rule == "conditional" and account in EXPENSE_ACCOUNTS}
 TDS_CATEGORIES = ["Contractor Payments", "Professional Fees", "Commission or Brokerage", "Purchase of Goods", None]
 ENTITIES = ["individual", "company", "no_pan"]
+# withholding rows of these books that change inside a fiscal year: replaced row, first day, row
+TDS_REVISIONS = [
+    (2, "2023-10-01", 17, "Contractor Payments", "company", "3", "25000", "90000", True),
+    (10, "2024-01-01", 18, "Commission or Brokerage", "company", "2", "0", "20000", True),
+    (15, "2022-11-15", 19, "Purchase of Goods", "company", "0.25", "0", "300000", False),
+]
 
 
 def pick(values: list, index: Column, type_: str) -> Column:
@@ -351,7 +357,7 @@ class Books:
     @cached_property
     def tds(self) -> DataFrame:
         # the threshold steps read the payments several times, so they are staged once
-        return tds.compute(stage(self.payments), m.tds_sections(self.spark))
+        return tds.compute(stage(self.payments), m.tds_sections(self.spark, TDS_REVISIONS))
 
     # ---- ledger -----------------------------------------------------------------------------------
     @cached_property

@@ -3,6 +3,7 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from rokad import masters as m
@@ -62,6 +63,34 @@ def test_tds_matches_sequential_rule(spark):
     assert got == want
 
 
+def test_withholding_with_rows_that_change_inside_a_year(spark):
+    """One hot party over several years, its rate going up, then down: the scan equals the rule payment after payment."""
+    rnd = random.Random(12)
+    rows = [(1, "P", True, date(2022, 4, 1), date(2022, 9, 30), 200, 3000000, 12000000), (2, "P", True, date(2022, 10, 1), date(2022, 12, 31), 500, 2500000, 9000000),
+            (3, "P", True, date(2023, 1, 1), date(2023, 8, 31), 100, 3000000, 9000000), (4, "P", False, date(2023, 9, 1), None, 25, 0, 4000000)]
+    sections = spark.createDataFrame([(i, k, "company", D(bp) / 100, D(one) / 100, D(thr) / 100, full, start, end) for i, k, full, start, end, bp, one, thr in rows],
+                                     "section_id int, tds_category string, entity_type string, tds_rate decimal(6,3), single_threshold decimal(18,2), "
+                                     "cumulative_threshold decimal(18,2), full_on_crossing boolean, effective_from date, effective_to date")
+    pays, want, state = [], {}, {}
+    for i in range(400):
+        on = date(2022, 4, 1) + timedelta(days=i * 2)
+        paise, fy = rnd.choice([rnd.randint(1000, 900000), 3500000]), on.year - (on.month < 4)
+        pays.append((1, "S1", f"V{i}", fy, on, i, 0, "P", "company", D(paise) / 100))
+        paid, held = state.get(fy, (0, 0))
+        _, _, full, _, _, bp, one, thr = next(r for r in rows if r[3] <= on and (r[4] is None or on <= r[4]))
+        after = paid + paise
+        if after >= thr:
+            tax = max(0, ((after if full else after - thr) * bp + 5000) // 10000 - held)
+        else:
+            tax = (paise * bp + 5000) // 10000 if one and paise >= one else 0
+        state[fy] = (after, held + tax)
+        want[f"V{i}"] = D(tax) / 100
+    df = spark.createDataFrame(pays, "client_id int, party_id string, voucher_id string, fy int, payment_date date, ok long, sk long, "
+                                     "tds_category string, entity_type string, amount decimal(18,2)")
+    got = {r["voucher_id"]: r["tds"] for r in tds.compute(df, sections).collect()}
+    assert got == want and len({t for t in want.values()}) > 50
+
+
 LEG = "client_id int, account_code int, posting_date date, debit decimal(18,2), credit decimal(18,2), is_opening boolean, finance_book_id string"
 
 
@@ -86,13 +115,16 @@ def test_cash_episode_is_reported_once(spark):
     assert [(r["date"].day, r["balance"]) for r in got] == [(12, D("-10000.00")), (25, D("-20100.00"))]
 
 
-def test_matcher_equals_brute_force(spark):
+@pytest.mark.parametrize(("small", "hot"), [(64, False), (2, False), (0, False), (5, True)])
+def test_matcher_equals_brute_force(spark, monkeypatch, small, hot):
+    """Small classes meet their lines whole; large ones by the first four from three dates on. hot: one party has all documents."""
+    monkeypatch.setattr(mt, "SMALL", small)
     rnd = random.Random(3)
     start = date(2026, 1, 1)
     docs = [(1, "in", f"V{i:03}", rnd.choice([1180000, rnd.randint(5000, 3000000)]), start + timedelta(days=rnd.randint(0, 200)),
-             rnd.choice([None, f"R{i % 9}"]), f"P{i % 6}") for i in range(150)]
+             rnd.choice([None, f"R{i % 9}"]), "P1" if hot else f"P{i % 6}") for i in range(150)]
     lines = [(1, "in", f"L{i:03}", rnd.choice([1180000, rnd.randint(1, 3000000)]), start + timedelta(days=rnd.randint(0, 200)),
-              rnd.choice([None, f"R{i % 11}"]), rnd.choice([None, f"P{i % 8}"])) for i in range(60)]
+              rnd.choice([None, f"R{i % 11}"]), rnd.choice([None, "P1" if hot else f"P{i % 8}"])) for i in range(60)]
     d = spark.createDataFrame(docs, "client_id int, dir string, voucher_id string, due long, document_date date, d_ref string, d_party string")
     ln = spark.createDataFrame(lines, "client_id int, dir string, line_id string, amt long, txn_date date, l_ref string, l_party string")
     got = {(r["line_id"], r["rank"]): (r["voucher_id"], r["score"]) for r in mt.rank(mt.candidates(ln, d)).collect()}
