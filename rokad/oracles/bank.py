@@ -159,6 +159,17 @@ FROM proposals p JOIN doc_bank_lines l USING (line_id) JOIN open_invoices o ON o
 cte("alloc_r", "SELECT client_id, party_id, voucher_id rid, cash_p p, CAST(sum(cash_p) OVER (PARTITION BY client_id, party_id ORDER BY receipt_date, ok, sk) AS BIGINT) hi FROM receipts WHERE cash_p > 0")
 cte("alloc_d", "SELECT client_id, party_id, voucher_id did, grand_p p, CAST(sum(grand_p) OVER (PARTITION BY client_id, party_id ORDER BY posting_date, ok, sk) AS BIGINT) hi FROM sales WHERE NOT is_return AND NOT is_reversed AND grand_p > 0")
 cte("bounced_legs", "SELECT * FROM legs_receipt UNION ALL SELECT * FROM legs_payment")
+cte("account_credits", """
+SELECT client_id, account_id, 'B' || client_id || '-' || n line_id, d + 1 + CAST((client_id + n) % 2 AS INTEGER) txn_date, s - CASE WHEN (client_id + n) % 7 = 0 THEN 100 ELSE 0 END credit_p FROM (
+ SELECT client_id, account_id, (txn_date - DATE '2000-01-01') // (1 + client_id % 3) n, CAST(sum(credit_p) AS BIGINT) s, max(txn_date) d FROM collection_lines WHERE src = 'collection' GROUP BY 1, 2, 3)
+WHERE (client_id + n) % 11 <> 0 UNION ALL SELECT client_id, account_id, line_id, txn_date, credit_p FROM collection_lines WHERE src = 'statement'""")
+# every range of days is summed by itself
+cte("day_ranges", """
+SELECT a.client_id, a.account_id, a.txn_date from_day, b.txn_date to_day, CAST(sum(c.tot) AS BIGINT) tot FROM batches a JOIN batches b ON a.client_id = b.client_id AND a.account_id = b.account_id
+ AND b.txn_date >= a.txn_date AND b.txn_date - a.txn_date < 7 JOIN batches c ON c.client_id = a.client_id AND c.account_id = a.account_id AND c.txn_date BETWEEN a.txn_date AND b.txn_date GROUP BY 1, 2, 3, 4""")
+cte("settled_ranges", """
+SELECT client_id, account_id, line_id, txn_date settled_on, arg_max(from_day, to_day) from_day, max(to_day) to_day FROM account_credits c JOIN day_ranges r USING (client_id, account_id)
+WHERE r.tot = c.credit_p AND c.txn_date - r.to_day BETWEEN 0 AND 3 GROUP BY 1, 2, 3, 4""")
 cte("batches", "SELECT client_id, account_id, txn_date, CAST(sum(credit_p) AS BIGINT) tot, count(*) collections FROM collection_lines WHERE src = 'collection' GROUP BY ALL")
 
 cte("hashed_events", f"""SELECT *, {hash_sql("''")} content_hash FROM event_lines""")
@@ -238,7 +249,7 @@ SELECT *, CASE WHEN abs((taxable_p * 10 + 5000) // 10000 - sf) <= 100 THEN 1 WHE
  CASE WHEN a = 1030 THEN inv END settles_voucher_id FROM settle_src, (VALUES (1020), (1030)) v(a)"""),
     "allocate_receipts": build(f"""SELECT r.client_id, r.party_id, rid receipt_id, did voucher_id, {money('least(r.hi, d.hi) - greatest(r.hi - r.p, d.hi - d.p)')} amount
  FROM alloc_r r JOIN alloc_d d ON r.client_id = d.client_id AND r.party_id = d.party_id AND least(r.hi, d.hi) > greatest(r.hi - r.p, d.hi - d.p)"""),
-    "settlement_batches": build(f"""SELECT b.client_id, b.account_id, b.txn_date, {money('b.tot')} batch_total, b.collections, s.txn_date + 1 settled_on, s.txn_date IS NOT NULL double_counted
- FROM batches b LEFT JOIN batches s ON s.client_id = b.client_id AND s.account_id = b.account_id AND s.tot = b.tot AND day(s.txn_date) % 2 = 0
- AND s.txn_date + 1 BETWEEN b.txn_date AND b.txn_date + 3"""),
+    "settlement_batches": build(f"""SELECT b.client_id, b.account_id, b.txn_date, {money('b.tot')} batch_total, b.collections, c.best[1] settled_on, c.best[2] line_id, c.best IS NOT NULL double_counted
+ FROM batches b LEFT JOIN (SELECT b.client_id, b.account_id, b.txn_date, min((r.settled_on, r.line_id)) best FROM batches b JOIN settled_ranges r
+  ON r.client_id = b.client_id AND r.account_id = b.account_id AND b.txn_date BETWEEN r.from_day AND r.to_day GROUP BY 1, 2, 3) c USING (client_id, account_id, txn_date)"""),
 }

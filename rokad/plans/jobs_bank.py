@@ -249,4 +249,4 @@ def allocate_receipts(b):
 
 @job("settlement_batches")
 def settlement_batches(b):
-    return mt.settlement_batches(b.collection_lines)
+    return mt.settlement_batches(b.collection_lines.filter("source = 'collection'"), b.account_credits)
