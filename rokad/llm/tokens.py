@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent
+from .common import Recent, forget
 
 WORD_BPE = "word_bpe_49k.json"
 WORD_END = "</w>"
@@ -144,6 +144,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(name: str = WORD_BPE) -> Encoder:
     """The encoder of this process for a tokenizer file."""
     if name not in _ENCODERS:
+        forget()  # a worker that turns to tokens has no use for what other operators remembered
         _ENCODERS[name] = Encoder(tokenizer_path(name))
     return _ENCODERS[name]
 
