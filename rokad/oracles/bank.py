@@ -93,7 +93,7 @@ def status(src: str, live: str) -> str:
   WHERE {live} GROUP BY 1) USING (line_id)"""
 
 
-cte("line_status_now", status("event_lines", "unmatched_on IS NULL"))
+cte("line_status_now", status("bank_lines", "unmatched_on IS NULL"))
 B = "DATE '2025-03-31'"
 cte("line_status_then", status("bank_lines", f"created_on <= {B} AND (unmatched_on IS NULL OR unmatched_on > {B})"))
 cte("open_invoices", """
@@ -128,13 +128,16 @@ SELECT *, coalesce(score - second_score < 15 AND second_score >= 30, false) ambi
 SELECT line_id, max(CASE WHEN rnk = 1 THEN voucher_id END) voucher_id, max(CASE WHEN rnk = 1 THEN score END) score,
   max(CASE WHEN rnk = 1 THEN signals END) signals, bool_or(rnk = 1 AND by_ref) by_ref, max(CASE WHEN rnk = 2 THEN score END) second_score,
   count(*) - 1 runners_up FROM ranked WHERE rnk <= 4 GROUP BY 1))""")
-RULES = """(SELECT client_id, client_id * 100 + p rule_id, p FROM clients, (VALUES (10), (20), (30), (40)) v(p) WHERE client_id % 3 <> 2)"""
+RULES = """(SELECT client_id, client_id * 100 + p rule_id, p FROM clients, (VALUES (10), (20), (25), (30), (40), (50), (60)) v(p) WHERE client_id % 3 <> 2)"""
 cte("rule_hits", f"""
-SELECT client_id, line_id, arg_min(rule_id, p) rule_id, min(p) p FROM (SELECT e.*, r.rule_id, r.p FROM parsed_events e JOIN {RULES} r USING (client_id)
+SELECT client_id, line_id, arg_min(rule_id, p) rule_id, min(p) p FROM (SELECT e.*, r.rule_id, r.p FROM parsed_all e JOIN {RULES} r USING (client_id)
  WHERE (p = 10 AND starts_with(upper(narration), 'SMS CHARGES') AND payment_mode = 'charge' AND debit_p > 0)
   OR (p = 20 AND contains(upper(narration), 'INT.PD') AND payment_mode = 'interest' AND debit_p = 0)
+  OR (p = 25 AND regexp_matches(upper(narration), 'ATM WDL [0-9]{{3}}[02468] +MAIN') AND debit_p + credit_p >= 2000)
   OR (p = 30 AND starts_with(upper(narration), 'ATM') AND debit_p + credit_p <= 20000)
-  OR (p = 40 AND contains(upper(narration), 'EXAMPLE COMPANY') AND debit_p + credit_p >= 5000)) GROUP BY ALL""")
+  OR (p = 40 AND contains(upper(narration), 'EXAMPLE COMPANY') AND debit_p + credit_p >= 5000)
+  OR (p = 50 AND regexp_matches(upper(narration), '^NEFT-REFN0+[0-9]*7-(CUSTOMER|SUPPLIER)#') AND debit_p = 0)
+  OR (p = 60 AND payment_mode = 'cheque' AND debit_p > 0 AND debit_p + credit_p >= 10000)) GROUP BY ALL""")
 
 
 def canon(p: str) -> str:
@@ -172,16 +175,16 @@ SELECT client_id, account_id, line_id, txn_date settled_on, arg_max(from_day, to
 WHERE r.tot = c.credit_p AND c.txn_date - r.to_day BETWEEN 0 AND 3 GROUP BY 1, 2, 3, 4""")
 cte("batches", "SELECT client_id, account_id, txn_date, CAST(sum(credit_p) AS BIGINT) tot, count(*) collections FROM collection_lines WHERE src = 'collection' GROUP BY ALL")
 
-cte("hashed_events", f"""SELECT *, {hash_sql("''")} content_hash FROM event_lines""")
+cte("hashed_events", f"""SELECT *, {hash_sql("''")} content_hash FROM bank_lines""")
 SQL = {
     "parse_narration": build('SELECT line_id, "rule", payment_mode, reference, counterparty FROM parsed_all'),
     "narration_residue": build('SELECT line_id, narration, reference FROM parsed_all WHERE "rule" IS NULL'),
     "line_hint": build("""SELECT line_id, hint FROM (SELECT line_id, CASE WHEN payment_mode = 'charge' THEN 'bank_charge'
  WHEN payment_mode = 'interest' THEN CASE WHEN credit_p > 0 THEN 'interest' ELSE 'bank_charge' END WHEN payment_mode = 'cheque' THEN 'cheque' END hint
- FROM parsed_events) WHERE hint IS NOT NULL"""),
+ FROM parsed_all) WHERE hint IS NOT NULL"""),
     "line_hash": build(f"SELECT line_id, {hash_sql('coalesce(' + canon('stated_p') + ', chr(0))')} content_hash FROM stated_lines").replace("chr(0)", "''"),
     "account_hash": build("SELECT account_id, sha256('AC' || lpad(CAST(account_id AS VARCHAR), 12, '0')) account_hash, right(lpad(CAST(account_id AS VARCHAR), 12, '0'), 4) last4 FROM (SELECT DISTINCT account_id FROM bank_lines)"),
-    "append_new_lines": build("""SELECT account_id, content_hash, arg_min(line_id, line_key) line_id, count(*) copies FROM hashed_events GROUP BY 1, 2
+    "append_new_lines": build("""SELECT account_id, content_hash, min((txn_date, line_key, line_id))[3] line_id, count(*) copies FROM hashed_events GROUP BY 1, 2
 HAVING min(txn_date) > DATE '2024-01-10'"""),
     "bank_line_status": build(f"SELECT line_id, {money('debit_p + credit_p')} amount, {money('matched_p')} matched_amount, {money('open_p')} unmatched_amount, status FROM line_status_now"),
     "match_summary": build("""SELECT account_id, count(*) FILTER (status = 'unmatched') unmatched, count(*) FILTER (status = 'matched') matched,
@@ -227,7 +230,7 @@ WHERE bal < 0 AND prev >= 0"""),
     "post_bank_charges": build(line_legs("charge_src", "CH-", [(5180, "debit_p - gst"), (1041, "CASE WHEN intra THEN gst // 2 ELSE 0 END"),
                                                                (1042, "CASE WHEN intra THEN gst - gst // 2 ELSE 0 END"), (1043, "CASE WHEN intra THEN 0 ELSE gst END"), (1020, "-debit_p")])),
     "post_interest": build(line_legs("interest_src", "IN-", [(1020, "credit_p"), (1050, "gross - credit_p"), (4110, "-gross")])),
-    "apply_bank_rules": build("SELECT client_id, line_id, rule_id, CASE WHEN p = 40 THEN 'match_party' ELSE 'classify_as' END action, CAST(CASE p WHEN 10 THEN 5180 WHEN 20 THEN 4110 WHEN 30 THEN 1010 END AS INTEGER) target_account FROM rule_hits"),
+    "apply_bank_rules": build("SELECT client_id, line_id, rule_id, CASE WHEN p IN (40, 50) THEN 'match_party' ELSE 'classify_as' END action, CAST(CASE p WHEN 10 THEN 5180 WHEN 20 THEN 4110 WHEN 25 THEN 1010 WHEN 30 THEN 1010 WHEN 60 THEN 2010 END AS INTEGER) target_account FROM rule_hits"),
     "rule_confirmations": build("SELECT client_id, rule_id, count(*) confirmed_count FROM rule_hits GROUP BY 1, 2 HAVING count(*) >= 3"),
     "open_invoices": build(f"SELECT client_id, voucher_id, party_id, document_date, {money('taxable_p')} taxable, {money('grand_p')} grand_total, {money('due')} outstanding, reference FROM open_invoices"),
     "open_bills": build(f"SELECT client_id, voucher_id, document_number, party_id, document_date, {money('grand_p')} grand_total, {money('due')} outstanding FROM open_bills"),

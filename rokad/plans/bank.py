@@ -177,36 +177,6 @@ def cheque_events(cheques: DataFrame) -> DataFrame:
         ((F.col("status") == "bounced") & (F.col("direction") == "received")).alias("section_138"))
 
 
-def apply_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """First learned rule of the client that fits each line, by priority then id.
-
-    `rules` is a small client-scoped table: client_id, rule_id, priority, starts_with, contains, payment_mode,
-    direction, amount_min, amount_max, action, target_account. Rules of a client are gathered to one
-    ranked array (bounded by what people have confirmed) and joined on the client.
-    """
-    cols = [c for c in rules.columns if c != "client_id"]
-    ranked = rules.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("priority").alias("_p"), F.col("rule_id").alias("_i"), F.struct(*cols).alias("r")))).alias("_rules"))
-    amount = F.col("debit") + F.col("credit")
-    direction = F.when(F.col("debit") > 0, "debit").otherwise("credit")
-    n = F.upper("narration")
-
-    def fits(x: Column) -> Column:
-        r = x["r"]
-        return (
-            (r["starts_with"].isNull() | n.startswith(F.upper(r["starts_with"])))
-            & (r["contains"].isNull() | n.contains(F.upper(r["contains"])))
-            & (r["payment_mode"].isNull() | (r["payment_mode"] == F.col("payment_mode")))
-            & (r["direction"].isNull() | (r["direction"] == direction))
-            & (r["amount_min"].isNull() | (amount >= r["amount_min"]))
-            & (r["amount_max"].isNull() | (amount <= r["amount_max"])))
-
-    hit = F.get(F.filter("_rules", fits), F.lit(0))["r"]
-    return lines.join(ranked, "client_id").withColumn("_hit", hit).filter(F.col("_hit").isNotNull()).select(
-        "client_id", "line_id", F.col("_hit.rule_id").alias("rule_id"), F.col("_hit.action").alias("action"),
-        F.col("_hit.target_account").alias("target_account"))
-
-
 def new_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     """Lines whose content hash is new for the account, one per hash, ready to append."""
     first = lines.groupBy("account_id", "content_hash").agg(

@@ -8,6 +8,7 @@ from ..functions import text
 from ..functions.money import to_paise
 from ..operators import matching as mt
 from ..operators import posting
+from ..operators.rules import apply_rules
 from ..operators.staging import stage
 from . import bank as k
 from .registry import job
@@ -27,9 +28,10 @@ def narration_residue(b):
 
 @job("line_hint")
 def line_hint(b):
-    p = b.parsed(b.event_lines)
-    return p.select("line_id", text.line_hint(F.col("payment_mode"), F.col("credit") > 0).alias("hint")).filter(
-        "hint IS NOT NULL")
+    p = b.parsed(b.bank_lines)
+    # a filter on the hint would evaluate the narration rules twice
+    hint = text.line_hint(F.col("payment_mode"), F.col("credit") > 0)
+    return p.select("line_id", F.explode(F.array_compact(F.array(hint))).alias("hint"))
 
 
 @job("line_hash")
@@ -50,7 +52,7 @@ def account_hash(b):
 def append_new_lines(b):
     """A second upload overlapping the first: lines up to the tenth day are already known."""
     c = F.col
-    lines = b.event_lines.withColumn("content_hash", text.line_hash(
+    lines = b.bank_lines.withColumn("content_hash", text.line_hash(
         c("account_id"), c("txn_date"), c("debit"), c("credit"), c("narration"), F.lit(None)))
     known = lines.filter(c("txn_date") <= F.lit("2024-01-10").cast("date"))
     return k.new_lines(lines, known)
@@ -58,14 +60,14 @@ def append_new_lines(b):
 
 @job("bank_line_status")
 def bank_line_status(b):
-    return k.line_status(b.event_lines, b.matches).select(
+    return k.line_status(b.bank_lines, b.matches).select(
         "line_id", "amount", "matched_amount", "unmatched_amount", "status")
 
 
 @job("match_summary")
 def match_summary(b):
     s = F.col("status")
-    return k.line_status(b.event_lines, b.matches).groupBy("account_id").agg(
+    return k.line_status(b.bank_lines, b.matches).groupBy("account_id").agg(
         F.count_if(s == "unmatched").alias("unmatched"), F.count_if(s == "matched").alias("matched"),
         F.count_if(s == "partially_matched").alias("partially_matched"), F.count_if(s == "ignored").alias("ignored"))
 
@@ -149,27 +151,29 @@ def post_interest(b):
 def bank_rules(b):
     """Rules people confirmed, per client."""
     rows = [
-        (10, "SMS CHARGES", None, "charge", "debit", None, None, "classify_as", 5180),
-        (20, None, "INT.PD", "interest", "credit", None, None, "classify_as", 4110),
-        (30, "ATM", None, None, None, None, "200", "classify_as", 1010),
-        (40, None, "EXAMPLE COMPANY", None, None, "50", None, "match_party", None),
+        (10, "SMS CHARGES", None, None, "charge", "debit", None, None, "classify_as", 5180),
+        (20, None, "INT.PD", None, "interest", "credit", None, None, "classify_as", 4110),
+        (25, None, None, "ATM WDL [0-9]{3}[02468] +MAIN", None, None, "20", None, "classify_as", 1010),
+        (30, "ATM", None, None, None, None, None, "200", "classify_as", 1010),
+        (40, None, "EXAMPLE COMPANY", None, None, None, "50", None, "match_party", None),
+        (50, None, None, "^NEFT-REFN0+[0-9]*7-(CUSTOMER|SUPPLIER)#", None, "credit", None, None, "match_party", None),
+        (60, None, None, None, "cheque", "debit", "100", None, "classify_as", 2010),
     ]
-    t = m.literal_table(b.spark, rows, "priority int, starts_with string, contains string, payment_mode string, "
+    t = m.literal_table(b.spark, rows, "priority int, starts_with string, contains string, regex string, payment_mode string, "
                         "direction string, amount_min decimal(18,2), amount_max decimal(18,2), action string, target_account int")
-    return b.clients.filter("client_id % 3 <> 2").select("client_id", F.explode(F.array(*[F.lit(p) for p in (10, 20, 30, 40)])
-                                                         ).alias("priority")).join(F.broadcast(t), "priority").withColumn(
-        "rule_id", F.col("client_id") * 100 + F.col("priority"))
+    return b.clients.filter("client_id % 3 <> 2").select("client_id", F.explode(F.array(*[F.lit(r[0]) for r in rows])).alias("priority")).join(
+        F.broadcast(t), "priority").withColumn("rule_id", F.col("client_id") * 100 + F.col("priority"))
 
 
 @job("apply_bank_rules")
 def apply_bank_rules(b):
-    return k.apply_rules(b.parsed(b.event_lines), bank_rules(b))
+    return apply_rules(b.parsed(b.bank_lines), bank_rules(b))
 
 
 @job("rule_confirmations")
 def rule_confirmations(b):
     """Rules that fired often enough to be applied without asking."""
-    return k.apply_rules(b.parsed(b.event_lines), bank_rules(b)).groupBy("client_id", "rule_id").agg(
+    return apply_rules(b.parsed(b.bank_lines), bank_rules(b)).groupBy("client_id", "rule_id").agg(
         F.count(F.lit(1)).alias("confirmed_count")).filter("confirmed_count >= 3")
 
 
