@@ -2,21 +2,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write the rows once to the reliable checkpoint folder and read them from there.
-
-    The folder is the one the session names in spark.checkpoint.dir. Where none is named, a session on one machine
-    (tests, bench) makes a temporary one, and a cluster fails: its executors could not share such a folder.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; see stage."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-rokad-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_shared(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write the rows once to the reliable checkpoint folder and read them from there.
+
+    The folder is the one the session names in spark.checkpoint.dir. Where none is named, a session on one machine
+    (tests, bench) makes a temporary one, and a cluster fails: its executors could not share such a folder.
+    """
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,8 +2,8 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import bank, books, ingest, reports, tax
+    from . import bank, books, imports, ingest, reports, tax
     out: dict[str, str] = {}
-    for module in (reports, bank, tax, books, ingest):
+    for module in (reports, bank, tax, books, ingest, imports):
         out.update(module.SQL)
     return out

@@ -44,5 +44,5 @@ SELECT client_id, account_code, posting_date, voucher_id, voucher_type, party_id
   {money('coalesce(opening, 0)')} opening_balance
 FROM ledger LEFT JOIN (SELECT client_id, account_code, sum(amt) opening FROM ledger WHERE posting_date < DATE '{FROM}' GROUP BY ALL) o
   USING (client_id, account_code)
-WHERE posting_date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND account_code IN (1010, 1020)"""),
+WHERE posting_date BETWEEN DATE '{FROM}' AND DATE '{TO}'"""),
 }

@@ -78,6 +78,15 @@ JOIN name_sums s ON s.client_id = n.client_id AND s.name = n.name JOIN (SELECT p
 GROUP BY 1, 2, 3) WHERE shared * 100 >= 60 * (total + v_total - shared)) GROUP BY 1, 2""")
 cte("v_habit", """
 SELECT client_id, name, min((-n, party_id)) best FROM (SELECT client_id, name, party_id, count(*) n FROM v_number WHERE party_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+HEAD_ROWS = "(VALUES ('cgst'), ('sgst'), ('igst')) h(head)"
+cte("credit_moves", f"""
+SELECT client_id, head, bill_date d, CASE head WHEN 'igst' THEN claim_igst_p ELSE claim_cgst_p END * {SG} o, 0 t FROM bills, {HEAD_ROWS}
+UNION ALL SELECT client_id, head, CASE WHEN client_id % 4 <> 0 AND ok % 20 = 3 THEN bill_date + 2 ELSE bill_date END, 0,
+  CASE head WHEN 'igst' THEN claim_igst_p ELSE claim_cgst_p END * {SG} * CASE WHEN client_id % 4 <> 0 AND ok % 50 = 7 THEN 2 ELSE 1 END
+FROM bills, {HEAD_ROWS} WHERE client_id % 4 = 0 OR ok % 20 <> 0""")
+cte("credit_gaps", """
+SELECT *, CAST(sum(o - t) OVER (PARTITION BY client_id, head ORDER BY d) AS BIGINT) gap FROM (
+SELECT client_id, head, d, CAST(sum(o) AS BIGINT) o, CAST(sum(t) AS BIGINT) t FROM credit_moves WHERE o <> 0 OR t <> 0 GROUP BY 1, 2, 3)""")
 OWN = f"(CASE WHEN is_rcm THEN 0 ELSE {SG} END)"
 cte("out_tax", f"""
 SELECT client_id, {P.format('posting_date')} period, sum(taxable_p * {SG}) o_t, sum(cgst_p * {OWN}) o_c, sum(igst_p * {OWN}) o_i, sum(cess_due_p * {OWN}) o_x,
@@ -150,6 +159,9 @@ LEFT JOIN (SELECT DISTINCT client_id, CAST(date_trunc('month', posting_date) AS
  WHEN expense_account = 5140 THEN 'always_blocked:' || category WHEN e = 'eligible' THEN 'trade_exempt:' || category || ':' || buyer_trade
  WHEN e = 'blocked' THEN 'trade_blocked:' || category || ':' || buyer_trade ELSE 'trade_unknown:' || category END reason
 FROM (SELECT client_id, buyer_trade, expense_account, {cond} e, {CATEGORY} category, count(*) lines FROM (SELECT buyer client_id, buyer_trade, expense_account FROM line_docs) GROUP BY ALL)"""),
+    "ledger_divergence": build(f"""SELECT client_id, head, {money('sum(o)')} own_balance, {money('sum(t)')} other_balance, min(d) FILTER (gap <> 0) first_apart,
+ {money('arg_min(gap, d) FILTER (gap <> 0)')} first_gap, {money('sum(o) - sum(t)')} closing_gap,
+ CASE WHEN count(*) FILTER (gap <> 0) = 0 THEN 'equal' WHEN sum(o) = sum(t) THEN 'met_again' ELSE 'apart' END status FROM credit_gaps GROUP BY 1, 2"""),
     "resolve_vendor": build("""SELECT d.document_id, d.client_id, coalesce(d.party_id, n.best[2], h.best[2]) party_id,
  CASE WHEN d.party_id IS NOT NULL THEN 'number' WHEN n.best IS NOT NULL THEN 'name' WHEN h.best IS NOT NULL THEN 'history' ELSE 'unmatched' END found_by,
  CASE WHEN d.party_id IS NULL THEN -n.best[1] END score

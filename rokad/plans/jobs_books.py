@@ -36,7 +36,7 @@ def balance_sheet(b):
 
 @job("account_ledger")
 def account_ledger(b):
-    return r.account_ledger(b.ledger_of({1010, 1020}, end=TO), FROM, TO, accounts=[1010, 1020])
+    return r.account_ledger(b.ledger_of(None, end=TO), FROM, TO)
 
 
 @job("scope")

@@ -117,6 +117,12 @@ def recon_2b(b):
     return b.reconciled
 
 
+@job("ledger_divergence")
+def ledger_divergence(b):
+    """Tax credit in the books against the government's ledger, per client and head."""
+    return r.ledger_divergence(b.own_credit, b.government_credit)
+
+
 @job("resolve_vendor")
 def resolve_vendor(b):
     """Vendor of every bill from the number and the name read off it."""

@@ -22,5 +22,5 @@ def job(name: str):
 
 
 def load() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import jobs_audit, jobs_bank, jobs_books, jobs_ingest, jobs_tax  # noqa: F401
+    from . import jobs_audit, jobs_bank, jobs_books, jobs_imports, jobs_ingest, jobs_tax  # noqa: F401
     return JOBS

@@ -9,6 +9,8 @@ from .. import masters as m
 from ..functions import dates
 from ..functions.money import MONEY, nonnull, rupees, to_paise, zero
 from ..operators.effective import threshold_on
+from ..operators.prefix import running_sum
+from ..operators.staging import stage
 
 
 def period(date: str) -> Column:
@@ -133,3 +135,23 @@ def set_off(summary: DataFrame) -> DataFrame:
         schema = type(schema)([*schema.fields]).add(name, "long")
     paid = df.groupBy("client_id").applyInPandas(months, schema)
     return paid.select("client_id", "period", *[rupees(c(n)).alias(n) for n in names])
+
+
+def ledger_divergence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Where two books of the same client and head part: the first date with a gap between their balances, that gap, and what is left of it.
+
+    Both sides have client_id, head, entry_date, amount_p (signed paise). The gap on a date is the running sum of the days' differences. Days on which both
+    moved alike are no rows of it, so books that agree leave nothing to carry.
+    """
+    keys = ["client_id", "head"]
+    both = ours.select(*keys, "entry_date", F.col("amount_p").alias("o"), F.lit(0).cast("long").alias("t")).unionByName(
+        theirs.select(*keys, "entry_date", F.lit(0).cast("long").alias("o"), F.col("amount_p").alias("t")))
+    days = stage(both.groupBy(*keys, "entry_date").agg(F.sum("o").alias("o"), F.sum("t").alias("t")))
+    balances = days.groupBy(*keys).agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    moved = days.filter("o <> t").withColumn("_month", F.trunc("entry_date", "month")).withColumn("_d", F.col("o") - F.col("t"))
+    gap = running_sum(moved, keys, ["_month"], ["entry_date"], {"gap": F.col("_d")}, "long")
+    apart = gap.filter("gap <> 0").groupBy(*keys).agg(F.min(F.struct("entry_date", "gap")).alias("first"), F.max("entry_date").alias("last_apart"))
+    status = F.when(F.col("first").isNull(), "equal").when(F.col("o") == F.col("t"), "met_again").otherwise("apart")
+    return balances.join(apart, keys, "left").select(
+        *keys, rupees(F.col("o")).alias("own_balance"), rupees(F.col("t")).alias("other_balance"), F.col("first.entry_date").alias("first_apart"),
+        rupees(F.col("first.gap")).alias("first_gap"), rupees(F.col("o") - F.col("t")).alias("closing_gap"), status.alias("status"))
