@@ -166,3 +166,27 @@ n AS (
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
+
+# crc32 bit by bit; runs as stretches of equal words q apart, for every q at once
+ORACLE_SQL["op12_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+o AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+w AS (
+  SELECT k, n, unnest(list_transform(range(n), lambda i: CASE WHEN i >= a THEN ws[(a + (i - a) % p + 1)::BIGINT] ELSE ws[i + 1] END)) AS word, unnest(range(n)) AS i FROM o),
+m AS (SELECT x.k, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM m) GROUP BY k, q, island),
+r AS (SELECT k, start, length, min(q) AS q FROM s WHERE length >= greatest(6, 4 * q) GROUP BY k, start, length),
+t AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+    first({'start': start, 'length': length, 'q': q} ORDER BY length / q DESC, start, q) AS best FROM r GROUP BY k),
+x AS (SELECT DISTINCT k, unnest(range(start + q, start + length)) AS i FROM r),
+c AS (SELECT w.k, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN x ON x.k = w.k AND x.i = w.i WHERE x.i IS NULL GROUP BY w.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.q AS period, 1000 * best.length // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN c USING (k)
+"""
