@@ -70,6 +70,37 @@ def within(date: Column, span: tuple[str | None, str | None]) -> Column:
     return out
 
 
+def net_vouchers(docs: DataFrame, vouchers: list[Voucher], mirrors: list[Mirror] | None = None,
+                 span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """client_id, account_code, signed_paise: sums of the legs that explode_vouchers would make, without making them.
+
+    A document becomes one row per voucher, with its amounts side by side, instead of one per leg. They are added up by client (and by the accounts that
+    depend on the document) map-side; only the sums, some rows per client, are then laid out as accounts.
+    """
+    every = list(vouchers) + [
+        replace(vouchers[x.of], date=x.date, when=x.when if vouchers[x.of].when is None else x.when & vouchers[x.of].when,
+                sign=F.lit(-1) if vouchers[x.of].sign is None else -vouchers[x.of].sign) for x in mirrors or []]
+    width, none = max(len(v.legs) for v in every), F.lit(None).cast("int")
+    rows = []
+    for n, v in enumerate(every):
+        live = within(v.date, span) if v.when is None else v.when & within(v.date, span)
+        sign = F.lit(1).cast("long") if v.sign is None else v.sign.cast("long")
+        amounts = [(F.coalesce(g.amount, F.lit(0)).cast("long") * sign).alias(f"a{i}") for i, g in enumerate(v.legs)]
+        amounts += [F.lit(0).cast("long").alias(f"a{i}") for i in range(len(v.legs), width)]
+        codes = F.array(*[g.account.cast("int") for g in v.legs if not isinstance(g.account, int)] or [none])
+        rows.append(F.when(live, F.struct(F.lit(n).alias("n"), v.client.cast("int").alias("client_id"), codes.alias("codes"), *amounts)))
+    spread = docs.select(F.explode(F.array_compact(F.array(*rows))).alias("v")).select("v.*")
+    sums = spread.groupBy("n", "client_id", "codes").agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(width)])
+    laid = F.array().cast("array<struct<account_code:int,signed_paise:bigint>>")
+    for n, v in enumerate(every):
+        computed = iter(range(len(v.legs)))
+        legs = [F.struct((F.lit(g.account) if isinstance(g.account, int) else F.get("codes", F.lit(next(computed)))).cast("int").alias("account_code"),
+                         F.col(f"a{i}").alias("signed_paise")) for i, g in enumerate(v.legs)]
+        laid = F.when(F.col("n") == n, F.array(*legs)).otherwise(laid)
+    return sums.select("client_id", F.explode(laid).alias("g")).select("client_id", "g.*").groupBy("client_id", "account_code").agg(
+        F.sum("signed_paise").alias("signed_paise"))
+
+
 def explode_vouchers(docs: DataFrame, vouchers: list[Voucher], doc_key: str, mirrors: list[Mirror] | None = None,
                      accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
     """One pass over the documents: all vouchers of a row become their non-zero legs.

@@ -13,14 +13,19 @@ from .registry import job
 AS_OF, FROM, TO = "2027-03-31", "2025-04-01", "2026-03-31"
 
 
+def _net(b):
+    """Net per client and account, summed before legs are laid out; no leg of the books carries another finance book."""
+    return b.net_ledger(AS_OF).select("client_id", "account_code", rupees(F.col("signed_paise")).alias("net"))
+
+
 @job("trial_balance")
 def trial_balance(b):
-    return r.trial_balance(b.ledger, b.chart, AS_OF)
+    return r.trial_balance_of(_net(b), b.chart)
 
 
 @job("trial_balance_totals")
 def trial_balance_totals(b):
-    return r.trial_balance_totals(r.trial_balance(b.ledger, b.chart, AS_OF))
+    return r.trial_balance_totals(r.trial_balance_of(_net(b), b.chart))
 
 
 @job("profit_and_loss")
@@ -31,7 +36,7 @@ def profit_and_loss(b):
 
 @job("balance_sheet")
 def balance_sheet(b):
-    return r.balance_sheet(b.ledger, b.chart, AS_OF)
+    return r.balance_sheet_of(_net(b), b.chart)
 
 
 @job("account_ledger")

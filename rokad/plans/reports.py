@@ -31,8 +31,12 @@ def net_by(legs: DataFrame, *keys: str) -> DataFrame:
 
 def trial_balance(legs: DataFrame, chart: DataFrame, date: str) -> DataFrame:
     """Net per client and account as of a date, split by side, zero rows dropped."""
-    net = net_by(as_of(statutory(legs), date), "client_id", "account_code").filter("net <> 0")
-    return net.join(F.broadcast(chart), "account_code").select(
+    return trial_balance_of(net_by(as_of(statutory(legs), date), "client_id", "account_code"), chart)
+
+
+def trial_balance_of(net: DataFrame, chart: DataFrame) -> DataFrame:
+    """The same from the net (client_id, account_code, net)."""
+    return net.filter("net <> 0").join(F.broadcast(chart), "account_code").select(
         "client_id", "account_code", "account_name", "root_type",
         F.greatest(F.col("net"), zero()).alias("debit"), F.greatest(-F.col("net"), zero()).cast(MONEY).alias("credit"))
 
@@ -68,7 +72,11 @@ def profit_and_loss(legs: DataFrame, chart: DataFrame, start: str, end: str) ->
 
 def balance_sheet(legs: DataFrame, chart: DataFrame, date: str) -> DataFrame:
     """Position per client as of a date; the undistributed result is shown inside equity."""
-    net = net_by(as_of(statutory(legs), date), "client_id", "account_code")
+    return balance_sheet_of(net_by(as_of(statutory(legs), date), "client_id", "account_code"), chart)
+
+
+def balance_sheet_of(net: DataFrame, chart: DataFrame) -> DataFrame:
+    """The same from the net (client_id, account_code, net)."""
     j = net.join(F.broadcast(chart), "account_code")
     root, liq = F.col("root_type"), F.coalesce(F.col("liquidity_class"), F.lit(""))
     j = j.withColumn("amount", F.when(root == "asset", F.col("net")).otherwise(-F.col("net")))

@@ -385,9 +385,8 @@ class Books:
         opening = self.opening.filter(posting.within(F.col("posting_date"), span))
         return out.unionByName(opening if accounts is None else opening.filter(F.col("account_code").isin(*accounts)))
 
-    def _document_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
-        """Invoices, their reversals, bills and receipts from one pass over the documents."""
-        d = self._sales_wide
+    def _document_vouchers(self) -> tuple[list[posting.Voucher], list[posting.Mirror]]:
+        """Invoices, bills and receipts of a document, and reversals of invoices."""
         c = F.col
         sign = F.when(c("is_return"), -1).otherwise(1).cast("long")
         rcm = c("is_rcm")
@@ -407,7 +406,7 @@ class Books:
         r_legs = posting.receipt_legs(
             F.when(c("ok") % 10 == 3, m.CASH).otherwise(m.BANK), gross - tds_amt, tds_amt, cust, c("invoice_id"))
         V = posting.Voucher
-        return posting.explode_vouchers(d, [
+        return [
             V(c("invoice_id"), F.when(c("is_return"), "credit_note").otherwise("sales"),
               c("seller_firm"), c("seller"), c("doc_date"), s_legs, sign=sign),
             V(c("bill_id"), F.when(c("is_return"), "debit_note").otherwise("purchase"),
@@ -415,19 +414,35 @@ class Books:
             V(key_text("RC-", c("ok"), "-", c("sk")), F.lit("receipt"), c("seller_firm"), c("seller"),
               F.date_add("doc_date", 30), r_legs,
               when=~c("is_return") & ~reversed_ & c("status").isin("F", "P")),
-        ], "ok", [posting.Mirror(0, F.concat(F.lit("RV-"), c("invoice_id")), F.date_add("doc_date", 10), reversed_)], accounts, span)
+        ], [posting.Mirror(0, F.concat(F.lit("RV-"), c("invoice_id")), F.date_add("doc_date", 10), reversed_)]
+
+    def _document_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+        """Legs of the vouchers of all documents, from one pass over them."""
+        vouchers, mirrors = self._document_vouchers()
+        return posting.explode_vouchers(self._sales_wide, vouchers, "ok", mirrors, accounts, span)
+
 
     @cached_property
     def payment_legs(self) -> DataFrame:
         return self._payment_legs()
 
-    def _payment_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    def _payment_voucher(self) -> posting.Voucher:
         c = F.col
-        v = posting.Voucher(
+        return posting.Voucher(
             c("voucher_id"), F.lit("payment"), c("firm_id"), c("client_id"), c("payment_date"),
             posting.payment_legs(c("money_account"), to_paise(c("amount")), to_paise(c("tds")), c("party_id"),
                                  c("settles_voucher_id")))
-        return posting.explode_vouchers(self.tds, [v], "ok", accounts=accounts, span=span)
+
+    def _payment_legs(self, accounts: set[int] | None = None, span: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+        return posting.explode_vouchers(self.tds, [self._payment_voucher()], "ok", accounts=accounts, span=span)
+
+    def net_ledger(self, end: str) -> DataFrame:
+        """client_id, account_code, signed_paise: the ledger's legs up to a date, added up before they are laid out as legs."""
+        span = (None, end)
+        vouchers, mirrors = self._document_vouchers()
+        opening = self.opening.filter(posting.within(F.col("posting_date"), span)).groupBy("client_id", "account_code").agg(F.sum("signed_paise").alias("signed_paise"))
+        parts = posting.net_vouchers(self._sales_wide, vouchers, mirrors, span).unionByName(posting.net_vouchers(self.tds, [self._payment_voucher()], span=span))
+        return parts.unionByName(opening).groupBy("client_id", "account_code").agg(F.sum("signed_paise").alias("signed_paise"))
 
     @cached_property
     def ledger(self) -> DataFrame:
