@@ -10,6 +10,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ WORD_END = "</w>"
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 #: The file's own pre-token pattern, restricted to those characters.
 _PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+", re.ASCII)
+#: Pieces of printable ones among those characters.
+_PLAIN_PIECE = "^[\x21-\x7eÀ-ÖØ-öø-ÿ]*$"
 #: The same over pieces that stand in lines of their own; a line's end is a match too.
 _PRETOKENS_OF_LINES = re.compile(_PRETOKENS.pattern + "|\n", re.ASCII)
 _PRETOKEN_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -63,6 +66,7 @@ class Encoder:
         self.whole = self.prove_whole(spec["model"]["vocab"])
         self.model = self.tok.model
         self.merged = Recent(self.merge, self.limit)
+        self.plain = Recent(self.merge_plain, self.limit)
         self.ids = Recent(self.encode_piece, self.limit)
         self.counts = Recent(lambda raw: len(self.encode_piece(raw)) // 4, self.limit)
 
@@ -108,34 +112,40 @@ class Encoder:
         """Ids of many texts one after another, and each text's number of ids; equal pieces are encoded once per call, nulls have none."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
-        found = self.encode_pieces(coded.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        if not len(found):
-            return ids, np.zeros(len(texts), np.int64)
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ids, starts, sizes = self.encode_pieces(coded.dictionary)
         place = coded.indices.to_numpy()
-        starts, n = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        starts, n = starts[place], sizes[place]
         ends = np.cumsum(n)
         rows = np.cumsum(pc.list_value_length(cut).to_numpy())
         per_text = np.diff(np.r_[0, ends][np.r_[0, rows]])
         return ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1])], per_text
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; those of plain characters are cut into pre-tokens by one scan over all of them."""
-        out: list[bytes] = [b""] * len(pieces)
-        plain: list[int] = []
-        for i, piece in enumerate(pieces):
-            if _PLAIN.fullmatch(piece) and piece.isprintable() and not ("<" in piece and any(x in piece for x in self.special)):
-                plain.append(i)
-            elif piece:
-                out[i] = self.encode_piece(piece.encode())
-        merged, place, held = self.merged, iter(plain), []
-        for x in _PRETOKENS_OF_LINES.findall("\n".join([pieces[i] for i in plain]).lower() + "\n") if plain else ():
-            if x != "\n":
-                held.append(merged[x if x.isascii() else x.encode().decode("latin-1").translate(self.letters)])
-            else:
-                out[next(place)] = b"".join(held)
-                held.clear()
-        return out
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in some order, where each piece's begin, and how many they are. Pieces of plain characters are cut by one scan over all of them."""
+        plain = pc.match_substring_regex(pieces, _PLAIN_PIECE)
+        if self.special:
+            marked = [pc.match_substring(pieces, x) for x in self.special]
+            plain = pc.and_not(plain, reduce(pc.or_, marked))
+        plain = plain.to_numpy(zero_copy_only=False)
+        lines = "\n".join([*pieces.filter(pa.array(plain)).to_pylist(), ""]).lower()
+        found = _PRETOKENS_OF_LINES.findall(lines)
+        encoded = list(map(self.plain.__getitem__, found))
+        upto = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4)
+        ends = upto[np.fromiter(map("\n".__eq__, found), bool, len(found))]
+        other = [self.encode_piece(x.encode()) for x in pieces.filter(pa.array(~plain)).to_pylist()]
+        sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(np.r_[0, ends]), np.fromiter(map(len, other), np.int64, len(other)) // 4
+        begin = np.cumsum(np.r_[sizes[plain], sizes[~plain]]) - np.r_[sizes[plain], sizes[~plain]]
+        starts[plain], starts[~plain] = begin[: len(ends)], begin[len(ends):]
+        return np.frombuffer(b"".join([*encoded, *other]), np.uint32), starts, sizes
+
+    def merge_plain(self, pre: str) -> bytes:
+        """Ids of a lower-case pre-token of plain characters; none for the end of a line between pieces."""
+        if pre == "\n":
+            return b""
+        return self.merge(pre if pre.isascii() else pre.encode().decode("latin-1").translate(self.letters))
 
 
 _ENCODERS: dict[str, Encoder] = {}
