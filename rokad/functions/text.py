@@ -115,7 +115,11 @@ def looks_numeric(raw: Column) -> Column:
 
 def signed_amount(raw: Column) -> Column:
     """Signed value of a numeric cell, null when blank or not a number."""
-    a = parse_amount(raw)
+    return signed(parse_amount(raw))
+
+
+def signed(a: Column) -> Column:
+    """The same from a parsed cell."""
     return F.when(
         a["valid"] & ~a["blank"], F.when(a["negative"], -a["value"]).otherwise(a["value"]).cast(MONEY)
     )

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import dates
+from .staging import stage
+
+
+#: Distinct codes, of under a hundred bytes a rate row, up to which their rates are sent to every task.
+SENT_CODES = 20_000
 
 
 def _in_force(rows: Column, on: Column) -> Column:
@@ -30,6 +35,9 @@ def resolve_gst_rate(items: DataFrame, rates: DataFrame, hsn: str, on: str) -> D
             F.length("hsn_prefix").alias("_len"), F.col("effective_from").alias("_from"), F.struct(*cols).alias("r"))),
             asc=False).alias("_ranked"))
     hit = _in_force(F.transform("_ranked", lambda x: x["r"]), F.col(on))
+    ranked = stage(ranked)
+    if ranked.count() <= SENT_CODES:  # so few rows go to every task, and the items stay where they are
+        ranked = F.broadcast(ranked)
     return items.join(ranked, hsn, "left").withColumn("_r", hit).select(
         *items.columns, *[F.col(f"_r.{c}").alias(f"master_{c}") for c in cols])
 

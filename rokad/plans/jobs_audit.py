@@ -9,8 +9,12 @@ from ..functions.money import MONEY
 from ..operators.effective import resolve_gst_rate
 from ..operators.staging import stage
 from . import audit as a
+from ..operators.prefix import carry_forward, ordinal
 from .registry import job
 
+#: Ids in one run of an entity's rows.
+VERSION_SPAN = 65_536
+
 SCOPE = ["firm_id", "segment"]
 
 
@@ -97,11 +101,12 @@ def period_status(b):
 
 @job("account_versions")
 def account_versions(b):
-    """Version rows where the stored snapshot of an entity changed."""
-    w = W.partitionBy("entity_type", "entity_id").orderBy("id")
-    d = b.audit_rows.select("entity_type", "entity_id", "id", "after").withColumn("_p", F.lag("after").over(w))
-    d = d.filter(F.col("_p").isNull() | (F.col("_p") != F.col("after")))
-    return d.select("entity_type", "entity_id", "id", F.row_number().over(w).alias("version"), F.get_json_object("after", "$.k").alias("k"))
+    """Version rows where the stored snapshot of an entity changed; an entity's rows are compared across bounded runs of ids."""
+    keys, levels = ["entity_type", "entity_id"], ["_chunk"]
+    d = b.audit_rows.select(*keys, "id", "after", F.floor(F.col("id") / VERSION_SPAN).alias("_chunk"))
+    d = carry_forward(d, keys, levels, ["id"], {"_before": F.struct("after")})
+    d = ordinal(d.filter(~F.col("_before.after").eqNullSafe(F.col("after")) | F.col("_before").isNull()), keys, levels, ["id"], "version")
+    return d.select(*keys, "id", F.col("version").cast("int").alias("version"), F.get_json_object("after", "$.k").alias("k"))
 
 
 @job("applied_rules")

@@ -175,8 +175,11 @@ def build_rows(grid: DataFrame, heads: DataFrame) -> DataFrame:
     def cell(role: str) -> Column:
         return F.coalesce(F.get("cells", F.col(f"c_{role}")), F.lit(""))
 
-    d = d.withColumn("txn_date", parse_date(cell("txn_date"), F.col("fmt")))
-    debit, credit, amount = text.parse_amount(cell("debit")), text.parse_amount(cell("credit")), text.parse_amount(cell("amount"))
+    # one column of parsed cells, which later columns pick from: written out at each use they pass the size that Java compiles
+    d = d.withColumn("_dates", F.transform(F.array(cell("txn_date"), cell("value_date")), lambda x: parse_date(x, F.col("fmt"))))
+    d = d.withColumn("_cells", F.transform(F.array(*[cell(r) for r in ("debit", "credit", "amount", "balance")]), text.parse_amount))
+    d = d.withColumn("txn_date", F.col("_dates")[0])
+    debit, credit, amount, balance = (F.col("_cells")[i] for i in range(4))
     separate = F.col("c_debit").isNotNull() | F.col("c_credit").isNotNull()
     flagged = ~separate & F.col("c_flag").isNotNull()
     mark = F.substring(F.lower(F.trim(cell("flag"))), 1, 1)
@@ -189,8 +192,8 @@ def build_rows(grid: DataFrame, heads: DataFrame) -> DataFrame:
         .when((F.col("debit") == 0) & (F.col("credit") == 0), "zero amount on both sides"))
     narration = F.when(cell("narration") == "", "(no narration)").otherwise(cell("narration"))
     return d.select(
-        "file_id", "line_no", "txn_date", parse_date(cell("value_date"), F.col("fmt")).alias("value_date"),
-        narration.alias("narration"), "debit", "credit", text.signed_amount(cell("balance")).alias("running_balance"),
+        "file_id", "line_no", "txn_date", F.col("_dates")[1].alias("value_date"),
+        narration.alias("narration"), "debit", "credit", text.signed(balance).alias("running_balance"),
         reason.alias("reason"), F.array_join("cells", " | ").alias("text"))
 
 
