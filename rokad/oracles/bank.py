@@ -256,3 +256,17 @@ SELECT *, CASE WHEN abs((taxable_p * 10 + 5000) // 10000 - sf) <= 100 THEN 1 WHE
  FROM batches b LEFT JOIN (SELECT b.client_id, b.account_id, b.txn_date, min((r.settled_on, r.line_id)) best FROM batches b JOIN settled_ranges r
   ON r.client_id = b.client_id AND r.account_id = b.account_id AND b.txn_date BETWEEN r.from_day AND r.to_day GROUP BY 1, 2, 3) c USING (client_id, account_id, txn_date)"""),
 }
+
+
+def _close_readiness() -> str:
+    """The reconciliation's own check query as of the month's end, next to the period events."""
+    brs = SQL["bank_reconciliation"].replace("2025-03-31", "2024-01-31")
+    return f"""SELECT c.client_id, '2024-01' AS period, b.n IS NULL AS ready, CAST(coalesce(b.n, 0) AS INTEGER) n_blockers, coalesce(b.t, '') blockers
+FROM ({build("SELECT client_id FROM clients")}) c LEFT JOIN (SELECT client_id, count(*) n, string_agg(blocker, ',' ORDER BY blocker) t FROM (
+ SELECT a.client_id, 'bank:' || lpad(CAST(a.account_id AS VARCHAR), 12, '0') blocker FROM ({build("SELECT DISTINCT client_id, account_id FROM bank_lines WHERE client_id % 6 <> 1")}) a
+  JOIN ({brs}) r ON r.account_id = a.account_id WHERE NOT r.ties
+ UNION ALL SELECT CAST(user_id % 25 AS INTEGER), 'closed' FROM events WHERE event_id % 4 IN (2, 3) AND strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1 HAVING arg_max(event_id % 4, event_id) = 2)
+ GROUP BY 1) b USING (client_id)"""
+
+
+SQL["close_readiness"] = _close_readiness()

@@ -130,6 +130,22 @@ def bank_reconciliation(ledger: DataFrame, lines: DataFrame, matches: DataFrame,
                     (c("actual_balance") == computed).alias("ties"))
 
 
+def close_readiness(clients: DataFrame, accounts: DataFrame, reconciled: DataFrame, net: DataFrame, closed: DataFrame, label: str) -> DataFrame:
+    """client_id, period, ready, n_blockers, blockers: what would stop a period of each client from closing.
+
+    A period that is closed already, a bank account (client_id, account_id) whose reconciliation as of its end does not tie, or books (net by account) that do not
+    balance. Blockers are codes, in order, joined by a comma; a client has a few accounts, so the list is short. No blocker: ready.
+    """
+    shut = closed.select("client_id", F.lit("closed").alias("blocker"))
+    open_ = accounts.join(reconciled.filter("NOT ties").select("account_id"), "account_id", "left_semi").select(
+        "client_id", F.concat(F.lit("bank:"), F.lpad(F.col("account_id").cast("string"), 12, "0")).alias("blocker"))
+    broken = net.groupBy("client_id").agg(F.sum("signed_paise").alias("p")).filter("p <> 0").select("client_id", F.lit("unbalanced").alias("blocker"))
+    found = shut.unionByName(open_).unionByName(broken).groupBy("client_id").agg(F.sort_array(F.collect_set("blocker")).alias("b"))
+    own = F.coalesce("b", F.array().cast("array<string>"))
+    return clients.select("client_id").join(found, "client_id", "left").select(
+        "client_id", F.lit(label).alias("period"), (F.size(own) == 0).alias("ready"), F.size(own).alias("n_blockers"), F.array_join(own, ",").alias("blockers"))
+
+
 def unpresented_numbers(cheques: DataFrame, as_of: str) -> DataFrame:
     """Pending issued cheques with their position by date per account, for the detail line of the statement."""
     return pending_on(cheques, _d(as_of)).filter(F.col("direction") == "issued").select(

@@ -91,14 +91,18 @@ def origin_breakdown(b):
         F.count(F.lit(1)).alias("vouchers"), F.count_if(ai).alias("machine"), F.count_if(ai & F.col("ai_edited")).alias("machine_edited"))
 
 
-@job("period_status")
-def period_status(b):
+def periods(audit):
     """Latest close or reopen event per client and month decides."""
-    e = b.audit_rows.filter("action IN ('approve', 'reverse')")
+    e = audit.filter("action IN ('approve', 'reverse')")
     return e.groupBy("client_id", F.date_format("occurred_at", "yyyy-MM").alias("period")).agg(
         F.max_by(F.when(F.col("action") == "approve", "closed").otherwise("open"), "id").alias("status"), F.max("id").alias("event_id"))
 
 
+@job("period_status")
+def period_status(b):
+    return periods(b.audit_rows)
+
+
 @job("account_versions")
 def account_versions(b):
     """Version rows where the stored snapshot of an entity changed; an entity's rows are compared across bounded runs of ids."""

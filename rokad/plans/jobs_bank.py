@@ -93,6 +93,17 @@ def bank_reconciliation(b):
                                  "2025-03-31")
 
 
+@job("close_readiness")
+def close_readiness(b):
+    """What stops each client's month from closing; see bank.close_readiness. Clients without a declared bank account deal in cash."""
+    label, end = "2024-01", "2024-01-31"
+    books = k.bank_reconciliation(b.ledger, b.bank_lines, b.matches, b.cheques, b.statements, b.stated_lines, m.BANK, end)
+    accounts = b.bank_lines.filter("client_id % 6 <> 1").select("client_id", "account_id").distinct()
+    from .jobs_audit import periods
+    closed = periods(b.audit_rows).filter((F.col("period") == label) & (F.col("status") == "closed"))
+    return k.close_readiness(b.clients, accounts, books, b.net_ledger(end), closed, label)
+
+
 @job("unpresented_cheques")
 def unpresented_cheques(b):
     return k.unpresented_numbers(b.cheques, "2025-03-31")
