@@ -54,7 +54,8 @@ def parsed(src: str) -> str:
 
 cte("parsed_all", parsed("bank_lines"))
 cte("parsed_events", parsed("event_lines"))
-cte("parsed_docs", parsed("doc_bank_lines"))
+cte("open_lines", f"SELECT {LC} FROM line_status_now WHERE status = 'unmatched'")
+cte("parsed_docs", parsed("open_lines"))
 cte("parsed_coll", parsed("collection_lines"))
 cte("stated_lines", """
 SELECT *, CASE WHEN line_key % 13 = 0 THEN NULL WHEN line_key % 997 = 0 THEN true_p + 50 ELSE true_p END stated_p
@@ -158,7 +159,7 @@ cte("charge_src", "SELECT *, (debit_p * 18 + 59) // 118 gst, client_id % 2 = 0 i
 cte("interest_src", "SELECT *, (credit_p * 10 + 4) // 9 gross FROM parsed_events WHERE payment_mode = 'interest' AND credit_p > 0")
 cte("settle_src", """
 SELECT * FROM (SELECT l.*, p.voucher_id inv, o.party_id, o.due, sum(credit_p) OVER (PARTITION BY p.voucher_id ORDER BY txn_date, line_id) upto
-FROM proposals p JOIN doc_bank_lines l USING (line_id) JOIN open_invoices o ON o.voucher_id = p.voucher_id WHERE auto_matchable AND credit_p > 0) WHERE upto <= due""")
+FROM proposals p JOIN bank_lines l USING (line_id) JOIN open_invoices o ON o.voucher_id = p.voucher_id WHERE auto_matchable AND credit_p > 0) WHERE upto <= due""")
 cte("alloc_r", "SELECT client_id, party_id, voucher_id rid, cash_p p, CAST(sum(cash_p) OVER (PARTITION BY client_id, party_id ORDER BY receipt_date, ok, sk) AS BIGINT) hi FROM receipts WHERE cash_p > 0")
 cte("alloc_d", "SELECT client_id, party_id, voucher_id did, grand_p p, CAST(sum(grand_p) OVER (PARTITION BY client_id, party_id ORDER BY posting_date, ok, sk) AS BIGINT) hi FROM sales WHERE NOT is_return AND NOT is_reversed AND grand_p > 0")
 cte("bounced_legs", "SELECT * FROM legs_receipt UNION ALL SELECT * FROM legs_payment")
@@ -188,7 +189,8 @@ SQL = {
 HAVING min(txn_date) > DATE '2024-01-10'"""),
     "bank_line_status": build(f"SELECT line_id, {money('debit_p + credit_p')} amount, {money('matched_p')} matched_amount, {money('open_p')} unmatched_amount, status FROM line_status_now"),
     "match_summary": build("""SELECT account_id, count(*) FILTER (status = 'unmatched') unmatched, count(*) FILTER (status = 'matched') matched,
- count(*) FILTER (status = 'partially_matched') partially_matched, count(*) FILTER (status = 'ignored') ignored FROM line_status_now GROUP BY 1"""),
+ count(*) FILTER (status = 'partially_matched') partially_matched, count(*) FILTER (status = 'ignored') ignored,
+ count(*) FILTER (auto_matchable) auto_matchable, count(*) FILTER (ambiguous) ambiguous FROM line_status_now LEFT JOIN (SELECT line_id, auto_matchable, ambiguous FROM proposals) USING (line_id) GROUP BY 1"""),
     "statement_bad_rows": build(f"""SELECT client_id, account_id, week, line_id, txn_date, {money('debit_p')} debit, {money('credit_p')} credit,
  {money('stated_p')} running_balance, {money('expected_p')} expected_balance FROM statement_rows WHERE stated_p IS NOT NULL AND stated_p <> expected_p"""),
     "statement_arithmetic": build(f"""SELECT account_id, week, {money('open_p')} opening_balance, {money('d')} total_debits, {money('c')} total_credits,
@@ -245,8 +247,9 @@ SELECT *, CASE WHEN abs((taxable_p * 10 + 5000) // 10000 - sf) <= 100 THEN 1 WHE
  FROM open_invoices WHERE reference IS NOT NULL GROUP BY 1, 2) USING (client_id, reference) WHERE src = 'collection'"""),
     "match_candidates": build('SELECT line_id, CAST(rnk AS INTEGER) "rank", voucher_id, score, signals FROM ranked WHERE rnk <= 4'),
     "match_proposals": build("SELECT line_id, voucher_id, score, signals, second_score, runners_up, layer, ambiguous, auto_matchable FROM proposals"),
-    "match_queue": build("""SELECT account_id, line_id, txn_date, voucher_id, coalesce(score, -1) score FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date DESC, line_id) n FROM doc_bank_lines)
- LEFT JOIN (SELECT line_id, voucher_id, score FROM proposals) USING (line_id) WHERE n <= 500"""),
+    "match_queue": build("""SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY score DESC, txn_date DESC, line_id)::INT AS position FROM (
+ SELECT account_id, line_id, txn_date, voucher_id, coalesce(score, -1) score FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date DESC, line_id) n FROM open_lines)
+ LEFT JOIN (SELECT line_id, voucher_id, score FROM proposals) USING (line_id) WHERE n <= 500)"""),
     "post_receipts": build(f"""SELECT client_id, 'RX-' || line_id voucher_id, txn_date posting_date, CAST(a AS INTEGER) account_code,
  CASE WHEN a = 1020 THEN {money('credit_p')} ELSE {money('0')} END debit, CASE WHEN a = 1030 THEN {money('credit_p')} ELSE {money('0')} END credit,
  CASE WHEN a = 1030 THEN inv END settles_voucher_id FROM settle_src, (VALUES (1020), (1030)) v(a)"""),

@@ -12,7 +12,7 @@ cte("chart_up", "SELECT code leaf, code FROM chart_groups UNION ALL SELECT u.lea
 cte("vouchers", """
 SELECT *, CASE WHEN ok % 4 = 0 THEN 'ai_proposal' ELSE 'ui' END created_via, 'u' || (ok % 7) created_by,
   CASE WHEN ok % 4 = 0 AND ok % 100 = 0 THEN NULL ELSE 'u' || (ok % 5) END approved_by,
-  posting_date + CAST(CASE WHEN ok % 17 = 0 THEN 40 ELSE ok % 3 END AS INTEGER) entered_on, ok % 16 = 4 ai_edited FROM (
+  posting_date + CAST(CASE WHEN ok % 17 = 0 THEN 40 ELSE ok % 3 END AS INTEGER) entered_on, ok % 16 = 4 ai_edited, CASE WHEN ok % 74 = 0 THEN coalesce(reverses_id, voucher_id) ELSE voucher_id END voucher_number FROM (
 SELECT client_id, voucher_id, CASE WHEN is_return THEN 'credit_note' ELSE 'sales' END voucher_type, posting_date, ok, NULL reverses_id FROM sales
 UNION ALL SELECT client_id, 'RV-' || voucher_id, 'sales', posting_date + 10, ok, voucher_id FROM sales WHERE is_reversed
 UNION ALL SELECT client_id, voucher_id, CASE WHEN is_return THEN 'debit_note' ELSE 'purchase' END, bill_date, ok, NULL FROM bills)""")
@@ -61,7 +61,15 @@ def rules(rows: list[tuple[str, str, str, str]]) -> str:
 
 
 OKS = "(" + ", ".join(f"'{s}'" for s in g.STATE_CODES) + ")"
+cte("entered", """
+SELECT client_id, party_id, voucher_id, bill_number, bill_date, grand_p FROM bills WHERE NOT is_return
+UNION ALL SELECT client_id, party_id, 'PX-' || voucher_id, CASE WHEN ok % 120 = 0 THEN bill_number ELSE lower(replace(bill_number, '/', ' ')) END, bill_date, grand_p FROM bills WHERE NOT is_return AND ok % 60 = 0""")
 SQL = {
+    "normal_balance": build(f"""SELECT client_id, account_code, account_name, CASE WHEN root_type IN ('asset', 'expense') <> (account_type = 'accumulated_depreciation' OR lower(account_name) = 'drawings') THEN 'debit' ELSE 'credit' END normal,
+ {money('net_p')} net, (net_p < 0) = (root_type IN ('asset', 'expense') <> (account_type = 'accumulated_depreciation' OR lower(account_name) = 'drawings')) abnormal
+FROM (SELECT client_id, account_code, sum(amt) net_p FROM ledger WHERE posting_date <= DATE '{AS_OF}' GROUP BY 1, 2) JOIN chart USING (account_code) WHERE net_p <> 0"""),
+    "duplicate_bills": build(f"""SELECT client_id, party_id, upper(regexp_replace(bill_number, '[^A-Za-z0-9]', '', 'g')) number, {money('grand_p')} grand_total, count(*) copies,
+ min((bill_date, voucher_id))[2] first_voucher FROM entered GROUP BY 1, 2, 3, grand_p HAVING count(*) > 1"""),
     "scope": build(f"SELECT firm_id, client_id, voucher_id, {money('grand_p')} grand_total FROM sales WHERE firm_id = 2"),
     "voucher_status": build("""SELECT v.client_id, v.voucher_id, v.voucher_type, r.rv reversed_by, CASE WHEN r.rv IS NULL THEN 'posted' ELSE 'reversed' END effective_status
  FROM vouchers v LEFT JOIN (SELECT l_orderkey ok, l_suppkey sk, 'RV-SI-' || l_orderkey || '-' || l_suppkey rv FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey % 37 = 0 GROUP BY ALL) r
@@ -103,6 +111,9 @@ SQL = {
         ("V-2", "voucher_id", "(SELECT voucher_id, count(*) s FROM ledger WHERE NOT is_opening GROUP BY 1)", "s < 2"),
         ("V-5", KEY, "ledger", "account_code IN (1030, 2010) AND party_id IS NULL"),
         ("V-6", "voucher_id", "vouchers v", "EXISTS (SELECT 1 FROM closed_m c WHERE c.client_id = v.client_id AND c.ps = date_trunc('month', v.posting_date))"),
+        ("V-8", "client_id || '/' || voucher_type || '/' || f || '/' || voucher_number", f"(SELECT client_id, voucher_type, {fy('posting_date')} f, voucher_number, count(*) n FROM vouchers GROUP BY ALL)", "n > 1"),
+        ("V-9", "voucher_id", "sales", "ok % 331 = 0"),
+        ("V-13", "client_id || '/' || party_id || '/' || bill_number", "(SELECT client_id, party_id, grand_p, bill_date, bill_number, count(*) n FROM entered GROUP BY ALL)", "n > 1"),
         ("V-10", KEY, "ledger", "account_code = 5199 AND abs(amt) > 100"),
         ("V-12", "voucher_id", "vouchers", "created_via = 'ai_proposal' AND approved_by IS NULL")]),
     "validate_invoices": rules([

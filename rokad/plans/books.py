@@ -178,8 +178,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def validate_ledger(legs: DataFrame, vouchers: DataFrame, chart: DataFrame, closed: DataFrame) -> DataFrame:
-    """Voucher and leg rules: balance, two lines, one-sided legs, known leaf, party, open period, approver."""
+def validate_ledger(legs: DataFrame, vouchers: DataFrame, chart: DataFrame, closed: DataFrame, submitted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Voucher and leg rules: balance, two lines, one-sided legs, known leaf, party, open period, number, tax, approver, duplicates.
+
+    submitted has voucher_id, tax (as it came) and recomputed (from the lines); documents have client_id, party_id, amount, document_date, reference, voucher_id.
+    Duplicates and numbers are reported by what they share.
+    """
     c = F.col
     v = legs.filter("NOT is_opening").groupBy("voucher_id").agg(F.sum("signed_paise").alias("net"), F.count(F.lit(1)).alias("n"))
     needs = legs.join(F.broadcast(chart.select("account_code", "account_type")), "account_code", "left")
@@ -194,6 +198,11 @@ def validate_ledger(legs: DataFrame, vouchers: DataFrame, chart: DataFrame, clos
             ("V-10", (c("account_code") == m.ROUND_OFF) & (F.abs("signed_paise") > 100))]),
         findings(late, c("voucher_id"), [
             ("V-6", c("_closed").isNotNull()), ("V-12", (c("created_via") == "ai_proposal") & c("approved_by").isNull())]),
+        finding(vouchers.groupBy("client_id", "voucher_type", dates.fy_start(c("posting_date")).alias("fy"), "voucher_number").agg(F.count(F.lit(1)).alias("n")),
+                "V-8", c("n") > 1, F.concat_ws("/", "client_id", "voucher_type", "fy", "voucher_number")),
+        finding(submitted, "V-9", ~c("tax").eqNullSafe(c("recomputed")), c("voucher_id")),
+        finding(documents.groupBy("client_id", "party_id", "amount", "document_date", "reference").agg(F.count(F.lit(1)).alias("n")),
+                "V-13", c("n") > 1, F.concat_ws("/", "client_id", "party_id", "reference")),
     ])
 
 
@@ -273,3 +282,10 @@ def duplicate_documents(docs: DataFrame) -> DataFrame:
     """Files whose full content was stored before: one row per content hash seen more than once."""
     g = docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
     return g.filter("copies > 1")
+
+
+def duplicate_bills(bills: DataFrame) -> DataFrame:
+    """One row per client, vendor, normalised number and amount that more than one bill has, with the first of them."""
+    g = bills.groupBy("client_id", "party_id", text.norm_invoice_no(F.col("bill_number")).alias("number"), "grand_total").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("bill_date", "voucher_id")).alias("_f"))
+    return g.filter("copies > 1").select("client_id", "party_id", "number", "grand_total", "copies", F.col("_f.voucher_id").alias("first_voucher"))

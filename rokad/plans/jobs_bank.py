@@ -66,10 +66,15 @@ def bank_line_status(b):
 
 @job("match_summary")
 def match_summary(b):
+    """Lines per account and status, and what the matcher would settle by itself or finds ambiguous among the open ones."""
     s = F.col("status")
+    ranked, lines, _ = _matched(b)
+    proposed = mt.propose(ranked).join(lines.select("line_id", "account_id"), "line_id").groupBy("account_id").agg(
+        F.count_if("auto_matchable").alias("auto_matchable"), F.count_if("ambiguous").alias("ambiguous"))
     return k.line_status(b.bank_lines, b.matches).groupBy("account_id").agg(
         F.count_if(s == "unmatched").alias("unmatched"), F.count_if(s == "matched").alias("matched"),
-        F.count_if(s == "partially_matched").alias("partially_matched"), F.count_if(s == "ignored").alias("ignored"))
+        F.count_if(s == "partially_matched").alias("partially_matched"), F.count_if(s == "ignored").alias("ignored")).join(
+        proposed, "account_id", "left").fillna(0, ["auto_matchable", "ambiguous"])
 
 
 @job("statement_arithmetic")
@@ -210,7 +215,7 @@ def tds_shortfall(b):
 
 @job("resolve_party")
 def resolve_party(b):
-    return mt.resolve_party(b.parsed(b.document_bank_lines), mt.client_parties(b.sales, b.bills))
+    return mt.resolve_party(stage(b.parsed(_open_lines(b))), mt.client_parties(b.sales, b.bills))
 
 
 @job("match_known_link")
@@ -218,9 +223,14 @@ def match_known_link(b):
     return mt.known_link(b.parsed(b.collection_lines).filter("source = 'collection'"), mt.open_invoices(b.sales, b.receipts))
 
 
+def _open_lines(b):
+    """Lines of all accounts that nobody has matched or set aside."""
+    return k.line_status(b.bank_lines, b.matches).filter("status = 'unmatched'").select(*b.bank_lines.columns)
+
+
 def _matched(b):
-    """Ranked pairs with the staged lines and open invoices they came from."""
-    raw = stage(b.parsed(b.document_bank_lines))
+    """Ranked pairs with the staged open lines and open invoices they came from."""
+    raw = stage(b.parsed(_open_lines(b)))
     invoices = stage(mt.open_invoices(b.sales, b.receipts))
     docs = stage(mt.to_docs(invoices, mt.open_bills(b.bills, b.payments)))
     party = mt.resolve_party(raw, stage(mt.client_parties(b.sales, b.bills)))

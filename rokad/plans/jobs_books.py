@@ -39,6 +39,14 @@ def balance_sheet(b):
     return r.balance_sheet_of(_net(b), b.chart)
 
 
+@job("normal_balance")
+def normal_balance(b):
+    """Normal side of every account of a client with a balance, and whether the balance lies on the other one."""
+    from ..functions.accounts import normal_balance as side
+    j = _net(b).join(F.broadcast(b.chart), "account_code").withColumn("normal", side(F.col("root_type"), F.col("account_type"), F.col("account_name")))
+    return j.select("client_id", "account_code", "account_name", "normal", "net", ((F.col("net") < 0) == (F.col("normal") == "debit")).alias("abnormal")).filter("net <> 0")
+
+
 @job("account_ledger")
 def account_ledger(b):
     return r.account_ledger(b.ledger_of(None, end=TO), FROM, TO)
@@ -187,7 +195,8 @@ def _closed(b):
 
 @job("validate_ledger")
 def validate_ledger(b):
-    return k.validate_ledger(b.ledger, b.vouchers, b.chart, _closed(b))
+    entered = b.entered_bills.withColumnsRenamed({"grand_total": "amount", "bill_date": "document_date", "bill_number": "reference"})
+    return k.validate_ledger(b.ledger, b.vouchers, b.chart, _closed(b), b.submitted_tax, entered)
 
 
 @job("validate_invoices")
@@ -223,6 +232,12 @@ def duplicate_documents(b):
     return k.duplicate_documents(b.raw("documents"))
 
 
+@job("duplicate_bills")
+def duplicate_bills(b):
+    """Bills that were entered twice: vendor, number however written, and amount are the same."""
+    return k.duplicate_bills(b.entered_bills)
+
+
 @job("duplicate_claims")
 def duplicate_claims(b):
     """The same amount, day and merchant text claimed through more than one account."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import masters as m
 from ..functions import dates, gstin
 from ..functions.money import MONEY, credit_of, debit_of, pct, rupees, to_paise, zero
+from ..functions.tax import line_tax, taxable_value
 from ..operators import itc, posting, tds
 from ..operators.staging import stage
 
@@ -322,6 +323,27 @@ class Books:
             F.when((F.col("ok") % 4 == 0) & (F.col("ok") % 100 == 0), F.lit(None)).otherwise(
                 key_text("u", F.col("ok") % 7)).alias("approved_by"))
 
+    @cached_property
+    def entered_bills(self) -> DataFrame:
+        """Bills as they were entered, some twice, with the number written the same or another way."""
+        ok = F.col("ok")
+        b = self.bills.filter("NOT is_return").select("client_id", "party_id", "voucher_id", "bill_number", "bill_date", "grand_total", "ok")
+        again = b.filter(ok % 60 == 0).select("client_id", "party_id", F.concat(F.lit("PX-"), "voucher_id").alias("voucher_id"), F.when(ok % 120 == 0, F.col("bill_number")).otherwise(
+            F.lower(F.replace("bill_number", F.lit("/"), F.lit(" ")))).alias("bill_number"), "bill_date", "grand_total", "ok")
+        return b.unionByName(again)
+
+    @cached_property
+    def submitted_tax(self) -> DataFrame:
+        """Tax of every invoice as it came, some of it wrong, and made again from the lines' quantity, price, discount and rate."""
+        c = F.col
+        value = taxable_value(F.lit(1), c("unit_price"), c("discount"))
+        heads = line_tax(value, c("gst_rate"), c("cess_rate"), c("treatment"), c("intra"))
+        own = sum((to_paise(x) for x in heads.values()), F.lit(0))
+        made = self.sales_lines.groupBy("voucher_id").agg(F.sum(own).alias("recomputed"))
+        wrong = F.when(c("ok") % 331 == 0, 100).otherwise(0)
+        came = self.sales.select("voucher_id", (to_paise(c("cgst")) + to_paise(c("sgst")) + to_paise(c("igst")) + to_paise(c("cess")) + wrong).alias("tax"))
+        return came.join(made, "voucher_id", "left")
+
     # ---- settlements ------------------------------------------------------------------------------
     @cached_property
     def receipts(self) -> DataFrame:
@@ -471,6 +493,7 @@ class Books:
             F.when((ok % 4 == 0) & (ok % 100 == 0), F.lit(None)).otherwise(key_text("u", ok % 5)).alias("approved_by"),
             F.date_add("posting_date", F.when(ok % 17 == 0, 40).otherwise(ok % 3).cast("int")).alias("entered_on"),
             F.when(c("reverses_id").isNotNull(), "customer cancelled").alias("reason"),
+            F.when(ok % 74 == 0, F.coalesce("reverses_id", "voucher_id")).otherwise(c("voucher_id")).alias("voucher_number"),
             (ok % 16 == 4).alias("ai_edited"))
 
 
