@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 #: Blocks are made smaller, down to this, while there are fewer than tasks.
 LEAST_BLOCK = 2048
+#: Components beyond these are scaled by a power of two before they are squared.
+SMALLEST, LARGEST = 1e-130, 1e130
 #: Rows of a tile multiplied at once.
 ROWS, COLUMNS = 512, 4096
 
@@ -46,6 +48,11 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def search_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, float, int]]:
     """(query, distance, vec_id) of the k nearest of a tile for each query, ties to the smaller id, rows of the query's own id left out."""
+    # squares of the largest and of the least doubles leave their range; a power of two changes no digit of what stays inside
+    top = max(np.abs(x).max(), np.abs(queries).max())
+    if not SMALLEST < top < LARGEST:
+        away = 2.0 ** (-600 if top >= LARGEST else 600)
+        return [(q, d / away, c) for q, d, c in search_tile(ids, x * away, query_ids, queries * away, k)]
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of codes are whole and exact in it
     codes, scale, length, rest = quantise(x)
     qcodes, qscale, qlength, qrest = quantise(queries)

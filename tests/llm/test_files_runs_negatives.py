@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("rokad.llm")
 
-from rokad.llm import hardneg, jobs, neardup, runs, tokenfile, tokens  # noqa: E402
+from rokad.llm import ann, hardneg, jobs, neardup, runs, tokenfile, tokens  # noqa: E402
 from rokad.llm.common import new_folder, small_batches, table  # noqa: E402
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -268,3 +268,18 @@ def test_near_duplicates_of_one_id(spark):
     docs = spark.createDataFrame([(3, x), (5, x), (5, y), (7, y + " c")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+
+
+# ------------------------------------------------------------------ nearest neighbours at the ends of the doubles
+
+@pytest.mark.parametrize("size", [1e200, 1.0, 1e-200])
+def test_nearest_of_very_large_and_small_components(spark, size):
+    """No candidate is lost where squares would leave the range of doubles."""
+    rows = [(i, [size * (1 + i % 7), size * (i % 3)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in ann.nearest(df, df.filter("vec_id < 3"), k=4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in rows[:3]:
+        far = sorted((math.hypot((v[0] - w[0]) / size, (v[1] - w[1]) / size), c) for c, w in rows if c != q)
+        want += [(q, i, c) for i, (_, c) in enumerate(far[:4], 1)]
+    assert got == want
