@@ -23,5 +23,10 @@ SQL = {
     "ingest_skipped": build(f"SELECT {FID} file_id, CAST(1152921504606846976 AS BIGINT) line_no, 'no parsable date in the date column' reason FROM statements"),
     "ingest_balances": build(f"SELECT {FID} file_id, {money('open_p')} opening_balance, {money('close_p')} closing_balance FROM statements"),
     "ingest_period": build(f"SELECT {FID} file_id, period_from, period_to FROM statements"),
+    "group_continuations": build(f"""SELECT {FID} file_id, row_number() OVER w group_no, 2 * n line_no,
+ CAST((n % 19 = 0)::INT + (n % 17 = 0)::INT + (n = last_n)::INT AS BIGINT) continuations,
+ CASE WHEN n % 19 = 0 THEN 'Value Note' || n ELSE '' END || CASE WHEN n % 17 = 0 THEN 'REF ' || n ELSE '' END || CASE WHEN n = last_n THEN 'Closing Balance' || CAST({money('close_p')} AS VARCHAR) ELSE '' END extra
+FROM (SELECT account_id, week, line_key + 1000 n, max(line_key + 1000) OVER (PARTITION BY account_id, week) last_n, close_p FROM stated_lines JOIN statements USING (account_id, week))
+WINDOW w AS (PARTITION BY account_id, week ORDER BY n)"""),
     "repair_tokens": build("SELECT line_id, narration || '  22,196.' || lpad(CAST(line_key % 100 AS VARCHAR), 2, '0') || 'cr SBIN0000641' repaired FROM event_lines"),
 }

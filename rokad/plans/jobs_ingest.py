@@ -108,9 +108,19 @@ def infer_money_columns(b):
     return st.infer_money_columns(g, st.profile_columns(g))
 
 
+def _wrapped(b):
+    """The cells below the headers with lines that a printer broke: every seventeenth row goes on below, every nineteenth begins above itself."""
+    g, n = _body(b), F.col("line_no")
+    rows = g.select("file_id", (n * 2).alias("line_no"), "cells")
+    row = g.filter(n < 1 << 59)
+    below = row.filter(n % 17 == 0).select("file_id", (n * 2 + 1).alias("line_no"), F.array(F.lit(""), F.concat(F.lit("REF "), n.cast("string"))).alias("cells"))
+    above = row.filter(n % 19 == 0).select("file_id", (n * 2 - 1).alias("line_no"), F.array(F.lit("Value Note"), n.cast("string")).alias("cells"))
+    return rows.unionByName(below).unionByName(above)
+
+
 @job("group_continuations")
 def group_continuations(b):
-    return st.group_continuations(_body(b))
+    return st.group_continuations(_wrapped(b), forward=["Value Note"])
 
 
 @job("repair_tokens")
