@@ -168,8 +168,11 @@ def headers(grid: DataFrame) -> DataFrame:
         "score", *[f"c_{r}" for r in ROLES])
 
 
-def build_rows(grid: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows under the header with parsed date and money, and why a row is not a transaction."""
+def build_rows(grid: DataFrame, heads: DataFrame, printed_zero: bool = False) -> DataFrame:
+    """Rows under the header with parsed date and money, and why a row is not a transaction.
+
+    printed_zero: a zero that is printed is a transaction of zero, and only a date without any amount is none.
+    """
     d = grid.join(heads, "file_id").filter("line_no > header_line")
 
     def cell(role: str) -> Column:
@@ -186,10 +189,12 @@ def build_rows(grid: DataFrame, heads: DataFrame) -> DataFrame:
     out = F.when(separate, debit["value"]).when(flagged, F.when(mark == "d", amount["value"])).when(amount["negative"], amount["value"])
     inn = F.when(separate, credit["value"]).when(flagged, F.when(mark == "c", amount["value"])).when(~amount["negative"], amount["value"])
     d = d.withColumn("debit", F.coalesce(out, zero()).cast(MONEY)).withColumn("credit", F.coalesce(inn, zero()).cast(MONEY))
+    stated = [x["valid"] & ~x["blank"] for x in (debit, credit, amount)]
+    kept = F.when(separate, stated[0] | stated[1]).otherwise(stated[2]) if printed_zero else F.lit(False)
     reason = (
         F.when(F.col("txn_date").isNull(), "no parsable date in the date column")
         .when(flagged & ~mark.isin("d", "c"), "amount has no Dr/Cr marker")
-        .when((F.col("debit") == 0) & (F.col("credit") == 0), "zero amount on both sides"))
+        .when(~kept & (F.col("debit") == 0) & (F.col("credit") == 0), "zero amount on both sides"))
     narration = F.when(cell("narration") == "", "(no narration)").otherwise(cell("narration"))
     return d.select(
         "file_id", "line_no", "txn_date", F.col("_dates")[1].alias("value_date"),
