@@ -2,7 +2,9 @@
 from pyspark.sql import functions as F
 
 from rokad.functions import gstin
+from rokad.operators.pairing import rank_pairs
 from rokad.plans import books as k
+from rokad.sources.returns import Tables
 
 
 def _plain_digit(first14: str) -> str:
@@ -30,3 +32,24 @@ def test_doubled_places_match_plain_sums(spark):
     texts = ["0A1B2C3D4E5F6G", "ZYXWVUTSRQPONM", "99999999999999", "ABCDEFGHIJKLMN"]
     got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", gstin.check_digit(F.col("x")).alias("d")).collect()
     assert {r["x"]: r["d"] for r in got} == {x: _plain_digit(x) for x in texts}
+
+
+def test_rank_pairs_shuffles_both_sides_once(spark):
+    left = spark.createDataFrame([("a", 2, "L2"), ("a", 1, "L1"), ("a", 3, "L3"), ("b", 1, "L4"), (None, 1, "L5")], "k string, day int, id string")
+    right = spark.createDataFrame([("a", 9, "R2"), ("a", 8, "R1"), ("c", 1, "R3"), (None, 1, "R4")], "k string, day int, id string")
+    pairs = rank_pairs(left, right, ["k"], ["day"])
+    assert {tuple(r) for r in pairs.collect()} == {("L1", "R1"), ("L2", "R2")}
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rank_pairs(left, right, ["k"], ["day"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_statement_is_made_from_bills_staged_once(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for side in (tables.gstr_2b, tables.manual_pairs):
+        files = side.inputFiles()
+        assert files and not [f for f in files if f.startswith("file:///root/testdata")]
