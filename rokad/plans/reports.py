@@ -98,17 +98,23 @@ def balance_sheet_of(net: DataFrame, chart: DataFrame) -> DataFrame:
 
 
 def account_ledger(legs: DataFrame, start: str, end: str, accounts: list[int] | None = None,
-                   id_span: int = 65536) -> DataFrame:
+                   id_span: int = 1 << 20) -> DataFrame:
     """Running balance per client and account inside a date range, with the balance before the range."""
     keys = ["client_id", "account_code"]
     rows = legs if accounts is None else legs.filter(F.col("account_code").isin(accounts))
-    rows = rows.withColumn("_chunk", F.floor(F.col("doc_key") / id_span)).withColumn(
-        "_party", F.coalesce("party_id", F.lit("")))
     opening = net_by(rows.filter(F.col("posting_date") < F.lit(start).cast("date")), *keys).withColumnRenamed(
         "net", "opening_balance")
-    run = running_sum(between(rows, start, end), keys, ["posting_date", "_chunk"],
-                      ["posting_date", "doc_key", "voucher_id", "_party"],
-                      {"running_balance": F.col("debit") - F.col("credit")})
-    return run.join(opening, keys, "left").select(
-        *keys, "posting_date", "voucher_id", "voucher_type", "party_id", "debit", "credit", "running_balance",
-        nonnull(F.col("opening_balance")).alias("opening_balance"))
+    return account_ledger_of(between(rows, start, end), opening, id_span)
+
+
+def account_ledger_of(rows: DataFrame, opening: DataFrame, id_span: int = 1 << 20) -> DataFrame:
+    """The same from the legs of the range and the balance before it (client_id, account_code, opening_balance).
+
+    An account's day is a chunk of its own, and only ids far apart divide it: chunks stay few beside their rows when there are more rows a day.
+    """
+    keys, p = ["client_id", "account_code"], F.col("signed_paise")
+    rows = rows.withColumn("_chunk", F.floor(F.col("doc_key") / id_span)).withColumn("_party", F.coalesce("party_id", F.lit("")))
+    run = running_sum(rows, keys, ["posting_date", "_chunk"], ["posting_date", "doc_key", "voucher_id", "_party"], {"_running": p}, "long")
+    return run.join(F.broadcast(opening), keys, "left").select(
+        *keys, "posting_date", "voucher_id", "voucher_type", "party_id", rupees(F.greatest(p, F.lit(0))).alias("debit"), rupees(F.greatest(-p, F.lit(0))).alias("credit"),
+        rupees(F.col("_running")).alias("running_balance"), nonnull(F.col("opening_balance")).alias("opening_balance"))
