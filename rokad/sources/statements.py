@@ -5,13 +5,14 @@ Input is one row per physical line: (file_id, line_no, line); line_no orders the
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text
-from ..functions.dates import parse_date
+from ..functions.dates import date_fields, date_numbers, date_of, date_text, parse_date
 from ..functions.money import MONEY, zero
 from ..operators.prefix import running_sum
 from ..operators.staging import stage
@@ -77,7 +78,8 @@ def records(lines: DataFrame, span: int = 4096) -> DataFrame:
     """Logical records: a line with an open quote runs on into the next ones. Blank records are dropped."""
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     d = lines.withColumn("_q", quotes).withColumn("_chunk", F.floor(F.col("line_no") / span))
-    split = d.filter("_q % 2 = 1").select("file_id").distinct()
+    # staged, so that its size is known: in a folder with few or none of them the joins below shuffle nothing
+    split = stage(d.filter("_q % 2 = 1").select("file_id").distinct())
     plain = d.join(split, "file_id", "left_anti").select("file_id", "line_no", "line")
     d = d.join(split, "file_id", "left_semi")
     d = running_sum(d, ["file_id"], ["_chunk"], ["line_no"], {"_run": F.col("_q").cast("long")}, "long")
@@ -86,7 +88,7 @@ def records(lines: DataFrame, span: int = 4096) -> DataFrame:
     joined = d.groupBy("file_id", "_rec").agg(
         F.min("line_no").alias("line_no"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     whole = joined.select("file_id", "line_no", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("line"))
-    return plain.unionByName(whole).filter(F.trim("line") != "")
+    return plain.unionByName(stage(whole)).filter(F.trim("line") != "")
 
 
 def split_cells(line: Column, delimiter: str) -> Column:
@@ -98,10 +100,19 @@ def split_cells(line: Column, delimiter: str) -> Column:
     def clean(x: Column) -> Column:
         t = F.trim(x)
         inner = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))
-        return F.trim(F.when(t.rlike('(?s)^".*"$') & (F.length(t) > 1), inner).otherwise(F.replace(t, F.lit('"'), F.lit(""))))
+        return F.trim(F.when(t.startswith('"') & t.rlike('(?s)^".*"$') & (F.length(t) > 1), inner).otherwise(F.replace(t, F.lit('"'), F.lit(""))))
     return F.transform(parts, clean)
 
 
+def _widths(line: Column) -> list[Column]:
+    """Number of cells under each delimiter, without making them."""
+    bare = F.regexp_replace(line, '"[^"]*(?:"|\\z)', "")
+
+    def times(x: Column, mark: str) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+    return [(times(bare, d) + times(line, "\x01") + 1).cast("int") for d in DELIMITERS]
+
+
 def _first_rows(df: DataFrame, n: int) -> DataFrame:
     w = W.partitionBy("file_id").orderBy("line_no")
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
@@ -109,14 +120,16 @@ def _first_rows(df: DataFrame, n: int) -> DataFrame:
 
 def delimiters(recs: DataFrame) -> DataFrame:
     """Delimiter of each file: agreement on a column count first, then the count itself."""
-    head = _first_rows(recs, VOTE_ROWS)
+    # widths are counted before the rows are shuffled, so no text moves
+    head = _first_rows(recs.select("file_id", "line_no", *[w.alias(f"_w{i}") for i, w in enumerate(_widths(F.col("line")))]), VOTE_ROWS)
     counts = head.select("file_id", "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("d"), F.size(split_cells(F.col("line"), x)).alias("n")) for i, x in enumerate(DELIMITERS)])).alias("v"))
-    agree = counts.filter("v.n > 1").groupBy("file_id", "v.d", "v.n").agg(F.count(F.lit(1)).alias("agree"), F.min("_n").alias("first"))
-    modal = agree.groupBy("file_id", "d").agg(F.max_by(F.struct("agree", "n"), F.struct("agree", -F.col("first"))).alias("m"))
-    best = modal.groupBy("file_id").agg(F.max_by("d", F.struct(F.col("m.agree") * 10 + F.col("m.n"), -F.col("d"))).alias("d"))
-    return recs.select("file_id").distinct().join(best, "file_id", "left").select(
-        "file_id", F.coalesce("d", F.lit(0)).alias("delimiter_no"))
+        F.struct(F.lit(i).alias("d"), F.col(f"_w{i}").alias("n")) for i in range(len(DELIMITERS))])).alias("v"))
+    # a single column is no vote; the first delimiter's rows stay for files without any
+    agree = counts.filter("v.n > 1 OR v.d = 0").groupBy("file_id", "v.d", "v.n").agg(F.count(F.lit(1)).alias("agree"), F.min("_n").alias("first"))
+    votes = F.col("n") > 1
+    modal = agree.groupBy("file_id", "d").agg(F.max_by(F.when(votes, F.struct("agree", "n")), F.when(votes, F.struct("agree", -F.col("first")))).alias("m"))
+    best = F.max_by("d", F.when(F.col("m").isNotNull(), F.struct(F.col("m.agree") * 10 + F.col("m.n"), -F.col("d"))))
+    return modal.groupBy("file_id").agg(F.coalesce(best, F.lit(0)).alias("delimiter_no"))
 
 
 def cells(recs: DataFrame, delims: DataFrame) -> DataFrame:
@@ -135,6 +148,12 @@ def _pattern(alias: str) -> str:
     return "(?:^|[^a-z0-9])" + "".join("\\" + ch if ch in ".*+?^${}()|[]\\/" else ch for ch in alias) + "(?:[^a-z0-9]|$)"
 
 
+def _any_alias(role: str) -> str:
+    """Pattern of lower-case text in which some layout's heading for a role may stand; spaces are not yet collapsed."""
+    aliases = sorted({a for t in TEMPLATES for a in t[5].get(role, [])})
+    return "(?:^|[^a-z0-9])(?:" + "|".join(re.escape(a).replace("\\ ", r"\s+") for a in aliases) + ")(?:[^a-z0-9]|$)"
+
+
 def headers(grid: DataFrame) -> DataFrame:
     """Header row, layout and column positions of each file: named bank, then priority, then mapped columns."""
     body = [dict(bank=b, priority=p, fmt=f, convention=c, detect=d, order=i,
@@ -142,24 +161,34 @@ def headers(grid: DataFrame) -> DataFrame:
             for i, (b, p, f, c, d, cols) in enumerate(TEMPLATES)]
     kind = ("array<struct<bank:string,priority:int,fmt:string,convention:string,detect:array<string>,order:int,"
             + ",".join(f"{r}:array<string>" for r in ROLES) + ">>")
-    head = _first_rows(grid, HEADER_ROWS)
-    hay = head.groupBy("file_id").agg(F.lower(F.array_join(F.flatten(F.collect_list("cells")), " ")).alias("hay"))
+    # one pass over the first rows: the text in which banks are looked for, and the few rows that name a date and a narration column
+    head = _first_rows(grid, HEADER_ROWS).withColumn("_text", F.array_join("cells", " "))
+    low = F.lower("_text")
+    maybe = (F.size("cells") >= 3) & low.rlike(_any_alias("txn_date")) & low.rlike(_any_alias("narration"))
+    files = head.groupBy("file_id").agg(
+        F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_text"))), lambda x: x["_text"]), " ")).alias("hay"),
+        F.collect_list(F.when(maybe, F.struct("line_no", "_n", "cells"))).alias("_rows"))
+    words = sorted({w for t in TEMPLATES for w in t[4]})
+    found = F.array_compact(F.array(*[F.when(F.col("hay").contains(w), w) for w in words]))
+    rows = files.filter(F.size("_rows") > 0).select("file_id", found.alias("found"), F.explode("_rows").alias("r")).select("file_id", "found", "r.*")
     numeric = F.size(F.filter("cells", text.looks_numeric))
-    rows = head.filter((F.size("cells") >= 3) & (numeric <= 1)).join(hay, "file_id")
-    t = rows.withColumn("h", F.transform("cells", _norm)).select(
-        "*", F.explode(F.from_json(F.lit(json.dumps(body)), kind)).alias("t"))
+    rows = stage(rows.filter(numeric <= 1).select("file_id", "found", "line_no", "_n", F.transform("cells", _norm).alias("h")))
+    # files share their headings: layouts are tried once for each different row
+    t = rows.select("h").distinct().select("h", F.explode(F.from_json(F.lit(json.dumps(body)), kind)).alias("t"))
 
     def position(role: str) -> Column:
         hits = F.transform(F.col(f"t.{role}"), lambda a: F.array_position(F.transform("h", lambda x: F.rlike(x, a)), F.lit(True)))
         return (F.get(F.filter(hits, lambda n: n > 0), F.lit(0)) - 1).cast("int")
 
-    t = t.select("file_id", "line_no", "_n", "hay", "t", *[position(r).alias(f"c_{r}") for r in ROLES])
+    t = t.select("h", "t", *[position(r).alias(f"c_{r}") for r in ROLES])
     has = (
         F.when(F.col("t.convention") == "separate", F.col("c_debit").isNotNull() | F.col("c_credit").isNotNull())
         .when(F.col("t.convention") == "flagged", F.col("c_amount").isNotNull() & F.col("c_flag").isNotNull())
         .otherwise(F.col("c_amount").isNotNull()))
-    t = t.filter(has & F.col("c_txn_date").isNotNull() & F.col("c_narration").isNotNull())
-    named = F.exists("t.detect", lambda d: F.col("hay").contains(d))
+    # staged first: a filter on positions would be pushed down and write their expressions out again
+    t = stage(t).filter(has & F.col("c_txn_date").isNotNull() & F.col("c_narration").isNotNull())
+    t = rows.join(t.withColumn("t", F.struct(*[F.col(f"t.{x}").alias(x) for x in ("bank", "priority", "fmt", "convention", "detect", "order")])), "h").drop("h")
+    named = F.arrays_overlap("t.detect", "found")
     mapped = sum((F.col(f"c_{r}").isNotNull().cast("int") for r in ROLES), F.lit(0))
     t = t.withColumn("score", F.when(named, 100000).otherwise(0) + F.col("t.priority") * 100 + mapped)
     w = W.partitionBy("file_id").orderBy(F.col("score").desc(), "_n", F.when(named, 0).otherwise(1), "t.order")
@@ -178,11 +207,15 @@ def build_rows(grid: DataFrame, heads: DataFrame, printed_zero: bool = False) ->
     def cell(role: str) -> Column:
         return F.coalesce(F.get("cells", F.col(f"c_{role}")), F.lit(""))
 
-    # one column of parsed cells, which later columns pick from: written out at each use they pass the size that Java compiles
-    d = d.withColumn("_dates", F.transform(F.array(cell("txn_date"), cell("value_date")), lambda x: parse_date(x, F.col("fmt"))))
-    d = d.withColumn("_cells", F.transform(F.array(*[cell(r) for r in ("debit", "credit", "amount", "balance")]), text.parse_amount))
-    d = d.withColumn("txn_date", F.col("_dates")[0])
-    debit, credit, amount, balance = (F.col("_cells")[i] for i in range(4))
+    # every step of a parsed cell is a column of its own, which later ones pick from: it is compiled and runs once, where a lambda's runs at each use
+    days, sums = ("txn_date", "value_date"), ("debit", "credit", "amount", "balance")
+    d = d.withColumns({f"_t_{r}": cell(r) for r in (*days, *sums)})
+    d = d.withColumns({f"_t_{r}": date_text(F.col(f"_t_{r}")) for r in days} | {f"_{k}_{r}": x for r in sums for k, x in text.amount_parts(F.col(f"_t_{r}")).items()})
+    d = d.withColumns({f"_{i}_{r}": x for r in days for i, x in enumerate(date_fields(F.col(f"_t_{r}")))}
+                      | {f"_p_{r}": text.amount_of(*[F.col(f"_{k}_{r}") for k in ("blank", "paren", "marker", "body")]) for r in sums})
+    d = d.withColumns({f"_{i}_{r}": x for r in days for i, x in enumerate(date_numbers(*[F.col(f"_{i}_{r}") for i in range(3)], F.col("fmt")))})
+    d = d.withColumns({r: date_of(*[F.col(f"_{i}_{r}") for i in range(3)]) for r in days})
+    debit, credit, amount, balance = (F.col(f"_p_{r}") for r in sums)
     separate = F.col("c_debit").isNotNull() | F.col("c_credit").isNotNull()
     flagged = ~separate & F.col("c_flag").isNotNull()
     mark = F.substring(F.lower(F.trim(cell("flag"))), 1, 1)
@@ -197,50 +230,52 @@ def build_rows(grid: DataFrame, heads: DataFrame, printed_zero: bool = False) ->
         .when(~kept & (F.col("debit") == 0) & (F.col("credit") == 0), "zero amount on both sides"))
     narration = F.when(cell("narration") == "", "(no narration)").otherwise(cell("narration"))
     return d.select(
-        "file_id", "line_no", "txn_date", F.col("_dates")[1].alias("value_date"),
+        "file_id", "line_no", "txn_date", "value_date",
         narration.alias("narration"), "debit", "credit", text.signed(balance).alias("running_balance"),
         reason.alias("reason"), F.array_join("cells", " | ").alias("text"))
 
 
 def balances(grid: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Opening and closing: a label in the preamble or trailer, a carried row, else from the running balances."""
-    good = rows.filter("reason IS NULL")
-    first = F.min_by(F.when(F.col("running_balance").isNotNull(), F.struct((
-        F.col("running_balance") - F.col("credit") + F.col("debit")).cast(MONEY).alias("v"))), "line_no")
-    last = F.max_by(F.struct(F.col("running_balance").alias("v")), "line_no")
-    derived = good.groupBy("file_id").agg(first.alias("f"), last.alias("l"), F.min("txn_date").alias("first_date"),
-                                          F.max("txn_date").alias("last_date"))
-    dated = rows.filter("txn_date IS NOT NULL").select("file_id", "line_no")
-    around = grid.join(heads.select("file_id", "header_line"), "file_id").filter("line_no <> header_line").join(
-        dated, ["file_id", "line_no"], "left_anti")
-
-    def mined(labels: list[str]) -> Column:
+    good, at = F.col("reason").isNull(), F.col("line_no")
+    opening_row = F.col("txn_date").isNotNull() & ~good & F.col("running_balance").isNotNull() & F.exists(
+        F.array(*[F.lit(v) for v in OPENING]), lambda v: F.lower("text").contains(v))
+    # rows are read once and not filtered by what is parsed of them, since a filter that is pushed down would parse them again
+    derived = rows.groupBy("file_id").agg(
+        F.count_if(good).alias("n"), F.min_by((F.col("running_balance") - F.col("credit") + F.col("debit")).cast(MONEY), F.when(good, at)).alias("f"),
+        F.max_by("running_balance", F.when(good, at)).alias("l"), F.min(F.when(good, F.col("txn_date"))).alias("first_date"),
+        F.max(F.when(good, F.col("txn_date"))).alias("last_date"), F.min_by("running_balance", F.when(opening_row, at)).alias("r")).filter("n > 0")
+
+    def label_at(labels: list[str]) -> Column:
         hit = F.filter(F.transform("cells", lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
                        lambda s: F.exists(F.array(*[F.lit(v) for v in labels]), lambda v: _norm(s["t"]).contains(v)))
-        at = F.get(hit, F.lit(0))
-        inside = F.regexp_extract(at["t"], r"([\d,]+\.\d{2})", 1)
-        right = F.get(F.filter(F.slice("cells", at["i"] + 2, F.greatest(F.size("cells") - at["i"] - 1, F.lit(0))), text.looks_numeric), F.lit(0))
-        left = F.get(F.filter(F.slice("cells", F.lit(1), F.greatest(at["i"], F.lit(0))), text.looks_numeric), F.lit(0))
+        return F.get(hit, F.lit(0))
+
+    def mined(label: str) -> Column:
+        t, i = F.col(label)["t"], F.col(label)["i"]
+        inside = F.regexp_extract(t, r"([\d,]+\.\d{2})", 1)
+        right = F.get(F.filter(F.slice("cells", i + 2, F.greatest(F.size("cells") - i - 1, F.lit(0))), text.looks_numeric), F.lit(0))
+        left = F.get(F.filter(F.slice("cells", F.lit(1), F.greatest(i, F.lit(0))), text.looks_numeric), F.lit(0))
         return F.coalesce(F.nullif(inside, F.lit("")), right, left)
 
     def labelled(labels: list[str]) -> Column:
         return F.lower(F.array_join("cells", " ")).rlike("|".join(v.replace("/", r"\/") for v in labels))
 
-    # the cell text is settled first, so the amount parser reads a plain column
-    raw = around.filter(labelled(OPENING + CLOSING)).select(
-        "file_id", "line_no", (F.col("line_no") < F.col("header_line")).alias("pre"), mined(OPENING).alias("raw_o"), mined(CLOSING).alias("raw_c"))
-    lab = stage(raw).select("file_id", "line_no", "pre", text.signed_amount(F.col("raw_o")).alias("o"), text.signed_amount(F.col("raw_c")).alias("c"))
+    # the cell text is settled first, so the parsers read plain columns; dated rows below the header are none
+    around = grid.filter(labelled(OPENING + CLOSING)).join(heads.select("file_id", "header_line", "fmt", "c_txn_date"), "file_id").filter("line_no <> header_line")
+    around = around.withColumns({"_o": label_at(OPENING), "_c": label_at(CLOSING)})
+    raw = around.select("file_id", "line_no", (at < F.col("header_line")).alias("pre"), "fmt", F.coalesce(F.get("cells", F.col("c_txn_date")), F.lit("")).alias("day"),
+                        mined("_o").alias("raw_o"), mined("_c").alias("raw_c"))
+    lab = stage(raw).select("file_id", "line_no", "pre", parse_date(F.col("day"), F.col("fmt")).alias("day"),
+                            text.signed_amount(F.col("raw_o")).alias("o"), text.signed_amount(F.col("raw_c")).alias("c"))
 
     def pick(col: str, preamble_first: bool) -> Column:
-        rank = F.when(F.col("pre") == preamble_first, 0).otherwise(1)
-        return F.min_by(col, F.when(F.col(col).isNotNull(), F.struct(rank, "line_no")))
+        usable = F.col(col).isNotNull() & (F.col("pre") | F.col("day").isNull())
+        sides = [F.min_by(col, F.when(usable & (F.col("pre") == side), at)) for side in (preamble_first, not preamble_first)]
+        return F.coalesce(*sides)
     m = lab.groupBy("file_id").agg(pick("o", True).alias("o"), pick("c", False).alias("c"))
-    carried = rows.filter("txn_date IS NOT NULL AND reason IS NOT NULL AND running_balance IS NOT NULL").filter(
-        F.exists(F.array(*[F.lit(v) for v in OPENING]), lambda v: F.lower("text").contains(v))).groupBy("file_id").agg(
-        F.min_by("running_balance", "line_no").alias("r"))
-    return derived.join(m, "file_id", "left").join(carried, "file_id", "left").select(
-        "file_id", F.coalesce("o", "r", F.col("f.v")).alias("opening_balance"), F.coalesce("c", F.col("l.v")).alias("closing_balance"),
-        "first_date", "last_date")
+    return derived.join(m, "file_id", "left").select(
+        "file_id", F.coalesce("o", "r", "f").alias("opening_balance"), F.coalesce("c", "l").alias("closing_balance"), "first_date", "last_date")
 
 
 def periods(grid: DataFrame, heads: DataFrame, bals: DataFrame) -> DataFrame:
