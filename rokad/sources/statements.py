@@ -284,11 +284,15 @@ def periods(grid: DataFrame, heads: DataFrame, bals: DataFrame) -> DataFrame:
     pre = grid.join(heads.select("file_id", "header_line", "fmt"), "file_id").filter("line_no < header_line").filter(
         joined.rlike(r"(?i)period|statement\s+(from|for)|\bfrom\s*:?\s*\d"))
     found = F.regexp_extract_all(joined, F.lit(r"(\d{1,4}[/\-. ]\w{2,4}[/\-. ]\d{2,4})"), F.lit(1))
-    d = F.filter(F.transform(found, lambda x: parse_date(x, F.col("fmt"))), lambda x: x.isNotNull())
-    p = pre.withColumn("d", d).filter(F.size("d") >= 2).groupBy("file_id").agg(F.min_by("d", "line_no").alias("d"))
+    # one row per date, staged as text, so that the parser reads a plain column; then the first row of a file with two dates or more
+    raw = stage(pre.select("file_id", "line_no", "fmt", F.posexplode(found).alias("at", "x")))
+    days = raw.select("file_id", "line_no", "at", parse_date(F.col("x"), F.col("fmt")).alias("day"))
+    known = F.when(F.col("day").isNotNull(), F.col("at"))
+    rows = days.groupBy("file_id", "line_no").agg(F.count("day").alias("n"), F.min_by("day", known).alias("from"), F.max_by("day", known).alias("to"))
+    two = F.when(F.col("n") >= 2, F.col("line_no"))
+    p = rows.groupBy("file_id").agg(F.min_by("from", two).alias("from"), F.min_by("to", two).alias("to"))
     return bals.join(p, "file_id", "left").select(
-        "file_id", F.coalesce(F.get("d", F.lit(0)), "first_date").alias("period_from"),
-        F.coalesce(F.element_at("d", -1), "last_date").alias("period_to"))
+        "file_id", F.coalesce("from", "first_date").alias("period_from"), F.coalesce("to", "last_date").alias("period_to"))
 
 
 def profile_columns(grid: DataFrame) -> DataFrame:

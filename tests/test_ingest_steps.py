@@ -82,3 +82,8 @@ def test_balances_and_periods_of_odd_files(spark):
     assert {(r["file_id"], r["opening_balance"], r["closing_balance"]) for r in bals.collect()} == {("a", D("900.00"), D("950.00")), ("b", D("500.00"), None)}
     periods = st.periods(grid, heads, bals)
     assert {tuple(r) for r in periods.collect()} == {("a", date(2024, 1, 1), date(2024, 1, 31)), ("b", date(2024, 1, 6), date(2024, 1, 7))}
+
+
+def test_period_dates_are_parsed_as_columns(spark):
+    grid, heads, rows = _ingest(spark, _lines(spark, FILES))
+    assert "lambda" not in _plan(st.periods(grid, heads, spark.createDataFrame([], "file_id string, first_date date, last_date date")))
