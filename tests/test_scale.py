@@ -33,3 +33,9 @@ def test_printed_zero_is_a_row_when_asked(spark):
     kept = {r["line_no"]: (r["reason"], r["credit"]) for r in st.build_rows(grid, heads, printed_zero=True).collect()}
     assert kept == {2: (None, D("0.00")), 3: ("zero amount on both sides", D("0.00"))}
     assert {r["reason"] for r in st.build_rows(grid, heads).collect()} == {"zero amount on both sides"}
+
+
+def test_the_score_of_a_party_is_a_number(spark):
+    pair = spark.createDataFrame([(100, date(2026, 1, 1), None, "P1", 100, date(2026, 1, 3), None, "P1"), (100, date(2026, 1, 1), None, "P1", 900000, date(2025, 1, 1), None, "P1")],
+                                 "amt long, txn_date date, l_ref string, l_party string, due long, document_date date, d_ref string, d_party string")
+    assert [r[0] for r in pair.select(mt._score()).collect()] == [50, 15]
