@@ -134,8 +134,16 @@ FROM (SELECT client_id, account_code, sum(amt) net_p FROM ledger WHERE posting_d
         ("BV-9", "match_id", "matches", "unmatched_on IS NULL AND ambiguous AND match_type <> 'manual'"),
         ("BV-11", "match_id", "matches", "unmatched_on IS NULL AND match_type = 'ai_proposed' AND approved_by IS NULL")]),
     "validate_dims": rules([
-        ("DIM-GSTIN", "party_id", "parties", f"{REG} AND gstin IS NULL"), ("DIM-CHECK", "party_id", "parties", f"gstin IS NOT NULL AND {WHY} IS NOT NULL"),
-        ("DIM-STATE", "party_id", "parties", "gstin IS NOT NULL AND substr(gstin, 1, 2) <> state_code")]),
+        ("DIM-GSTIN", "party_id", "parties", f"({REG}) = (gstin IS NULL)"), ("DIM-CHECK", "party_id", "parties", f"gstin IS NOT NULL AND {WHY} IS NOT NULL"),
+        ("DIM-STATE", "party_id", "parties", "gstin IS NOT NULL AND substr(gstin, 1, 2) <> state_code"),
+        ("DIM-UNIQUE", "nation || '/' || gstin", "(SELECT nation, gstin, count(*) n FROM parties WHERE gstin IS NOT NULL GROUP BY 1, 2)", "n > 1"),
+        ("DIM-UNIQUE", "firm_id || '/' || gstin", "(SELECT firm_id, gstin, count(*) n FROM clients WHERE gstin IS NOT NULL GROUP BY 1, 2)", "n > 1"),
+        ("DIM-GSTIN", "CAST(client_id AS VARCHAR)", "clients", "gstin IS NULL"), ("DIM-CHECK", "CAST(client_id AS VARCHAR)", "clients", f"gstin IS NOT NULL AND {WHY} IS NOT NULL"),
+        ("DIM-STATE", "CAST(client_id AS VARCHAR)", "clients", "gstin IS NOT NULL AND substr(gstin, 1, 2) <> state_code"),
+        ("DIM-EXPENSE", "CAST(account_code AS VARCHAR)", "chart", "(root_type = 'expense') <> (expense_class IS NOT NULL)"),
+        ("DIM-LIQUIDITY", "CAST(account_code AS VARCHAR)", "chart", "(root_type IN ('asset', 'liability')) <> (liquidity_class IS NOT NULL)"),
+        ("DIM-RANGE", "'gst_rate/' || rate_id", "gst_rates", "effective_to < effective_from"), ("DIM-RANGE", "'threshold/' || \"key\"", "thresholds", "effective_to < effective_from"),
+        ("DIM-RANGE", "'tds_section/' || section_id", "tds_sections", "effective_to < effective_from")]),
     "vendor_account_prior": build("""SELECT client_id, party_id, expense_account, count(*) priors FROM (SELECT *, row_number() OVER (PARTITION BY client_id, party_id ORDER BY order_date DESC, ok DESC, sk DESC, expense_account) n FROM (
  SELECT DISTINCT ok, sk, expense_account, buyer client_id, order_date, 'S' || sk party_id FROM line_docs WHERE NOT is_return)) WHERE n <= 5 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""),
     "duplicate_documents": "SELECT sha256(text) sha256, count(*) copies, min(doc_id) first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -53,3 +53,20 @@ def test_statement_is_made_from_bills_staged_once(spark):
     for side in (tables.gstr_2b, tables.manual_pairs):
         files = side.inputFiles()
         assert files and not [f for f in files if f.startswith("file:///root/testdata")]
+
+
+def test_dimension_rules_beside_the_parties(spark):
+    schema = "party_id string, nation int, gst_category string, state_code string, gstin string"
+    number = "07AAACN0001N1Z"
+    full = number + _plain_digit(number)
+    parties = spark.createDataFrame([("C1", 1, "registered_regular", "07", full), ("C2", 1, "registered_regular", "07", full), ("C3", 2, "registered_regular", "07", full),
+                                     ("C4", 2, "unregistered", "07", "07AAACN0002N1Z" + _plain_digit("07AAACN0002N1Z"))], schema)
+    clients = spark.createDataFrame([(5, 1, "08", full), (6, 1, "07", None)], "client_id int, firm_id int, state_code string, gstin string")
+    chart = spark.createDataFrame([(5300, "expense", None, None), (4300, "income", "opex", "current"), (1300, "asset", None, None), (1301, "asset", None, "current"), (5301, "expense", "opex", None)],
+                                  "account_code int, root_type string, expense_class string, liquidity_class string")
+    rates = spark.createDataFrame([(1, "2024-01-01", "2023-12-31"), (2, "2024-01-01", None)], "rate_id int, effective_from string, effective_to string")
+    rates = rates.select("rate_id", F.col("effective_from").cast("date").alias("effective_from"), F.col("effective_to").cast("date").alias("effective_to"))
+    found = k.validate_dims(parties, clients, chart, {"gst_rate": (rates, "rate_id")})
+    assert sorted(tuple(r) for r in found.collect()) == sorted([
+        ("DIM-UNIQUE", f"1/{full}"), ("DIM-GSTIN", "C4"), ("DIM-STATE", "5"), ("DIM-GSTIN", "6"), ("DIM-EXPENSE", "5300"), ("DIM-EXPENSE", "4300"),
+        ("DIM-LIQUIDITY", "4300"), ("DIM-LIQUIDITY", "1300"), ("DIM-RANGE", "gst_rate/1")])
