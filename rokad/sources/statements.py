@@ -235,8 +235,51 @@ def build_rows(grid: DataFrame, heads: DataFrame, printed_zero: bool = False) ->
         reason.alias("reason"), F.array_join("cells", " | ").alias("text"))
 
 
+#: A whole number that alone follows a label in its cell; a date there, or words, are none.
+WHOLE = r"^[\s:=\-]*(?:rs\.?|inr|₹)?\s*(\d[\d,]*)\s*$"
+#: Rows below a label's own in which its value may stand.
+BENEATH = 2
+
+
+def _label_hits(around: DataFrame) -> DataFrame:
+    """A row for every balance label that a row names: whether it is of the opening (opens), its place among them (no), and the first cell with it (col, text).
+
+    A label that abbreviates one before it says the same in the cell of that one and is left out.
+    """
+    marks = [(opens, no, v, next((x for x in labels[:no] if x.startswith(v)), "")) for opens, labels in ((True, OPENING), (False, CLOSING)) for no, v in enumerate(labels)]
+    known = F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(mark, ("opens", "no", "label", "longer"), strict=True)]) for mark in marks])
+    hits = around.withColumn("_n", F.transform("cells", _norm)).select("*", F.explode(known).alias("s")).select("*", "s.*").drop("s")
+    hits = hits.withColumn("col", F.array_position(F.transform("_n", lambda x: x.contains(F.col("label"))), F.lit(True)).cast("int"))
+    hits = stage(hits.withColumn("text", F.get("_n", F.col("col") - 1)).drop("_n"))
+    return hits.filter((F.col("col") > 0) & ((F.col("longer") == "") | ~F.col("text").contains(F.col("longer"))))
+
+
+def _beneath(grid: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Amounts of labels that have none on their row: a summary has the label as a heading, and the value in the same column one or two rows below.
+
+    Rows are counted above the heading of the table, or, below it, among those without a date. Only files with such a label are read.
+    """
+    wanted = stage(wanted.select("file_id", "line_no", "pre", "opens", "no", "col", "header_line", "fmt", "c_txn_date"))
+    files = stage(wanted.select("file_id", "header_line", "fmt", "c_txn_date").distinct())
+    dated = F.coalesce(F.get("cells", F.col("c_txn_date")), F.lit(""))
+    rows = grid.join(files, "file_id").filter("line_no <> header_line").select(
+        "file_id", "line_no", (F.col("line_no") < F.col("header_line")).alias("pre"), "cells", "fmt", dated.alias("day"))
+    rows = rows.withColumn("day", parse_date(F.col("day"), F.col("fmt"))).filter("pre OR day IS NULL")
+    w = W.partitionBy("file_id", "pre").orderBy("line_no")
+    rows = stage(rows.select("file_id", "line_no", "pre", "cells", F.row_number().over(w).alias("n")))
+    asked = wanted.join(rows.select("file_id", "line_no", "n"), ["file_id", "line_no"]).select(
+        "file_id", "line_no", "pre", "opens", "no", "col", F.explode(F.sequence(F.col("n") + 1, F.col("n") + BENEATH)).alias("n"))
+    met = asked.join(rows.select("file_id", "pre", "n", "cells"), ["file_id", "pre", "n"]).select(
+        "file_id", "line_no", "pre", "opens", "no", "n", F.get("cells", F.col("col") - 1).alias("raw"))
+    met = stage(met).withColumn("amount", text.signed_amount(F.col("raw")))
+    return met.groupBy("file_id", "line_no", "pre", "opens", "no").agg(F.min_by("amount", F.when(F.col("amount").isNotNull(), F.col("n"))).alias("amount"))
+
+
 def balances(grid: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Opening and closing: a label in the preamble or trailer, a carried row, else from the running balances."""
+    """Opening and closing: a label in the preamble or trailer, a carried row, else from the running balances.
+
+    A label's value stands behind it in its cell, else in the nearest cell with a number to the right, then to the left, else beneath it.
+    """
     good, at = F.col("reason").isNull(), F.col("line_no")
     opening_row = F.col("txn_date").isNotNull() & ~good & F.col("running_balance").isNotNull() & F.exists(
         F.array(*[F.lit(v) for v in OPENING]), lambda v: F.lower("text").contains(v))
@@ -246,34 +289,25 @@ def balances(grid: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
         F.max_by("running_balance", F.when(good, at)).alias("l"), F.min(F.when(good, F.col("txn_date"))).alias("first_date"),
         F.max(F.when(good, F.col("txn_date"))).alias("last_date"), F.min_by("running_balance", F.when(opening_row, at)).alias("r")).filter("n > 0")
 
-    def label_at(labels: list[str]) -> Column:
-        hit = F.filter(F.transform("cells", lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
-                       lambda s: F.exists(F.array(*[F.lit(v) for v in labels]), lambda v: _norm(s["t"]).contains(v)))
-        return F.get(hit, F.lit(0))
-
-    def mined(label: str) -> Column:
-        t, i = F.col(label)["t"], F.col(label)["i"]
-        inside = F.regexp_extract(t, r"([\d,]+\.\d{2})", 1)
-        right = F.get(F.filter(F.slice("cells", i + 2, F.greatest(F.size("cells") - i - 1, F.lit(0))), text.looks_numeric), F.lit(0))
-        left = F.get(F.filter(F.slice("cells", F.lit(1), F.greatest(i, F.lit(0))), text.looks_numeric), F.lit(0))
-        return F.coalesce(F.nullif(inside, F.lit("")), right, left)
-
-    def labelled(labels: list[str]) -> Column:
-        return F.lower(F.array_join("cells", " ")).rlike("|".join(v.replace("/", r"\/") for v in labels))
-
-    # the cell text is settled first, so the parsers read plain columns; dated rows below the header are none
-    around = grid.filter(labelled(OPENING + CLOSING)).join(heads.select("file_id", "header_line", "fmt", "c_txn_date"), "file_id").filter("line_no <> header_line")
-    around = around.withColumns({"_o": label_at(OPENING), "_c": label_at(CLOSING)})
-    raw = around.select("file_id", "line_no", (at < F.col("header_line")).alias("pre"), "fmt", F.coalesce(F.get("cells", F.col("c_txn_date")), F.lit("")).alias("day"),
-                        mined("_o").alias("raw_o"), mined("_c").alias("raw_c"))
-    lab = stage(raw).select("file_id", "line_no", "pre", parse_date(F.col("day"), F.col("fmt")).alias("day"),
-                            text.signed_amount(F.col("raw_o")).alias("o"), text.signed_amount(F.col("raw_c")).alias("c"))
-
-    def pick(col: str, preamble_first: bool) -> Column:
-        usable = F.col(col).isNotNull() & (F.col("pre") | F.col("day").isNull())
-        sides = [F.min_by(col, F.when(usable & (F.col("pre") == side), at)) for side in (preamble_first, not preamble_first)]
-        return F.coalesce(*sides)
-    m = lab.groupBy("file_id").agg(pick("o", True).alias("o"), pick("c", False).alias("c"))
+    said = F.lower(F.array_join("cells", " ")).rlike("|".join(re.escape(v).replace("\\ ", r"\s+") for v in OPENING + CLOSING))
+    dated = F.coalesce(F.get("cells", F.col("c_txn_date")), F.lit(""))
+    around = grid.filter(said).join(heads.select("file_id", "header_line", "fmt", "c_txn_date"), "file_id").filter("line_no <> header_line")
+    hits = _label_hits(around.select("file_id", "line_no", "header_line", "fmt", "c_txn_date", dated.alias("day"), "cells"))
+    rest = F.substring("text", F.instr("text", F.col("label")) + F.length("label"), F.length("text"))
+    # what is left of the cell behind the label, as text of a number: the cell is settled first, so the parsers read plain columns
+    beside = F.coalesce(F.get(F.filter(F.slice("cells", F.col("col") + 1, F.size("cells")), text.looks_numeric), F.lit(0)),
+                        F.get(F.filter(F.reverse(F.slice("cells", F.lit(1), F.col("col") - 1)), text.looks_numeric), F.lit(0)))
+    raw = hits.withColumn("_rest", rest).select(
+        "file_id", "line_no", (at < F.col("header_line")).alias("pre"), "header_line", "fmt", "c_txn_date", "day", "opens", "no", "col",
+        F.coalesce(F.nullif(F.regexp_extract("_rest", r"([\d,]+\.\d{2})", 1), F.lit("")), F.nullif(F.regexp_extract("_rest", WHOLE, 1), F.lit("")), beside).alias("raw"))
+    lab = stage(stage(raw).withColumn("day", parse_date(F.col("day"), F.col("fmt"))).withColumn("amount", text.signed_amount(F.col("raw"))).filter("pre OR day IS NULL"))
+    mined = lab.select("file_id", "line_no", "pre", "opens", "no", "amount").unionByName(_beneath(grid, lab.filter("amount IS NULL")))
+
+    def pick(opens: bool) -> Column:
+        """The first amount by row, then by label: an opening one above the table before one below it, a closing one the other way."""
+        usable = F.col("amount").isNotNull() & (F.col("opens") == opens)
+        return F.coalesce(*[F.min_by("amount", F.when(usable & (F.col("pre") == side), F.struct("line_no", "no"))) for side in (opens, not opens)])
+    m = mined.groupBy("file_id").agg(pick(True).alias("o"), pick(False).alias("c"))
     return derived.join(m, "file_id", "left").select(
         "file_id", F.coalesce("o", "r", "f").alias("opening_balance"), F.coalesce("c", "l").alias("closing_balance"), "first_date", "last_date")
 

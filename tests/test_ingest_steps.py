@@ -87,3 +87,21 @@ def test_balances_and_periods_of_odd_files(spark):
 def test_period_dates_are_parsed_as_columns(spark):
     grid, heads, rows = _ingest(spark, _lines(spark, FILES))
     assert "lambda" not in _plan(st.periods(grid, heads, spark.createDataFrame([], "file_id string, first_date date, last_date date")))
+
+
+def test_balances_beside_and_beneath_their_labels(spark):
+    table = ["Date,Narration,Debit,Credit,Balance", "02/01/2024,first,,100.00,"]
+    files = {
+        # a summary at the foot: headings, and values in their columns below
+        "foot": [*table, "Statement summary", "Opening Balance,Dr Count,Cr Count,Debits,Credits,Closing Bal", ",,,,,", "7.00,0,1,0.00,100.00,107.00"],
+        # one at the head, values in the next row
+        "head": ["Opening Balance,Count,Closing Balance", "8.00,1,108.00", *table],
+        # too far below
+        "far": [*table, "x,Opening Balance", "a,b", "c,d", "e,9.00"],
+        # the nearest number to the left, a whole number behind the label, a date behind it that is none
+        "left": ["5.00,6.00,Opening Balance", *table, "Closing Balance: 106"],
+        "date": ["Opening Balance as on 01/01/2024:,11.00", *table, "12.00 Closing Balance,13.00"],
+    }
+    grid, heads, rows = _ingest(spark, _lines(spark, files))
+    got = {r["file_id"]: (r["opening_balance"], r["closing_balance"]) for r in st.balances(grid, rows, heads).collect()}
+    assert got == {"foot": (D("7.00"), D("107.00")), "head": (D("8.00"), D("108.00")), "far": (None, None), "left": (D("6.00"), D("106.00")), "date": (D("11.00"), D("13.00"))}
