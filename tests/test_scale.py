@@ -5,6 +5,7 @@ from decimal import Decimal as D
 from rokad.operators import matching as mt
 from rokad.operators import staging
 from rokad.sources import statements as st
+from rokad.sources.returns import Tables
 
 
 def test_staged_rows_are_columns(spark):
@@ -39,3 +40,11 @@ def test_the_score_of_a_party_is_a_number(spark):
     pair = spark.createDataFrame([(100, date(2026, 1, 1), None, "P1", 100, date(2026, 1, 3), None, "P1"), (100, date(2026, 1, 1), None, "P1", 900000, date(2025, 1, 1), None, "P1")],
                                  "amt long, txn_date date, l_ref string, l_party string, due long, document_date date, d_ref string, d_party string")
     assert [r[0] for r in pair.select(mt._score()).collect()] == [50, 15]
+
+
+def test_the_matcher_reads_documents_staged_once(spark):
+    plain, held = Tables(spark, "/root/testdata/sf0.001"), Tables(spark, "/root/testdata/sf0.001")
+    held.hold_documents()
+    for name in ("bank_lines", "receipts", "payments"):
+        assert not [f for f in getattr(held, name).inputFiles() if "lineitem" in f]
+        assert getattr(held, name).exceptAll(getattr(plain, name)).isEmpty() and getattr(plain, name).exceptAll(getattr(held, name)).isEmpty()
