@@ -70,3 +70,14 @@ def test_dimension_rules_beside_the_parties(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted([
         ("DIM-UNIQUE", f"1/{full}"), ("DIM-GSTIN", "C4"), ("DIM-STATE", "5"), ("DIM-GSTIN", "6"), ("DIM-EXPENSE", "5300"), ("DIM-EXPENSE", "4300"),
         ("DIM-LIQUIDITY", "4300"), ("DIM-LIQUIDITY", "1300"), ("DIM-RANGE", "gst_rate/1")])
+
+
+def test_a_round_of_mutual_choice_is_staged_once(spark, monkeypatch):
+    from rokad.operators import pairing
+    staged, own = [], pairing.stage
+    monkeypatch.setattr(pairing, "stage", lambda df: staged.append(1) or own(df))
+    # b is taken by y in the first round, so x falls to a in the second; c has nothing left
+    pairs = spark.createDataFrame([("x", "b", 2), ("x", "a", 3), ("y", "b", 1), ("z", "b", 4)], "l string, r string, p int")
+    got = pairing.mutual_best(pairs, [F.col("p")])
+    assert {tuple(r) for r in got.collect()} == {("y", "b"), ("x", "a")}
+    assert len(staged) == 3
