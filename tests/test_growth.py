@@ -81,3 +81,28 @@ def test_a_round_of_mutual_choice_is_staged_once(spark, monkeypatch):
     got = pairing.mutual_best(pairs, [F.col("p")])
     assert {tuple(r) for r in got.collect()} == {("y", "b"), ("x", "a")}
     assert len(staged) == 3
+
+
+def test_imported_sums_parse_a_line_once(spark, tmp_path):
+    from decimal import Decimal as D
+
+    from rokad.sources import imports
+    head = "voucher_number,voucher_type,posting_date,account_name,debit,credit,party_name,party_gstin,party_pan"
+    rows = ['V1,sales,01/04/2024,Cash,"₹ 1,200.50",,,,', "V1,sales,01/04/2024,Sales,,1200.50,,,", "V2,sales,31/02/2024,Cash,5.00,,,,", "V3,sales,01/04/2024,Cash,abc,,,,",
+            "V4,sales,,Bank,1.00,,,,", "V5,sales,02/04/2024,Cash,2.00,2.00,,,", "V6,sales,02/04/2024,Cash,3.00,,X,07BAD,", "V7,sales,02/04/2024,Cash,4.00,,X,,aaaaa1111a"]
+    (tmp_path / "a.csv").write_text("\n".join([head, *rows]) + "\n")
+    lines = imports.read_csv_history(spark, str(tmp_path))
+    assert {r["voucher_number"]: r["problem"] for r in lines.collect()} == {"V1": None, "V2": "date", "V3": "amount", "V4": "date", "V5": "one_sided", "V6": "gstin", "V7": "pan"}
+    sums = imports.accepted_sums(lines)
+    assert {tuple(r) for r in sums.collect()} == {("Cash", D("1200.50"), D("0.00")), ("Sales", D("0.00"), D("1200.50"))}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    # one step makes the amount of a cell; a filter on the problem would make all of it again
+    assert sum(line.count("decimal(21,3)") for line in plan.splitlines()) <= 2 and not [x for x in plan.splitlines() if "Filter" in x and "decimal(21,3)" in x]
+
+
+def test_names_of_the_ledger_come_with_the_documents(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    own = t.parties.select("party_id", "party_name", F.col("gstin").alias("party_gstin"))
+    cols = ["voucher_id", "account_code", "signed_paise", "party_id", "party_name", "party_gstin"]
+    got, want = t.named_ledger.select(cols), t.ledger.join(own, "party_id", "left").select(cols)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
